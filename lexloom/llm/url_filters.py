@@ -81,8 +81,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     own = urls.select(F.col(id_col).alias("row_id"), url_host(url).alias("host"), url_path(url).alias("path")).select(
         "*", F.concat(host_key(F.col("host")), F.lit("\0"), F.col("path")).alias("key")
     )
-    # A bounded sample of keys places the boundaries.
-    sample = sorted(r[0] for r in own.select(F.concat("key", F.lit("\0"), F.coalesce(F.col("row_id").cast("string"), F.lit(""))).alias("key"), F.xxhash64("row_id", "key").alias("h")).orderBy("h").limit(SAMPLE).collect())
+    # About SAMPLE sampled keys place the boundaries: the driver gets as many, however long the table.
+    sort_key = F.concat("key", F.lit("\0"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))
+    sample = sorted(r[0] for r in own.sample(min(1.0, SAMPLE / max(1, urls.count())), seed=7).select(sort_key).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     @F.pandas_udf(T.IntegerType())
@@ -92,7 +93,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     keyed = rules.where("host IS NOT NULL AND path IS NOT NULL").select("host", "path", "verdict", host_key(F.col("host")).alias("key"))
     spread = keyed.select("*", F.explode(F.sequence(range_of("key"), range_of(F.concat("key", F.lit(LAST))))).alias("pid"))
     rows = own.select(
-        range_of(F.concat("key", F.lit("\0"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))).alias("pid"), "key", F.lit(1).alias("kind"), "row_id", "host", "path", F.lit(None).cast("string").alias("verdict")
+        range_of(sort_key).alias("pid"), "key", F.lit(1).alias("kind"), "row_id", "host", "path", F.lit(None).cast("string").alias("verdict")
     ).unionByName(spread.select("pid", "key", F.lit(0).alias("kind"), F.lit(None).cast(own.schema["row_id"].dataType).alias("row_id"), "host", "path", "verdict"))
     swept = (
         rows.repartition(ranges, "pid")
