@@ -1,15 +1,19 @@
 """The registered queries of the training-data operators, with their SQL."""
 
-from lexloom.llm import media, mixing, packing, token_rollup, url_filters
+from lexloom.llm import line_dedup, media, mixing, packing, quality, substring_dedup, token_rollup, url_filters
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_token_rollup": token_rollup.op6_token_rollup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 ORACLES = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
