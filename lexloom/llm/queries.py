@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, with their SQL."""
 
-from lexloom.llm import line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_rollup, url_filters
+from lexloom.llm import ann, line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_rollup, url_filters
 
 QUERIES = {
+    "op1_nearest_neighbours": ann.op1_nearest_neighbours,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
