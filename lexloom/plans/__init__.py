@@ -1,4 +1,9 @@
 """Registered queries of the library: ``QUERIES`` and their SQL in ``ORACLES``."""
 
+from lexloom.plans import segmentation
+
 QUERIES = {}
 ORACLES = {}
+for module in (segmentation,):
+    QUERIES |= module.R.queries
+    ORACLES |= module.R.oracles
