@@ -10,6 +10,7 @@ of writers can extend, and compaction replaces batches by their sum.
 from __future__ import annotations
 
 import base64
+import functools
 import uuid
 
 import pandas as pd
@@ -22,22 +23,25 @@ KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, empty_docs long"
 
 
+@functools.cache
+def _encoding(path: str, pattern: str):
+    """One for each Python worker, however many tasks it runs."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def bpe_counts(path: str, pattern: str) -> object:
     """A pandas UDF text -> tokens under a byte-level BPE vocabulary file (base64 token and rank on a line).
 
     Null texts count 0 tokens. The file is read once by each Python worker from ``path``.
     """
-    state = {}
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        if not state:
-            import tiktoken
-
-            with open(path, "rb") as file:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            state["encoding"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = state["encoding"].encode_ordinary
+        encode = _encoding(path, pattern).encode_ordinary
         return texts.map(lambda x: len(encode(x)) if x else 0)
 
     return count
