@@ -1,9 +1,9 @@
 """Registered queries of the library: ``QUERIES`` and their SQL in ``ORACLES``."""
 
-from lexloom.plans import segmentation
+from lexloom.plans import search, segmentation
 
 QUERIES = {}
 ORACLES = {}
-for module in (segmentation,):
+for module in (segmentation, search):
     QUERIES |= module.R.queries
     ORACLES |= module.R.oracles
