@@ -3,8 +3,8 @@
 Every window of a text has a Rabin-Karp hash. Counting them all would shuffle a row for each word of the
 corpus, so a filter that loses nothing goes first: of the shorter k-grams in a window, the one with the
 least hash (its minimiser) is the same wherever the window occurs. Only windows whose minimiser occurs in
-two documents can repeat; for those, the window hash and the minimiser's hash, 128 bits together, are
-counted in Spark. The repeats found are merged into maximal intervals of words and cut out of each text.
+two documents can repeat; for those, the window hash and 32 bits of the minimiser's, 96 together,
+are counted in Spark. The repeats found are merged into maximal intervals of words and cut out of each text.
 """
 
 from __future__ import annotations
@@ -59,25 +59,29 @@ def _emit(size: int):
 
 
 def _windows(size: int):
-    """(id, version, text, ats) to the windows (gram, window, id, version, start) with a minimiser at one of ``ats``."""
+    """(id, version, text, ats) to the windows (gram, window, id, version, start) with a minimiser at one of ``ats``.
+
+    Of the minimiser's hash 32 bits are kept; with the window's own 64 that makes a key of 96.
+    """
 
     def run(batches):
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+        kinds, names = (np.int32, np.int64, np.int64, np.int32, np.int32), ["gram", "window", "id", "version", "start"]
         for batch in batches:
-            out = [[] for _ in kinds]
+            out, held = [[] for _ in kinds], 0
             for doc, version, data, ats in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), text_bytes(batch.column(2)), batch.column(3), strict=True):
                 words = word_hashes(data)
                 at, grams = _minimisers(words, size)
                 chosen = np.zeros(len(grams), bool)
                 chosen[np.asarray(ats.values)] = True
                 start = np.flatnonzero(chosen[at])
-                hashes = window_hashes(words, size)
-                for column, values in zip(out, (signed(grams[at[start]]), signed(hashes[start]), np.full(len(start), doc, np.int64), np.full(len(start), version, np.int32), start.astype(np.int32)), strict=True):
+                short = (grams[at[start]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for column, values in zip(out, (short, signed(window_hashes(words, size)[start]), np.full(len(start), doc, np.int64), np.full(len(start), version, np.int32), start.astype(np.int32)), strict=True):
                     column.append(values)
-                if sum(map(len, out[0])) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", "window", "id", "version", "start"])
-                    out = [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in zip(out, kinds, strict=True)], names=["gram", "window", "id", "version", "start"])
+                held += len(start)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                    out, held = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -121,13 +125,18 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     grams = docs.where(F.col("id") != NO_ID).mapInArrow(_emit(size), "gram long, id long, version int, at int")
-    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("gram").bitwiseXOR(F.lit(_OTHER)).alias("key"))
-    candidates = grams.withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER))).join(shared, "key").groupBy("id", "version").agg(F.collect_set("at").alias("ats"))  # at most a text's words
+    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("gram").bitwiseXOR(F.lit(_OTHER)).alias("key"), "lo", "hi")
+    met = grams.withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER))).join(shared, "key")
+    # The last document with a minimiser lends no window to others, the first takes none; the lists are at most a text's words.
+    candidates = met.groupBy("id", "version").agg(F.collect_set(F.when(F.col("id") < F.col("hi"), F.col("at"))).alias("lends"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("at"))).alias("takes"))
     # No column is null, so no filter comes between scan and exchange, and all uses share one exchange of the texts.
-    dealt = docs.repartition(n, "id", "version")
-    windows = dealt.join(candidates, ["id", "version"]).select("id", "version", "text", "ats").mapInArrow(_windows(size), "gram long, window long, id long, version int, start int")
-    first = windows.groupBy("gram", "window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("gram").bitwiseXOR(F.lit(_OTHER)).alias("key"), "window", "lo")
-    later = windows.withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER))).join(first, ["key", "window"]).where("id > lo")
+    dealt = docs.repartition(n, "id", "version").join(candidates, ["id", "version"])
+
+    def windows(which: str) -> DataFrame:
+        return dealt.where(F.size(which) > 0).select("id", "version", "text", which).mapInArrow(_windows(size), "gram int, window long, id long, version int, start int")
+
+    first = windows("lends").groupBy("gram", "window").agg(F.min("id").alias("lo")).select(F.col("gram").bitwiseXOR(F.lit(_OTHER & 0xFFFF)).alias("key"), "window", "lo")
+    later = windows("takes").withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER & 0xFFFF))).join(first, ["key", "window"]).where("id > lo")
     return later.groupBy("id", "version").agg(F.collect_set("start").alias("starts"))
 
 
