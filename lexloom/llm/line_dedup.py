@@ -9,7 +9,8 @@ variants, equal variants are joined to the earliest line with it, and the edit d
 verified.
 
 A variant's hash is made of the hashes of the text before and after a block of BLOCK characters and of the block
-with one character left out, so that a long line costs one short hash for each character.
+with one character left out, so that a long line costs one short hash for each character, and only blocks with a
+context that two lines share emit any.
 """
 
 from __future__ import annotations
@@ -38,30 +39,39 @@ def _seeds(line: Column) -> Column:
     return F.when(n < MIN_FUZZY, F.array().cast("array<bigint>")).when((n % 16 == 0) & (n > MIN_FUZZY), F.concat(ends(size), ends(size - 8))).otherwise(ends(size))
 
 
-def variants(line: Column) -> Column:
-    """array<struct<key, role>>: role "S" for a place deleted with the place in the key, which equals that of a line
-    with another character there; "D" for the same without the place, which equals "W", the whole, of a line that
-    is shorter by that character."""
+def _blocks(line: Column) -> Column:
+    """array<struct<context, whole, part>>: each block of a line, once in full and once without its last character.
+
+    The context is a hash of the block's place and of all the text before and after it. Lines within one edit share
+    the context of the block with the edit: two of equal length those of the full blocks, else the longer one's full
+    block and the shorter one's other form.
+    """
     n = F.length(line)
 
     def block(j: Column) -> Column:
         at = j * BLOCK
-        return F.struct(
-            at.alias("at"), F.xxhash64(F.substring(line, F.lit(1), at)).alias("l"),
-            F.substring(line, at + 1, F.lit(BLOCK)).alias("m"), F.xxhash64(F.substring(line, at + BLOCK + 1, n)).alias("r"),
-            F.substring(line, at + 1, F.lit(BLOCK - 1)).alias("m1"), F.xxhash64(F.substring(line, at + BLOCK, n)).alias("r1"),
-        )
+        before = F.xxhash64(at, F.substring(line, F.lit(1), at))
+
+        def form(size: int) -> Column:
+            return F.struct(F.xxhash64(before, F.substring(line, at + size + 1, n)).alias("context"), F.lit(size < BLOCK).alias("whole"), F.substring(line, at + 1, F.lit(size)).alias("part"))
+
+        return F.array(form(BLOCK), form(BLOCK - 1))
 
-    def of(x: Column) -> Column:
-        def without(i: Column) -> Column:
-            rest = F.concat(F.substring(x["m"], F.lit(1), i), F.substring(x["m"], i + 2, F.lit(BLOCK)))
-            return F.array(F.struct(F.xxhash64(F.lit(1), x["at"] + i, x["l"], rest, x["r"]).alias("key"), F.lit("S").alias("role")), F.struct(F.xxhash64(F.lit(0), x["at"], x["l"], rest, x["r"]).alias("key"), F.lit("D").alias("role")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), block))
 
-        whole = F.array(F.struct(F.xxhash64(F.lit(0), x["at"], x["l"], x["m1"], x["r1"]).alias("key"), F.lit("W").alias("role")))
-        each = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(x["m"]) - 1)), without))
-        return F.when(F.length(x["m"]) == 0, whole).otherwise(F.concat(whole, each))
 
-    return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), block), of))
+def _variants(context: Column, whole: Column, part: Column) -> Column:
+    """array<struct<key, role>>: role "S" for a place deleted with the place in the key, which equals that of a line
+    with another character there; "D" for the same without the place, which equals "W", the whole block, of a line
+    that is shorter by that character."""
+
+    def without(i: Column) -> Column:
+        rest = F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, F.lit(BLOCK)))
+        return F.array(F.struct(F.xxhash64(F.lit(1), context, i, rest).alias("key"), F.lit("S").alias("role")), F.struct(F.xxhash64(F.lit(0), context, rest).alias("key"), F.lit("D").alias("role")))
+
+    none = F.array().cast("array<struct<key:bigint,role:string>>")
+    cut = F.when(F.length(part) == 0, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(part) - 1)), without)))
+    return F.when(whole, F.array(F.struct(F.xxhash64(F.lit(0), context, part).alias("key"), F.lit("W").alias("role")))).otherwise(cut)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -77,23 +87,25 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     """
     n = partitions(rows.sparkSession)
     lines = _lines(rows)
-    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.any_value(_seeds(F.col("line"))).alias("seeds"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
 
-    seeds = firsts.select("h1", "h2", "first", F.explode("seeds").alias("seed"))
+    # Lines that share a seed with another line.
+    seeds = lines.select("at", "h1", F.explode(_seeds(F.col("line"))).alias("seed"))
     shared = seeds.groupBy("seed").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(F.col("seed").bitwiseXOR(F.lit(_OTHER)).alias("key"))
-    suspects = seeds.withColumn("key", F.col("seed").bitwiseXOR(F.lit(_OTHER))).join(shared, "key", "left_semi")
-    wanted = suspects.groupBy(F.col("first.id").alias("id"), F.col("first.version").alias("version")).agg(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+    suspects = seeds.select("at", F.col("seed").bitwiseXOR(F.lit(_OTHER)).alias("key")).join(shared, "key", "left_semi")
+    wanted = suspects.groupBy(F.col("at.id").alias("id"), F.col("at.version").alias("version")).agg(F.collect_set("at.line_no").alias("wanted"))
     # All uses of the texts by id share this exchange.
     dealt = rows.repartition(n, "id", "version")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
-    chosen = dealt.join(wanted, ["id", "version"]).select(
-        "id", "version", F.explode(F.filter(numbered, lambda x: F.exists("wanted", lambda w: w["line_no"] == x["line_no"]))).alias("x")
-    )
-    texts = chosen.select(
-        F.struct("id", F.col("x.line_no").alias("line_no"), "version").alias("first"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.hash("x.line").alias("h2")
-    ).repartition(n, "h1", "h2")
-
-    emitted = texts.select(F.struct("first", "h1", "h2").alias("own"), F.explode(variants(F.col("line"))).alias("v")).select("own", "v.key", "v.role")
+    chosen = dealt.join(wanted, ["id", "version"]).select("id", "version", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["line_no"]))).alias("x"))
+    texts = chosen.select(F.struct("id", F.col("x.line_no").alias("line_no"), "version").alias("at"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.hash("x.line").alias("h2"))
+    texts = texts.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("line").alias("line"))
+
+    # Of those, the blocks whose context another line has too; only they emit variants.
+    blocks = texts.select(F.struct("first", "h1", "h2").alias("own"), F.explode(_blocks(F.col("line"))).alias("b")).select("own", "b.*")
+    met = blocks.groupBy("context").agg(F.min("own.h1").alias("lo"), F.max("own.h1").alias("hi")).where("lo <> hi").select(F.col("context").bitwiseXOR(F.lit(_OTHER)).alias("key"))
+    alive = blocks.withColumn("key", F.col("context").bitwiseXOR(F.lit(_OTHER))).join(met, "key", "left_semi")
+    emitted = alive.select("own", F.explode(_variants(F.col("context"), F.col("whole"), F.col("part"))).alias("v")).select("own", "v.key", "v.role")
     same = Window.partitionBy("key")
     partner = {"S": "S", "D": "W", "W": "D"}
     best = F.coalesce(*[F.when(F.col("role") == a, F.min(F.when(F.col("role") == b, F.col("own"))).over(same)) for a, b in partner.items()])
