@@ -28,17 +28,20 @@ def finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column) -> Column:
     """Null for zero and non-finite vectors."""
-    length = norm(v)
-    return F.when(finite(v) & (length > 0), F.transform(v, lambda x: x / length))
+    return _let(norm(v), lambda n: F.when(finite(v) & (n > 0), F.transform(v, lambda x: x / n)))
 
 
 def scaled_normalize(v: Column) -> Column:
     """The same without overflow: components are divided by the largest first."""
     top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    return F.when(finite(v) & (top > 0), l2_normalize(scaled))
+    return _let(top, lambda t: F.when(finite(v) & (t > 0), _let(F.transform(v, lambda x: x / t), lambda u: _let(norm(u), lambda n: F.transform(u, lambda x: x / n)))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,0 +1,91 @@
+"""Append-only stores: latest records, histories, content-addressed blobs, lineage and paging.
+
+Tables only grow. A write is data files first and a one-row commit last, and readers join the commits, so a half-written
+run is never seen. Uniqueness and references are anti- and semi-joins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def latest_record(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row with the largest ``order`` of each ``key``; the rank limit is applied before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def history(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """All rows with their place in their key's history, newest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))).cast("long"))
+
+
+def new_rows(stored: DataFrame, incoming: DataFrame, key: str, parents: DataFrame | None = None, parent: str | None = None) -> DataFrame:
+    """What an append may write: ids not stored yet, each once, whose parent exists."""
+    once = incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    return once if parents is None else once.join(parents.select(F.col(parents.columns[0]).alias(parent)), parent, "left_semi")
+
+
+def orphans(children: DataFrame, key: str, parents: DataFrame, parent: str) -> DataFrame:
+    """Children without their parent."""
+    return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent).alias(key)), key, "left_anti")
+
+
+def blobs(values: DataFrame, content: Column) -> DataFrame:
+    """(blob_id, content, size): one row for each different content; equal contents have equal ids."""
+    rows = values.select(content.alias("content")).where("content IS NOT NULL")
+    return rows.select(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("blob_id"), "content").groupBy("blob_id").agg(F.first("content").alias("content")).withColumn("size", F.octet_length("content").cast("long"))
+
+
+def blob_faults(stored: DataFrame) -> DataFrame:
+    """Blobs whose content does not give their id."""
+    return stored.where(F.concat(F.lit("sha256:"), F.sha2("content", 256)) != F.col("blob_id"))
+
+
+def keyset_page(rows: DataFrame, id_col: str, before: int, size: int) -> DataFrame:
+    """Up to ``size`` rows below ``before``, newest first, with next_before: null unless there are more."""
+    got = rows.where(F.col(id_col) < before).orderBy(F.desc(id_col)).limit(size + 1)
+    numbered = got.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(id_col))))  # size + 1 rows
+    more = F.max("_n").over(Window.partitionBy(F.lit(0))) > size
+    last = F.min(F.when(F.col("_n") == size, F.col(id_col))).over(Window.partitionBy(F.lit(0)))
+    return numbered.withColumn("next_before", F.when(more, last)).where(F.col("_n") <= size).drop("_n")
+
+
+def child_counts(parents: DataFrame, key: str, children: DataFrame, child_key: str) -> DataFrame:
+    n = children.groupBy(F.col(child_key).alias(key)).agg(F.count(F.lit(1)).alias("children"))
+    return parents.select(key).join(n, key, "left").select(key, F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def commit_run(spark: SparkSession, rows: DataFrame, root: str, run_id: str) -> bool:
+    """Writes the rows of a run and then its commit; False if the run is committed already."""
+    if run_id in {r.run_id for r in committed(spark, root).where(F.col("run_id") == run_id).collect()}:
+        return False
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{root}/data/{run_id}")
+    spark.createDataFrame([(run_id,)], "run_id string").write.mode("append").parquet(f"{root}/commits")
+    return True
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "run_id string")
+    return spark.read.schema("run_id string").parquet(f"{root}/commits").distinct()
+
+
+def restore_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """The rows of a committed run; an uncommitted one is an error."""
+    if committed(spark, root).where(F.col("run_id") == run_id).isEmpty():
+        raise LookupError(f"run {run_id} is not committed")
+    return spark.read.parquet(f"{root}/data/{run_id}")
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one side only, with multiplicity; empty for equal tables."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def export_json(rows: DataFrame, key: str) -> DataFrame:
+    """(key, json): each row as canonical JSON, keys in order and nulls kept."""
+    return rows.select(key, F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("json"))

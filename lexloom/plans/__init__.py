@@ -1,9 +1,9 @@
 """Registered queries of the library: ``QUERIES`` and their SQL in ``ORACLES``."""
 
-from lexloom.plans import search, segmentation
+from lexloom.plans import search, segmentation, store, vectors
 
 QUERIES = {}
 ORACLES = {}
-for module in (segmentation, search):
+for module in (segmentation, search, store, vectors):
     QUERIES |= module.R.queries
     ORACLES |= module.R.oracles
