@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexloom.operators import annotate, rules, segment
+from lexloom.operators import annotate, quotes, rules, segment
 from lexloom.plans.registry import Registry, table
 from lexloom.plans.segmentation import TOKENS, crlf
 
@@ -123,3 +123,21 @@ def rule_report(spark, sf_dir):
 def contiguous_fragments(spark, sf_dir):
     a = annotated(spark, sf_dir)
     return rules.scopes(a, rules.occurrences(a))
+
+
+# Full stops of the derived tokens stand for marks, by their place.
+def quoted_tokens(spark, sf_dir):
+    marks = F.array(*[F.lit(x) for x in ("“", "«", "”", '"', "»", '"')])
+    a = annotated(spark, sf_dir)
+    return a.withColumn("text", F.when(F.col("text") == ".", F.element_at(marks, (F.col("ord") % 6 + 1).cast("int"))).otherwise(F.col("text"))).select("doc_id", "ord", "text")
+
+
+@R.query("quote_regions")
+def quote_regions(spark, sf_dir):
+    return quotes.quote_regions(quoted_tokens(spark, sf_dir))
+
+
+@R.query("innermost_region")
+def innermost_region(spark, sf_dir):
+    t = quoted_tokens(spark, sf_dir)
+    return quotes.innermost(t, quotes.quote_regions(t))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors as vf
-from lexloom.operators import annotate, context, fragments, links, rules, segment, spans, store, vectors
+from lexloom.operators import annotate, context, fragments, links, quotes, rules, segment, spans, store, vectors
 from lexloom.operators import jobs as job_ops
 from lexloom.sources import readers
 from lexloom.streaming import jobs as live
@@ -158,3 +158,27 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     live.run_to_end(live.prepared(stream), str(tmp_path / "out"), str(tmp_path / "mark"))
     assert store.differences(spark.read.parquet(str(tmp_path / "out")).select("doc_id", "length", "sha256"), spans.prepare_crlf(docs).select("doc_id", "length", "sha256")).count() == 0
+
+
+def test_quote_regions(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(d, k, rng.choice(["“", "”", "«", "»", '"', "a", "b"])) for d in range(20) for k in range(30)]
+    t = spark.createDataFrame(rows, "doc_id long, ord long, text string")
+    want, inside = set(), {}
+    for d in range(20):
+        stack, done = [], []
+        for _, k, x in (r for r in rows if r[0] == d):
+            if stack and quotes.PAIRS[stack[-1][1]] == x:
+                done.append((stack.pop()[0], k))
+            elif x in quotes.PAIRS:
+                stack.append((k, x))
+        done += [(k, None) for k, _ in stack]
+        want |= {(d, a, b) for a, b in done}
+        ends = {k for r in done for k in r}
+        for k in range(30):
+            inside[d, k] = None if k in ends else max((a for a, b in done if a < k and (b is None or k < b)), default=None)
+    found = quotes.quote_regions(t)
+    assert set(map(tuple, found.collect())) == want
+    assert {(r.doc_id, r.ord): r.region for r in quotes.innermost(t, found).collect()} == inside
