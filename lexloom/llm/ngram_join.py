@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import partitions, signed, stage, text_bytes, window_hashes, word_hashes
+from lexloom.llm.common import mix64, partitions, signed, stage, text_bytes, window_hashes, word_hashes
 
 #: The table of frequent n-grams has at most so many rows (12 bytes each), whatever the corpus.
 FREQUENT = 1 << 18
@@ -31,7 +31,7 @@ LOCALLY = 4
 #: n-grams in such a stretch.
 STRETCH = 1 << 21
 #: Parts of the hash range whose sizes the suffix filter compares.
-PARTS = 16
+PARTS = 128
 #: Bits of the filter that saves shuffling sets of no candidate pair: 1 MB, whatever the corpus.
 FILTER_BITS = 23
 
@@ -50,11 +50,6 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
     return int(found[0]), int(found[1])
 
 
-def _overlap(a, b, percent: int):
-    """The least intersection of sets of sizes a and b with 100 * i >= percent * union."""
-    return -(-(percent * (a + b)) // (100 + percent))
-
-
 def prefix_size(n: int, percent: int) -> int:
     """n minus the least intersection that a set of size n can have with a similar one, plus 1."""
     return n - -(-percent * n // 100) + 1
@@ -122,7 +117,7 @@ def _sets(n: int):
                 grams = ngram_set(data, n) if data is not None else np.zeros(0, np.uint64)
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
-                parts.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32).tolist())
+                parts.append(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype(np.int32).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["id", "k1", "k2", "n_grams", "parts"]
             )
@@ -154,25 +149,47 @@ def _prefixes(n: int, percent: int, table):
 
 
 def _members(n: int, bits):
-    """(text) to (k1, k2, grams) for sets that may be in a candidate pair, each once in a task."""
+    """(id, text) to (id, k1, k2, grams) for the texts whose id is in the filter; others are not even split."""
 
     def run(batches):
-        mask = np.uint64((1 << FILTER_BITS) - 1)
-        wanted, seen = bits.value, set()
+        wanted = bits.value
         for batch in batches:
             rows = []
-            for data in text_bytes(batch.column(0)):
-                grams = ngram_set(data, n) if data is not None else np.zeros(0, np.uint64)
-                if not len(grams) or (key := set_key(grams)) in seen:
-                    continue
-                if wanted[int(np.uint64(key[0] & 0xFFFFFFFFFFFFFFFF) & mask)]:
-                    seen.add(key)
-                    rows.append((*key, grams.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "grams"])
+            chosen = wanted[_slots(batch.column(0).to_numpy(zero_copy_only=False))]
+            for i, (doc, data) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)):
+                if chosen[i] and data is not None:
+                    grams = ngram_set(data, n)
+                    rows.append((doc, *set_key(grams), grams.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "k1", "k2", "grams"])
 
     return run
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that one of ``ids`` (node) falls in. Blocks of bits are joined by key, the driver gets 1 MB."""
+    width = 1 << 16
+
+    def local(batches):
+        for pdf in batches:
+            slots = np.unique(_slots(pdf.node.to_numpy()))
+            yield pd.DataFrame({"block": slots // width, "slot": slots % width})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, bool)
+        bits[pdf.slot.to_numpy()] = True
+        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = ids.mapInPandas(local, "block long, slot long").distinct()  # at most ``width`` for a block
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for row in slots.groupBy("block").applyInPandas(joined, "block long, bits binary").collect():
+        bits[row.block * width : (row.block + 1) * width] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    return bits
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -215,18 +232,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels.select(F.col("id").alias("m"), "up"), F.col("id") == F.col("m"), "left").select("id", F.coalesce("up", "id").alias("label"))
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, and for each its size n, the place of the common n-gram and its parts) that may be similar."""
+def _size_and_place(x: str, y: str, percent: int) -> Column:
+    """The length and positional filters on n and at of two members with a common n-gram.
+
+    They can share what stands before it in both, the n-gram, and what follows in both.
+    """
+    xn, yn, xa, ya = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
+    fit = F.least(xn, yn) * 100 >= percent * F.greatest(xn, yn)
+    return fit & (F.least(xa, ya) + F.least(xn - xa, yn - ya) >= F.ceil(percent * (xn + yn) / (100 + percent)))
 
-    def of(side: str, name: str) -> Column:
-        return F.col(f"{side}_{name}")
 
-    need = F.ceil(percent * (of("a", "n") + of("b", "n")) / (100 + percent))
-    fit = F.least(of("a", "n"), of("b", "n")) * 100 >= percent * F.greatest(of("a", "n"), of("b", "n"))
-    # What stands before the common n-gram in both, the n-gram, and what can follow in both.
-    place = F.least(of("a", "at"), of("b", "at")) + 1 + F.least(of("a", "n") - of("a", "at"), of("b", "n") - of("b", "at")) - 1
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose parts of the hash range differ by little enough in size."""
+    a = nodes.select(F.col("node").alias("a"), F.col("n_grams").alias("a_n"), F.col("parts").alias("a_parts"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n_grams").alias("b_n"), F.col("parts").alias("b_parts"))
     apart = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return pairs.where(fit & (place >= need) & ((of("a", "n") + of("b", "n") - apart) / 2 >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = F.col("a_n") + F.col("b_n")
+    return pairs.join(a, "a").join(b, "b").where((size - apart) / 2 >= F.ceil(percent * size / (100 + percent))).select("a", "b")
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,38 +267,27 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stage(rows.mapInArrow(_sets(n), "id long, k1 long, k2 long, n_grams long, parts array<int>"), "sets")
     usable = sets.where("id IS NOT NULL AND n_grams > 0")
-    # parts follow from the key; they are fetched for nodes in groups only.
-    nodes = stage(usable.groupBy("k1", "k2", "n_grams").agg(F.min("id").alias("node")), "nodes")
+    nodes = stage(usable.groupBy("k1", "k2", "n_grams").agg(F.min("id").alias("node"), F.any_value("parts").alias("parts")), "nodes")
 
     table = sc.broadcast(frequent_ngrams(rows.select("text"), n))
     shape = "gram long, k1 long, k2 long, n_grams int, at int"
     dealt = rows.where("id IS NOT NULL").select("text").mapInArrow(_prefixes(n, percent, table), shape).repartition(partitions(spark), "gram").dropDuplicates(["gram", "k1", "k2"])
-    group = Window.partitionBy("gram")
-    # A group's sets in the order of size: neighbours are the likeliest to be similar.
-    grouped = dealt.withColumn("first", F.struct(F.min(F.struct("n_grams", "k1", "k2")).over(group).alias("lo"), F.max(F.struct("n_grams", "k1", "k2")).over(group).alias("hi"))).where("first.lo <> first.hi").drop("first")
-    known = stage(grouped, "groups").join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
-    shapes = usable.select(F.col("id").alias("node"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "parts")
-    met = known.join(shapes, "node").where("s1 = k1 AND s2 = k2")
-    members = stage(met.select("gram", "node", F.col("n_grams").alias("n"), "at", "parts", "k1", "k2").dropDuplicates(["gram", "node"]), "members")
-    wanted = members.select("k1", "k2", "node").distinct()
-    slots = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-
-    def ones(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 16, bool)
-        bits[pdf.slot.to_numpy() & 0xFFFF] = True
-        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "bits": [np.packbits(bits).tobytes()]})
-
-    blocks = wanted.select(slots.alias("slot")).distinct().withColumn("block", F.shiftright("slot", 16)).groupBy("block").applyInPandas(ones, "block long, bits binary").collect()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in blocks:
-        bits[row.block << 16 : (row.block + 1) << 16] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    filter_bits = sc.broadcast(bits)
-    grams = rows.where("id IS NOT NULL").select("text").mapInArrow(_members(n, filter_bits), "k1 long, k2 long, grams binary").join(wanted, ["k1", "k2"]).groupBy("node").agg(F.any_value("grams").alias("grams"))
-    grams = stage(grams, "grams")
+    # In the order of size a set's neighbours are the nearest in size: if both fail the length filter, all others do.
+    by_size = Window.partitionBy("gram").orderBy("n_grams", "k1", "k2")
+    below, above = F.lag("n_grams").over(by_size), F.lead("n_grams").over(by_size)
+    fits = F.coalesce(below * 100 >= F.col("n_grams") * percent, F.lit(False)) | F.coalesce(F.col("n_grams") * 100 >= above * percent, F.lit(False))
+    grouped = dealt.withColumn("fits", fits).where("fits").drop("fits")
+    members = stage(grouped.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("gram", "node", F.col("n_grams").alias("n"), "at"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = grams.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
-        b = grams.select(F.col("node").alias("b"), F.col("grams").alias("b_grams"))
+        """(a, b, linked). Only the sets of these pairs are made again from the texts and shuffled."""
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        chosen = sc.broadcast(_filter_of(ids))
+        made = rows.where("id IS NOT NULL").mapInArrow(_members(n, chosen), "id long, k1 long, k2 long, grams binary")
+        keys = nodes.join(ids, "node").select(F.col("node").alias("id"), "k1", "k2")
+        grams = stage(made.dropDuplicates(["id", "k1", "k2"]).join(keys, ["id", "k1", "k2"]).select("id", "grams"), "grams")
+        a = grams.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
+        b = grams.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(percent), "a long, b long, linked boolean")
 
     every = members.select("node").distinct().withColumnRenamed("node", "id")
@@ -289,21 +300,15 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
             open_groups = stage(open_groups, "open")
             x, y = open_groups.alias("x"), open_groups.alias("y")
             rise = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-            fit = F.col("x.n") * 100 >= percent * F.col("y.n")
-            place = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-            need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-            apart = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-            close = (F.col("x.n") + F.col("y.n") - apart) / 2 >= need
-            met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & rise & fit & (place >= need) & close)
-            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & rise & _size_and_place("x", "y", percent))
         else:
             order = Window.partitionBy("gram").orderBy("n", "node")
-            me = F.struct("node", "n", "at", "parts", "label")
-            near = labelled.withColumn("near", F.array(F.first(me).over(order), F.lag(me).over(order))).withColumn("to", F.explode("near")).where("to IS NOT NULL AND to.label <> label")
-            pairs = _filtered(near.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("parts").alias("a_parts"), F.col("to.node").alias("b"), F.col("to.n").alias("b_n"), F.col("to.at").alias("b_at"), F.col("to.parts").alias("b_parts")), percent)
+            me = F.struct("node", "n", "at", "label")
+            met = labelled.select(me.alias("x"), F.array(F.first(me).over(order), F.lag(me).over(order)).alias("near")).select("x", F.explode("near").alias("y")).where(F.col("y").isNotNull() & (F.col("y.label") != F.col("x.label")) & _size_and_place("x", "y", percent))
+        pairs = _suffix_filter(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), nodes, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = stage(verified(pairs), "verified")
+        new = stage(verified(stage(pairs, "pairs")), "verified")
         tested = new if tested is None else tested.unionByName(new)
         labels = stage(components(every, tested.where("linked")), "components")
         labelled = members.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m")).drop("m")
