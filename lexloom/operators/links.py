@@ -68,3 +68,23 @@ def verify_links(links: DataFrame, paragraphs: DataFrame, blocks: DataFrame) ->
     key = ["doc_id", "paragraph", "r_start", "r_end", "block_id", "q_start", "q_end"]
     nth = F.row_number().over(Window.partitionBy(*key, F.col("reason").isNull()).orderBy("link"))
     return judged.withColumn("reason", F.when(F.col("reason").isNull() & (nth > 1), "duplicate").otherwise(F.col("reason")))
+
+
+RESPONSE = "choices array<struct<finish_reason:string,message:struct<content:string,refusal:string>>>"
+
+
+def parse_responses(rows: DataFrame) -> DataFrame:
+    """(doc_id, content, fault) of model answers (doc_id, json): one choice that stopped by itself, without a refusal."""
+    r = rows.withColumn("r", F.from_json("json", RESPONSE))
+    one = F.get("r.choices", 0)
+    fault = (
+        F.when(F.col("r.choices").isNull(), "syntax").when(F.size("r.choices") != 1, "choices").when(~F.coalesce(one["finish_reason"] == "stop", F.lit(False)), "finish_reason")
+        .when(one["message"]["refusal"].isNotNull(), "refusal").when(F.coalesce(one["message"]["content"], F.lit("")) == "", "empty")
+    )
+    return r.select("doc_id", F.when(fault.isNull(), one["message"]["content"]).alias("content"), fault.alias("fault"))
+
+
+def answer_format(models: DataFrame) -> DataFrame:
+    """(model, format) from (model, capabilities): the strictest format that a model offers."""
+    c = F.col("capabilities")
+    return models.select("model", F.when(F.array_contains(c, "structured_outputs"), "json_schema").when(F.array_contains(c, "response_format"), "json_object").otherwise("text").alias("format"))

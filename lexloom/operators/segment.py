@@ -102,3 +102,24 @@ def check_segmentation(docs: DataFrame) -> DataFrame:
     whole = u.groupBy("doc_id").agg(_joined(F.lit(True)).alias("rebuilt")).join(docs.select("doc_id", "text"), "doc_id").where("rebuilt <> text").select("doc_id", F.lit("rebuilt").alias("rule"))
     links = u.where("NOT space").groupBy("doc_id", "sentence_ord").agg(F.count_distinct("paragraph_ord").alias("n")).where("n <> 1").select("doc_id", F.lit("sentence_in_paragraph").alias("rule"))
     return tiled.unionByName(dense).unionByName(whole).unionByName(links)
+
+
+def sentence_starts(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, ord, starts): whether a token stands where a sentence starts."""
+    starts = sentences.select("doc_id", "w_start", F.lit(True).alias("starts"))
+    return tokens.select("doc_id", "ord", "w_start").join(starts, ["doc_id", "w_start"], "left").select("doc_id", "ord", F.coalesce("starts", F.lit(False)).alias("starts"))
+
+
+def clip_paragraphs(paragraphs: DataFrame, start: int, end: int) -> DataFrame:
+    """(doc_id, ord, start, end): what of each paragraph lies in [start, end); others are left out."""
+    lo, hi = F.greatest("w_start", F.lit(start)), F.least("w_end", F.lit(end))
+    return paragraphs.select("doc_id", "ord", lo.cast("long").alias("start"), hi.cast("long").alias("end")).where(F.col("end") > F.col("start"))
+
+
+def check_gold(gold: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, start, rule) of gold spans (doc_id, start, end, text): overlapping the one before, or not the text's slice."""
+    before = F.lag("end", 1, 0).over(Window.partitionBy("doc_id").orderBy("start", "end"))
+    rows = gold.withColumn("before", before).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    same = F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("text")
+    rule = F.when(F.col("end") <= F.col("start"), "empty").when(F.col("start") < F.col("before"), "overlap").when(~same, "text")
+    return rows.select("doc_id", "start", rule.alias("rule")).where("rule IS NOT NULL")

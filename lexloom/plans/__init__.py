@@ -1,9 +1,9 @@
 """Registered queries of the library: ``QUERIES`` and their SQL in ``ORACLES``."""
 
-from lexloom.plans import annotation, search, segmentation, store, vectors
+from lexloom.plans import annotation, more, search, segmentation, store, vectors
 
 QUERIES = {}
 ORACLES = {}
-for module in (segmentation, search, store, vectors, annotation):
+for module in (segmentation, search, store, vectors, annotation, more):
     QUERIES |= module.R.queries
     ORACLES |= module.R.oracles
