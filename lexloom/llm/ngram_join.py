@@ -27,9 +27,9 @@ from lexloom.llm.common import mix64, partitions, signed, stage, text_bytes, win
 #: The table of frequent n-grams has at most so many rows (12 bytes each), whatever the corpus.
 FREQUENT = 1 << 18
 #: An n-gram is counted as frequent where so many texts of one stretch of a task hold it.
-LOCALLY = 4
+LOCALLY = 2
 #: n-grams in such a stretch.
-STRETCH = 1 << 21
+STRETCH = 1 << 22
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 128
 #: Bits of the filter that saves shuffling sets of no candidate pair: 1 MB, whatever the corpus.
