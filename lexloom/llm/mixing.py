@@ -80,21 +80,24 @@ def edf_cycle(shares: DataFrame, cycle: int = CYCLE) -> DataFrame:
     return slots.select("slot", F.element_at("s", F.col("p") + 1).alias("x")).select(F.col("slot").cast("bigint").alias("slot"), "x.source", "x.share").select("*", (F.row_number().over(own) - 1).cast("bigint").alias("nth"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 4, power: float = 0.5, cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 4, power: float = 0.5, cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source", carry: Column | None = None) -> DataFrame:
     """(id, source, block_no, in_block, slot, release, deadline), one row for each row of ``docs``.
 
+    With ``carry``, a column of that name holds its value for the row, so that nothing is joined back by id.
+
     Each source's rows, in the order of the md5 of their ids, form blocks of ``block`` rows (the last
     may be shorter); block number and slot count from 0. Reading by (slot, in_block) mixes the
     sources to their weights within less than one block, until the first of them has no rows left; its
     slots then stay empty and nothing is dropped or repeated. A null source is a source; null ids
     come first in theirs; repeated rows are placed one by one; an empty table gives no rows. Only the
-    two columns are used, so extra ones can't clash.
+    two columns and ``carry`` are used, so extra ones can't clash.
 
     A row's number in its source comes from counts by md5 prefix: no task holds more than one
     prefix's rows of a source, however large the source.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source")).select(
-        "id", "source", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("")).alias("h")
+    kept = [] if carry is None else ["carry"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *([] if carry is None else [carry.alias("carry")])).select(
+        "id", "source", F.coalesce(F.md5(F.col("id").cast("string")), F.lit("")).alias("h"), *kept
     )
     bucketed = rows.select("*", F.substring("h", 1, 3).alias("bucket"))
     counts = bucketed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most 4097 for a source
@@ -105,8 +108,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     numbered = (
         bucketed.withColumn("rn", F.row_number().over(within))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-        .select("id", "source", (F.col("offset") + F.col("rn") - 1).alias("n"))
-        .select("id", "source", F.floor(F.col("n") / block).cast("bigint").alias("block_no"), (F.col("n") % block).cast("bigint").alias("in_block"))
+        .select("id", "source", (F.col("offset") + F.col("rn") - 1).alias("n"), *kept)
+        .select("id", "source", F.floor(F.col("n") / block).cast("bigint").alias("block_no"), (F.col("n") % block).cast("bigint").alias("in_block"), *kept)
     )
     p = pattern.select(F.col("source").alias("p_source"), "share", "nth", F.col("slot").alias("p_slot"))
     # The pattern has exactly ``cycle`` rows: the broadcast is bounded.
@@ -117,7 +120,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     return dealt.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "block_no", "in_block",
         (F.floor(i / F.col("share")) * cycle + F.col("p_slot")).alias("slot"),
-        _release(i, F.col("share"), cycle).alias("release"), _deadline(i, F.col("share"), cycle).alias("deadline"),
+        _release(i, F.col("share"), cycle).alias("release"), _deadline(i, F.col("share"), cycle).alias("deadline"), *kept,
     )
 
 
@@ -126,9 +129,9 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, written in the mixed order: files and the rows in them follow the slots."""
-    order = mix_sources(docs).select(F.col("doc_id").alias("o_id"), "slot", "in_block")
-    return docs.join(order, F.col("doc_id").eqNullSafe(F.col("o_id"))).orderBy("slot", "in_block").select(*docs.columns)
+    """The documents, each row once, written in the mixed order: files and the rows in them follow the slots."""
+    order = mix_sources(docs, carry=F.struct(*docs.columns))
+    return order.orderBy("slot", "in_block").select("carry.*")
 
 
 # For each cycle slot, the recursion carries how many blocks of every source are done.

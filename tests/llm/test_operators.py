@@ -302,6 +302,12 @@ def test_mixing_deviates_by_less_than_a_block(spark):
     assert all(len(v) == 1 for v in cells.values())  # one block in a slot
 
 
+def test_mixing_stage_keeps_repeated_and_null_ids_once(spark):
+    rows = [(i if i % 3 else (None if i % 2 else 7), f"text {i}", f"s{i % 4}") for i in range(300)]
+    got = mixing.stage_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted(r.text for r in got.collect()) == sorted(t for _, t, _ in rows)
+
+
 def test_edf_cycle_tracks_every_weight(spark):
     shares = spark.createDataFrame([("a", 47), ("b", 31), ("c", 21), ("d", 1)], "source string, share long")
     order = [r.source for r in mixing.edf_cycle(shares, 100).orderBy("slot").collect()]
