@@ -1,7 +1,7 @@
 """The corpus pipeline: quality classifier, line dedup, near-duplicates, mixing, packing.
 
 Each stage reads what the one before it kept, and its decisions take effect: rejected documents, repeated lines
-and near-duplicates are gone for the later stages, and the mixed order is the order of the written rows. Its
+and near-duplicates are gone for the later stages, and the packed shards follow the mixed order. Its
 classifier and its packing have no SQL, so it is tested against a brute-force version.
 """
 

@@ -128,10 +128,14 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
 
 
+#: The place of a row in the mixed order, as stage_mix writes it: slot, and the row in the slot's block.
+PLACE = ("mix_slot", "mix_place")
+
+
 def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each row once, written in the mixed order: files and the rows in them follow the slots."""
-    order = mix_sources(docs, carry=F.struct(*docs.columns))
-    return order.orderBy("slot", "in_block").select("carry.*")
+    """The documents, each row once, and their place in the mixed order, which the next stage packs by."""
+    order = mix_sources(docs, carry=F.struct(*[c for c in docs.columns if c not in PLACE]))
+    return order.orderBy("slot", "in_block").select("carry.*", F.col("slot").alias(PLACE[0]), F.col("in_block").alias(PLACE[1]))
 
 
 # For each cycle slot, the recursion carries how many blocks of every source are done.

@@ -1,8 +1,9 @@
 """Variable-capacity best-fit packing of token sequences.
 
 Texts longer than the largest capacity are cut into pieces of that capacity and a remainder. Pieces
-go by hash to shards of about SHARD pieces, and each shard is packed on its own: the number of
-shards follows the data, so no task grows with it, and a shard loses at most its last few bins.
+go to shards of about SHARD pieces, by the hash of the row's number or, where an order is given, as
+consecutive pieces of that order. Each shard is packed on its own: the number of shards follows the
+data, whatever the ids, so no task grows with it, and a shard loses at most its last few bins.
 """
 
 from __future__ import annotations
@@ -10,14 +11,19 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import stage
+from lexloom.llm.mixing import PLACE
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Fixed cost of a bin in tokens (its step of the training loop), beside its capacity.
 OVERHEAD = 64
 #: Mean number of pieces in a shard.
 SHARD = 5000
+#: Slots of the mixed order that are numbered in one group.
+RANGE = 1024
 
 
 def token_count(text):
@@ -56,7 +62,7 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) ->
     return placed
 
 
-def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, id_col: str = "doc_id", order: tuple[str, str] | None = None) -> DataFrame:
     """(id, piece, start, n_tokens, shard, bin, offset, capacity, used), one row for each piece.
 
     ``lengths`` is a Column: the tokens of a row. A bin is (shard, bin); its pieces fill [0, used) without
@@ -64,18 +70,31 @@ def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, ove
     every row is in exactly one piece. Rows of no tokens (null or empty text) get one row of piece 0 with no
     bin (bin, offset, capacity null). Repeated rows are packed one by one, null ids too, and only the id and
     the length are read, so extra columns can't clash. An empty table gives no rows.
+
+    ``order`` names two columns, a slot from 0 and the place in it. Each shard then holds consecutive
+    pieces in that order, and shards are numbered along it; a slot must hold few rows.
     """
     capacities = tuple(sorted(set(capacities)))
     top = capacities[-1]
-    rows = docs.select(F.col(id_col).alias("id"), lengths.cast("bigint").alias("len"))
-    pieces = rows.select("id", "len", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("len") / top).cast("int") - 1))).alias("piece")).select(
-        "id", F.col("piece").cast("bigint").alias("piece"), (F.col("piece").cast("bigint") * top).alias("start"), F.least(F.lit(top), F.col("len") - F.col("piece").cast("bigint") * top).alias("n_tokens")
-    )
-    # One count of rows and a sum place the shards; both are a single aggregate row.
-    total = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("len") / top)))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard))
-    # The row's own number in its id keeps the shard of repeated rows together; pieces of one long row spread.
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
+    n = F.greatest(F.lit(1), F.ceil(F.col("len") / top)).cast("bigint")
+    place = [F.col(c).cast("bigint").alias(f"o{k}") for k, c in enumerate(order or ())]
+    # Written once: the texts are read once, and a row keeps its number.
+    rows = stage(docs.select(F.col(id_col).alias("id"), lengths.cast("bigint").alias("len"), *place).withColumn("n", n), "lengths")
+    total = int(rows.agg(F.sum("n")).first()[0] or 0)
+    shards = max(1, -(-total // shard))
+    if order:
+        ranges = rows.withColumn("range", F.floor(F.col("o0") / RANGE))
+        before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # One row for each RANGE slots.
+        offsets = ranges.groupBy("range").agg(F.sum("n").alias("n")).select(F.col("range").alias("o_range"), before(Window.partitionBy(F.lit(0)).orderBy("range")).alias("offset"))
+        numbered = ranges.withColumn("first", before(Window.partitionBy("range").orderBy("o0", "o1"))).join(offsets, F.col("range") == F.col("o_range"))
+        numbered = numbered.withColumn("first", F.col("first") + F.col("offset"))
+        to = F.floor((F.col("first") + F.col("piece")) * shards / max(1, total)).cast("bigint")
+    else:
+        numbered = rows.withColumn("first", F.monotonically_increasing_id())
+        to = F.pmod(F.xxhash64("first", "piece"), F.lit(shards))
+    pieces = numbered.select("id", "len", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("piece"))
+    keyed = pieces.select("id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("len") - F.col("piece") * top).alias("n_tokens"), to.alias("shard"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
@@ -99,4 +118,5 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, token_count(F.col("text")))
+    """Packed along the mixed order, so that every shard has the sources in their target shares."""
+    return pack(docs, token_count(F.col("text")), order=PLACE)

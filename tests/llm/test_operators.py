@@ -308,6 +308,40 @@ def test_mixing_stage_keeps_repeated_and_null_ids_once(spark):
     assert sorted(r.text for r in got.collect()) == sorted(t for _, t, _ in rows)
 
 
+def test_packed_shards_keep_the_mixed_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing.pack, "__defaults__", tuple(200 if x == 5000 else x for x in packing.pack.__defaults__))
+    sizes = {"a": 1600, "b": 400, "c": 100}
+    rows = [(k * 10000 + i, "w " * (1 + i % 50), s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.stage_mix(spark, docs, "").cache()
+    got = packing.stage_pack(spark, mixed.select(*mixed.columns).repartition(5), "").groupBy("shard", "doc_id").count().collect()
+    assert sum(r["count"] for r in got) == len(rows)
+    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
+    shares = {r.source: r.share / mixing.CYCLE for r in mixing.source_shares(counts).collect()}
+    slot = {r.doc_id: r.mix_slot for r in mixed.collect()}
+    source = {i: s for i, _, s in rows}
+    # Until the first source has no rows left, which is where the promise ends.
+    end = min(max(slot[i] for i in slot if source[i] == s) for s in sizes)
+    tested = 0
+    for shard in {r.shard for r in got}:
+        own = [r.doc_id for r in got if r.shard == shard]
+        if max(slot[i] for i in own) >= end:
+            continue
+        tested += 1
+        for s, share in shares.items():
+            # Less than a block from the target at each of the two ends, and the blocks cut by them.
+            assert abs(sum(source[i] == s for i in own) - share * len(own)) < 4 * 4
+    assert tested >= 3
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_packing_spreads_rows_of_one_id(spark, ordered):
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit(5).alias("n"), F.col("id").alias("slot"), F.lit(0).alias("place"))
+    got = packing.pack(docs, F.col("n"), shard=100, order=("slot", "place") if ordered else None).groupBy("shard").count().collect()
+    assert len(got) == 30 and sum(r["count"] for r in got) == 3000
+    assert max(r["count"] for r in got) <= (100 if ordered else 200)
+
+
 def test_edf_cycle_tracks_every_weight(spark):
     shares = spark.createDataFrame([("a", 47), ("b", 31), ("c", 21), ("d", 1)], "source string, share long")
     order = [r.source for r in mixing.edf_cycle(shares, 100).orderBy("slot").collect()]
