@@ -6,15 +6,19 @@ n - ceil(t * n) + 1 of each, so only those prefixes are shuffled. Rare n-grams c
 frequent within the tasks of a scan are counted, and the most frequent of them, a bounded table, go to the end of
 the order. Any order gives the same links; a good one gives few candidates.
 
-Only connectivity is asked for, so pairs that are connected already need no check. Two rounds compare each
+Components need only connectivity, so there pairs that are connected already need no check. Two rounds compare each
 member of a prefix group with the group's first and with its neighbour, which joins copies by as many pairs as
 there are members; a last round takes all remaining pairs across components, so no link is lost. Candidates
 pass the length, positional and suffix filters, and each pair is verified once, on whole sets.
+
+All links lie within components, so their number comes from comparing all sets of a component that are near
+enough in size: classes of size are cut into blocks, and each two blocks meet in a cell of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ STRETCH = 1 << 22
 PARTS = 128
 #: Bits of the filter that saves shuffling sets of no candidate pair: 1 MB, whatever the corpus.
 FILTER_BITS = 23
+#: Sets and n-grams of a block whose sets are all compared with those of another block.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 21
 
 
 def ngram_set(data: np.ndarray, n: int) -> np.ndarray:
@@ -203,6 +209,88 @@ def _verify(percent: int):
     return run
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of common n-grams of each of ``a`` and each of ``b``."""
+    both = np.zeros((len(a), len(b)), np.int64)
+    x, y = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(x, y)
+    if not len(common):
+        return both
+
+    def held(sets, grams):
+        """Of the common n-grams, the place of each that is in a set, and the set, by place."""
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        stay = common[at] == grams
+        at, who = at[stay], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[stay]
+        order = np.argsort(at, kind="stable")
+        return at[order], who[order]
+
+    (ax, aw), (bx, bw) = held(a, x), held(b, y)
+    width = 4096
+    for lo in range(0, len(common), width):
+        parts = []
+        for at, who, n in ((ax, aw, len(a)), (bx, bw, len(b))):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            dense = np.zeros((n, width), np.float32)
+            dense[who[i:j], at[i:j] - lo] = 1
+            parts.append(dense)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _compared(percent: int, pairs: bool):
+    """A cell (c, i, d, j, side, node, grams) to (node, links) of its sets with each other, or to the linked (a, b)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        same = bool(pdf.c.iloc[0] == pdf.d.iloc[0] and pdf.i.iloc[0] == pdf.j.iloc[0])
+        a, b = pdf[pdf.side == 0], pdf if same else pdf[pdf.side == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({k: np.zeros(0, np.int64) for k in (("a", "b") if pairs else ("node", "links"))})
+        x, y = ([np.frombuffer(g, np.uint64) for g in side.grams] for side in (a, b))
+        both = _shared(x, y)
+        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+        linked = 100 * both >= percent * union
+        p, q = a.node.to_numpy(), b.node.to_numpy()
+        if same:
+            np.fill_diagonal(linked, False)
+        if pairs:
+            k, m = np.nonzero(np.triu(linked) if same else linked)
+            return pd.DataFrame({"a": np.minimum(p[k], q[m]), "b": np.maximum(p[k], q[m])})
+        if same:
+            return pd.DataFrame({"node": p, "links": linked.sum(1)})
+        return pd.DataFrame({"node": np.concatenate([p, q]), "links": np.concatenate([linked.sum(1), linked.sum(0)])})
+
+    return run
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(label, c, i, d, j, side, node): the cells that each of ``nodes`` (node, n_grams, label, c) is compared in.
+
+    c and d are classes of size, of which only equal ones and neighbours can hold similar sets; i and j are blocks.
+    """
+    sizes = nodes.groupBy("label", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
+    sizes = stage(sizes.select("label", "c", "k", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("blocks")), "sizes")
+    near = [sizes.select("label", (F.col("c") + by).alias("c"), F.col("blocks").alias(name)) for by, name in ((-1, "above"), (1, "below"))]
+    plan = stage(sizes.join(near[0], ["label", "c"], "left").join(near[1], ["label", "c"], "left").fillna(0, ["above", "below"]).where("k > 1 OR above > 0 OR below > 0"), "plan")
+    own = nodes.join(plan, ["label", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def to(n, f):
+        return F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.col(n)), F.lit(1), F.col(n).cast("int")), f)
+
+    def cell(c, i, d, j, side):
+        return F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), side.cast("int").alias("side"))
+
+    c, i = F.col("c"), F.col("i")
+    inside = to("blocks", lambda j: cell(c, F.least(i, j), c, F.greatest(i, j), i > j))
+    up = to("above", lambda j: cell(c, i, c + 1, j, F.lit(0)))
+    down = to("below", lambda j: cell(c - 1, j, c, i, F.lit(1)))
+    return own.select("label", "node", F.explode(F.concat(F.when(F.col("k") > 1, inside).otherwise(F.array().cast(_CELLS)), up, down)).alias("x")).select("label", "x.*", "node")
+
+
+_CELLS = "array<struct<c:bigint,i:bigint,d:bigint,j:bigint,side:int>>"
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each of ``nodes`` (id) reaches over ``edges`` (a, b).
 
@@ -251,17 +339,38 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").where((size - apart) / 2 >= F.ceil(percent * size / (100 + percent))).select("a", "b")
 
 
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, links): one row for each row of ``docs`` with an id.
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, links): one row for each row of ``docs``; without ``links`` not that column.
 
     A-Z are lower-cased and words are runs of characters other than U+0020 and U+0009 to U+000D. The set of a text
     holds its distinct ``n``-grams, or its whole sequence of words if that is shorter; null texts and texts
     without words have an empty set and are linked with nothing. Two rows link when 100 * intersection >=
-    ``percent`` * union. component_id is the smallest id reachable by links, itself included; links counts the
-    verified links of the row's set to other sets (not all links: pairs connected otherwise are not verified).
+    ``percent`` * union. component_id is the smallest id reachable by links, itself included; links counts all
+    links of the row's set to other sets; rows of equal sets are linked besides. link_pairs has the pairs.
     Rows with equal ids are one document with the component of either; rows with a null id come back with a null
     component. Only the two columns are read, so others can't clash. An empty table gives no rows.
     """
+    sets, nodes, labels, compared = _linked(docs, n, percent, id_col, text_col)
+    named = nodes.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left")
+    kept = [F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("label", "node").alias("component_id")]
+    if links:
+        degree = compared(False).groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "d_node")
+        named = named.join(degree, F.col("node") == F.col("d_node"), "left")
+        kept.append(F.coalesce("links", F.lit(0)).alias("links"))
+    named = stage(named.select(*kept), "named")
+    out = sets.join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("n_grams") > 0), "left")
+    count = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("links")] if links else []
+    return out.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *count)
+
+
+def link_pairs(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, of the smallest ids of two linked sets, and the membership (id, node) of ids in sets."""
+    sets, nodes, _, compared = _linked(docs, n, percent, id_col, text_col)
+    return compared(True), sets.where("id IS NOT NULL").join(nodes.select("k1", "k2", "n_grams", "node"), ["k1", "k2", "n_grams"]).select("id", "node").distinct()
+
+
+def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
+    """The sets, their nodes, the nodes' labels, and a function for the links (node, links) or, if asked, (a, b)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -279,13 +388,16 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     grouped = dealt.withColumn("fits", fits).where("fits").drop("fits")
     members = stage(grouped.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("gram", "node", F.col("n_grams").alias("n"), "at"), "members")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked). Only the sets of these pairs are made again from the texts and shuffled."""
-        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    def grams_of(ids: DataFrame) -> DataFrame:
+        """(id, grams) of ``ids`` (node). Only their sets are made again from the texts and shuffled."""
         chosen = sc.broadcast(_filter_of(ids))
         made = rows.where("id IS NOT NULL").mapInArrow(_members(n, chosen), "id long, k1 long, k2 long, grams binary")
         keys = nodes.join(ids, "node").select(F.col("node").alias("id"), "k1", "k2")
-        grams = stage(made.dropDuplicates(["id", "k1", "k2"]).join(keys, ["id", "k1", "k2"]).select("id", "grams"), "grams")
+        return stage(made.dropDuplicates(["id", "k1", "k2"]).join(keys, ["id", "k1", "k2"]).select("id", "grams"), "grams")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked)."""
+        grams = grams_of(stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
         a = grams.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
         b = grams.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(percent), "a long, b long, linked boolean")
@@ -313,12 +425,16 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         labels = stage(components(every, tested.where("linked")), "components")
         labelled = members.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m")).drop("m")
 
-    linked = tested.where("linked")
-    degree = linked.select(F.explode(F.array("a", "b")).alias("d_node")).groupBy("d_node").agg(F.count(F.lit(1)).alias("links"))
-    named = nodes.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left").join(degree, F.col("node") == F.col("d_node"), "left")
-    named = stage(named.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("label", "node").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "named")
-    out = sets.join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("n_grams") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("links"))
+    def compared(pairs: bool) -> DataFrame:
+        # A little over the greatest ratio of similar sizes, so that rounding can't part them by two classes.
+        width = max(math.log(100 / percent) * 1.0001, 1e-9)
+        sized = nodes.join(labels.select(F.col("id").alias("node"), "label"), "node").select("node", "n_grams", "label", F.floor(F.log(F.col("n_grams").cast("double")) / width).alias("c"))
+        cells = stage(_cells(stage(sized, "sized")), "cells")
+        grams = grams_of(stage(cells.select("node").distinct(), "wanted")).withColumnRenamed("id", "node")
+        shape = "a long, b long" if pairs else "node long, links long"
+        return cells.join(grams, "node").groupBy("label", "c", "i", "d", "j").applyInPandas(_compared(percent, pairs), shape)
+
+    return sets, nodes, labels, compared
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -327,7 +443,7 @@ def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id."""
-    found = link_documents(docs)
+    found = link_documents(docs, links=False)
     stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("s_id")).distinct()
     return docs.join(stay, F.col("doc_id") == F.col("s_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
 

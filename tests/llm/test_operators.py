@@ -129,6 +129,32 @@ def test_ngram_join_odd_rows(spark, docs):
     assert sorted((str(r.doc_id), r.component_id) for r in got.collect()) == [("1", 1), ("2", 2), ("3", 1), ("3", 1), ("None", None)]
 
 
+@pytest.mark.parametrize(("percent", "block"), [(80, 1024), (60, 3)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    words, rows = prose(rng, 120).split(), []
+    for i in range(40):  # mutual near copies, of different lengths
+        changed = list(words)
+        changed[3 * i] = f"own{i}"
+        rows.append((i, " ".join(changed[: 120 - i % 7])))
+    for i in range(15):  # a chain: each is near only to a few others
+        rows.append((100 + i, " ".join((words + prose(random.Random(6), 120).split())[8 * i : 8 * i + 110])))
+    rows += [(200 + i, prose(rng, 50)) for i in range(5)] + [(300, rows[0][1]), (301, None), (302, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").lower().split())}
+    pairs = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {tuple(sorted((first[a], first[b]))) for a, b in pairs}
+    degree = {i: sum(first[i] in p for p in want) for i in sets}
+    got = {r.doc_id: r.links for r in ngram_join.link_documents(docs, 5, percent).collect()}
+    assert got == {i: degree.get(i, 0) for i, _ in rows}
+    assert max(got.values()) >= 39
+    found, members = ngram_join.link_pairs(docs, 5, percent)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert dict(map(tuple, members.collect())) == first
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 50, 51, 60]], "id long")
