@@ -77,8 +77,11 @@ def blob_get(spark, sf_dir):
 
 @R.query("blob_faults", "SELECT 'sha256:' || sha256(text) AS blob_id FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0 GROUP BY 1")
 def blob_faults(spark, sf_dir):
-    faulty = store.blobs(documents(spark, sf_dir).where("doc_id % 5 = 0"), F.col("text")).withColumn("content", F.concat("content", F.lit("x")))
-    return store.blob_faults(faulty).select("blob_id")
+    """All blobs are checked; those of every fifth document were damaged on purpose."""
+    d = documents(spark, sf_dir)
+    damaged = d.where("doc_id % 5 = 0").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("damaged_id")).where("damaged_id IS NOT NULL").distinct()
+    stored = store.blobs(d, F.col("text")).join(damaged, F.col("blob_id") == F.col("damaged_id"), "left")
+    return store.blob_faults(stored.withColumn("content", F.when(F.col("damaged_id").isNotNull(), F.concat("content", F.lit("x"))).otherwise(F.col("content")))).select("blob_id")
 
 
 @R.query("cache_join", "SELECT o_orderkey, o_orderkey % 4 = 0 AS cached FROM orders")

@@ -1,5 +1,6 @@
 """The library's own operators on small texts."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -182,3 +183,16 @@ def test_quote_regions(spark):
     found = quotes.quote_regions(t)
     assert set(map(tuple, found.collect())) == want
     assert {(r.doc_id, r.ord): r.region for r in quotes.innermost(t, found).collect()} == inside
+
+
+def test_blob_faults_checks_every_blob(spark, monkeypatch):
+    from lexloom.operators import store as stores
+    from lexloom.plans import store as queries
+
+    checked, faults = [], stores.blob_faults
+    monkeypatch.setattr(stores, "blob_faults", lambda stored: checked.append(stored.count()) or faults(stored))
+    got = queries.blob_faults(spark, "/root/testdata/sf0.001").collect()
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if r.text is not None]
+    assert checked == [len({r.text for r in rows})]
+    assert {r.blob_id for r in got} == {"sha256:" + hashlib.sha256(r.text.encode()).hexdigest() for r in rows if r.doc_id % 5 == 0}
+    assert len(got) == len({r.blob_id for r in got}) < checked[0]
