@@ -6,27 +6,29 @@ n - ceil(t * n) + 1 of each, so only those prefixes are shuffled. Rare n-grams c
 frequent within the tasks of a scan are counted, and the most frequent of them, a bounded table, go to the end of
 the order. Any order gives the same links; a good one gives few candidates.
 
-Components need only connectivity, so there pairs that are connected already need no check. Two rounds compare each
-member of a prefix group with the group's first and with its neighbour, which joins copies by as many pairs as
-there are members; a last round takes all remaining pairs across components, so no link is lost. Candidates
-pass the length, positional and suffix filters, and each pair is verified once, on whole sets.
-
-All links lie within components, so their number comes from comparing all sets of a component that are near
-enough in size: classes of size are cut into blocks, and each two blocks meet in a cell of bounded size.
+The members of a prefix n-gram meet in one task, sorted by size; an n-gram that the table knows as hot is cut into
+blocks of members first, and each two blocks meet in a cell. A pair is written only if it passes three filters there:
+the sizes (length), what can be shared before and after the n-gram (positional), and the sizes of PARTS hash ranges
+of what follows the n-gram in either set (suffix). An n-gram that no other prefix of a fitting size holds is dead: it
+can't be shared before a shared one, which sharpens the positional filter for copies with many edits.
+
+Components need only connectivity, so sets that are connected already need no check. A first round compares each
+member of an n-gram with the group's head, the member with the fewest dead n-grams, and with its neighbour, which joins
+copies by as many pairs as there are members; a second round takes the pairs across components that pass the filters,
+so no link is lost. Each pair is verified once, on whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import mix64, partitions, signed, stage, text_bytes, window_hashes, word_hashes
+from lexloom.llm.common import discard, mix64, partitions, signed, stage, text_bytes, window_hashes, word_hashes
 
 #: The table of frequent n-grams has at most so many rows (12 bytes each), whatever the corpus.
 FREQUENT = 1 << 18
@@ -34,12 +36,14 @@ FREQUENT = 1 << 18
 LOCALLY = 2
 #: n-grams in such a stretch.
 STRETCH = 1 << 22
-#: Parts of the hash range whose sizes the suffix filter compares.
-PARTS = 128
-#: Bits of the filter that saves shuffling sets of no candidate pair: 1 MB, whatever the corpus.
-FILTER_BITS = 23
-#: Sets and n-grams of a block whose sets are all compared with those of another block.
-BLOCK, BLOCK_GRAMS = 1024, 1 << 21
+#: Hash ranges whose sizes the suffix filter compares; a byte each.
+PARTS = 64
+#: Members of an n-gram in a block; n-grams that the table knows to have more are cut.
+BLOCK = 2048
+#: Bits of the filter that saves shuffling sets of no candidate pair: 8 for each set, at most 16 MB whatever the corpus.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Members that a task reads before it compares the n-grams that are complete.
+CHUNK = 1 << 16
 
 
 def ngram_set(data: np.ndarray, n: int) -> np.ndarray:
@@ -113,55 +117,184 @@ def rare_first(grams: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.n
     return np.lexsort((grams, np.where(often[at] == grams, counts[at], 0)))
 
 
-def _sets(n: int):
-    """(id, text) to (id, k1, k2, n_grams, parts): the set's key, size and the sizes of its parts."""
+def _part(grams: np.ndarray) -> np.ndarray:
+    """The hash range of each n-gram."""
+    return (grams >> np.uint64(58)).astype(np.int64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary Arrow column with one row of a matrix in each cell, without copying."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
+    """The rows of such a column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width) if len(column) else np.zeros((0, width), kind)
+
+
+def _sets(n: int, percent: int, table):
+    """(id, text) to (id, k1, k2, n_grams, prefix, parts): the set's key, size, prefix in order, and sizes of its hash ranges."""
 
     def run(batches):
+        often, counts = table.value
         for batch in batches:
-            keys, sizes, parts = [], [], []
+            keys, sizes, prefixes, parts = [], [], [], []
             for data in text_bytes(batch.column(1)):
                 grams = ngram_set(data, n) if data is not None else np.zeros(0, np.uint64)
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
-                parts.append(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype(np.int32).tolist())
+                prefixes.append(signed(grams[rare_first(grams, often, counts)[: prefix_size(len(grams), percent)]]) if len(grams) else np.zeros(0, np.int64))
+                parts.append(np.bincount(_part(grams), minlength=PARTS).astype(np.int32))
+            ends = np.cumsum([0] + [len(x) for x in prefixes]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["id", "k1", "k2", "n_grams", "parts"]
-            )
+                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))), _binary(np.array(parts, np.int32).reshape(-1, PARTS))],
+                names=["id", "k1", "k2", "n_grams", "prefix", "parts"],
+            )
 
     return run
 
 
-def _prefixes(n: int, percent: int, table):
-    """(text) to (gram, k1, k2, n_grams, at): the prefix of each set once in a task."""
+def _members(cells: bool, table):
+    """(node, n_grams, prefix, parts, alive, label) to a row for each alive n-gram of a node's prefix.
+
+    (gram, i, j, side, n, node, at, before, label, suffix): ``at`` n-grams of the set and ``before`` alive ones come before it, and
+    ``suffix`` has the sizes of the hash ranges of what follows, at most 255. Members of a hot n-gram are in block i or
+    j of a cell as ``side`` tells (2: both); without ``cells`` only in their own block's.
+    """
+    kinds = (np.int64, np.int32, np.int32, np.int8, np.int32, np.int64, np.int32, np.int32, np.int64)
+    names = ["gram", "i", "j", "side", "n", "node", "at", "before", "label", "suffix"]
 
     def run(batches):
         often, counts = table.value
-        seen: set[tuple[int, int]] = set()
+        hot = counts > BLOCK
+        hot_grams, blocks_of = often[hot], -(-counts[hot] // BLOCK)
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for data in text_bytes(batch.column(0)):
-                grams = ngram_set(data, n) if data is not None else np.zeros(0, np.uint64)
-                if not len(grams) or (key := set_key(grams)) in seen:
-                    continue
-                seen.add(key)
-                p = prefix_size(len(grams), percent)
-                values = grams[rare_first(grams, often, counts)[:p]]
-                for column, x in zip(out, (signed(values), np.full(p, key[0]), np.full(p, key[1]), np.full(p, len(grams), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+            out, held = [[] for _ in names], 0
+            whole = _matrix(batch.column("parts"), np.int32, PARTS)
+            for k, (node, n, prefix, alive, label) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n_grams").to_pylist(), batch.column("prefix"), batch.column("alive"), batch.column("label").to_pylist(), strict=True)):
+                grams = np.asarray(prefix.values).view(np.uint64)
+                at = np.sort(np.asarray(alive.values)).astype(np.int64)
+                seen = np.zeros((len(grams), PARTS), np.int32)
+                seen[np.arange(len(grams)), _part(grams)] = 1
+                suffix = np.minimum(whole[k] - seen.cumsum(0)[at], 255).astype(np.uint8)
+                own, before = grams[at], np.arange(len(at))
+                i, j, side = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), 2)
+                if len(hot_grams):
+                    spot = np.minimum(np.searchsorted(hot_grams, own), len(hot_grams) - 1)
+                    blocks = np.where(hot_grams[spot] == own, blocks_of[spot], 1)
+                    mine = (mix64(own ^ np.uint64(node & (1 << 64) - 1)) % blocks.astype(np.uint64)).astype(np.int64)
+                    i, j = mine, mine
+                    if cells and blocks.max() > 1:
+                        again = np.repeat(np.arange(len(at)), blocks)
+                        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                        own, at, before, suffix, mine = own[again], at[again], before[again], suffix[again], mine[again]
+                        i, j, side = np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 2, (mine > other).astype(np.int64))
+                size = len(own)
+                for column, x in zip(out, (signed(own), i, j, side, np.full(size, n), np.full(size, node), at, before, np.full(size, label), suffix), strict=True):
                     column.append(x)
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in zip(out, kinds, strict=True)], names=["gram", "k1", "k2", "n_grams", "at"])
+                held += size
+                if held > CHUNK:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)], _binary(np.concatenate(out[-1]))], names=names)
+                    out, held = [[] for _ in names], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)], _binary(np.concatenate(out[-1]))], names=names)
+
+    return run
+
+
+def _met(percent: int, heads: bool):
+    """Members sorted by (gram, i, j, n, node) to the distinct pairs (a, b) of a stretch of them that pass the filters.
+
+    With ``heads`` only pairs with the group's head and with the neighbour in the order of dead n-grams, else all pairs
+    across labels.
+    """
+
+    def passed(m, x, y):
+        """Which of the pairs of rows (x, y), which share an n-gram, pass the length, positional and suffix filters."""
+        nx, ny = m["n"][x], m["n"][y]
+        need = -(-percent * (nx + ny) // (100 + percent))
+        shared = np.minimum(m["before"][x], m["before"][y])
+        ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (shared + np.minimum(nx - m["at"][x], ny - m["at"][y]) >= need) & ((m["side"][x] == 2) | (m["side"][x] != m["side"][y])) & (m["label"][x] != m["label"][y])
+        x, y = x[ok], y[ok]
+        found = []
+        for lo in range(0, len(x), CHUNK):
+            p, q = x[lo : lo + CHUNK], y[lo : lo + CHUNK]
+            apart = np.abs(m["suffix"][p].astype(np.int16) - m["suffix"][q]).sum(axis=1)
+            rest = (m["n"][p] - m["at"][p] - 1) + (m["n"][q] - m["at"][q] - 1)
+            most = np.minimum(m["before"][p], m["before"][q]) + 1 + (rest - apart) // 2
+            found.append(most >= -(-percent * (m["n"][p] + m["n"][q]) // (100 + percent)))
+        good = np.concatenate(found) if found else np.zeros(0, bool)
+        return x[good], y[good]
+
+    def compared(m):
+        size = len(m["node"])
+        new = np.ones(size, bool)
+        new[1:] = (m["gram"][1:] != m["gram"][:-1]) | (m["i"][1:] != m["i"][:-1]) | (m["j"][1:] != m["j"][:-1])
+        group = np.cumsum(new) - 1
+        if heads:
+            order = np.lexsort((m["node"], m["n"], m["at"] - m["before"], group))
+            first = order[np.flatnonzero(new)]  # groups are contiguous in either order
+            sides = [(order, first[group[order]]), (order[1:], order[:-1])]
+            for x, y in sides:
+                stay = (x != y) & (group[x] == group[y])
+                yield passed(m, x[stay], y[stay])
+            return
+        last = np.r_[np.flatnonzero(new)[1:], size][group] - 1
+        x, step = np.arange(size), 1
+        while True:
+            x = x[x + step <= last[x]]
+            x = x[100 * m["n"][x] >= percent * m["n"][x + step]]  # sizes rise: who fails now fails further on
+            if not len(x):
+                return
+            yield passed(m, x, x + step)
+            step += 1
+
+    def pairs(m):
+        found = [(np.minimum(m["node"][x], m["node"][y]), np.maximum(m["node"][x], m["node"][y])) for x, y in compared(m) if len(x)]
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        stay = np.ones(len(a), bool)
+        stay[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[stay]), pa.array(b[stay])], names=["a", "b"])
+
+    def run(batches):
+        names, rest = ("gram", "i", "j", "side", "n", "node", "at", "before", "label"), None
+        held, size = [], 0
+
+        def joined():
+            return {k: np.concatenate([h[k] for h in held]) for k in (*names, "suffix")}
+
+        for batch in batches:
+            part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names} | {"suffix": _matrix(batch.column("suffix"), np.uint8, PARTS)}
+            part |= {k: part[k].astype(np.int64) for k in ("n", "at", "before")}
+            held.append(part)
+            size += batch.num_rows
+            if size >= CHUNK:
+                m = joined()
+                same = (m["gram"] == m["gram"][-1]) & (m["i"] == m["i"][-1]) & (m["j"] == m["j"][-1])
+                cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+                if cut:
+                    yield pairs({k: v[:cut] for k, v in m.items()})
+                held, size = [{k: v[cut:] for k, v in m.items()}], 0
+        if held:
+            yield pairs(joined())
 
     return run
 
 
-def _members(n: int, bits):
+def _chosen(n: int, bits):
     """(id, text) to (id, k1, k2, grams) for the texts whose id is in the filter; others are not even split."""
 
     def run(batches):
         wanted = bits.value
         for batch in batches:
             rows = []
-            chosen = wanted[_slots(batch.column(0).to_numpy(zero_copy_only=False))]
+            chosen = wanted[_slots(batch.column(0).to_numpy(zero_copy_only=False), len(wanted))]
             for i, (doc, data) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)):
                 if chosen[i] and data is not None:
                     grams = ngram_set(data, n)
@@ -171,17 +304,18 @@ def _members(n: int, bits):
     return run
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _slots(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot that one of ``ids`` (node) falls in. Blocks of bits are joined by key, the driver gets 1 MB."""
-    width = 1 << 16
+    """A bit for each slot that one of ``ids`` (node) falls in. Blocks of bits are joined by key, the driver gets at most 16 MB."""
+    width = 1 << LEAST_BITS
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * ids.count()).bit_length()))
 
     def local(batches):
         for pdf in batches:
-            slots = np.unique(_slots(pdf.node.to_numpy()))
+            slots = np.unique(_slots(pdf.node.to_numpy(), size))
             yield pd.DataFrame({"block": slots // width, "slot": slots % width})
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +324,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "bits": [np.packbits(bits).tobytes()]})
 
     slots = ids.mapInPandas(local, "block long, slot long").distinct()  # at most ``width`` for a block
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits = np.zeros(size, bool)
     for row in slots.groupBy("block").applyInPandas(joined, "block long, bits binary").collect():
         bits[row.block * width : (row.block + 1) * width] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
     return bits
@@ -209,88 +343,6 @@ def _verify(percent: int):
     return run
 
 
-def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """The number of common n-grams of each of ``a`` and each of ``b``."""
-    both = np.zeros((len(a), len(b)), np.int64)
-    x, y = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(x, y)
-    if not len(common):
-        return both
-
-    def held(sets, grams):
-        """Of the common n-grams, the place of each that is in a set, and the set, by place."""
-        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        stay = common[at] == grams
-        at, who = at[stay], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[stay]
-        order = np.argsort(at, kind="stable")
-        return at[order], who[order]
-
-    (ax, aw), (bx, bw) = held(a, x), held(b, y)
-    width = 4096
-    for lo in range(0, len(common), width):
-        parts = []
-        for at, who, n in ((ax, aw, len(a)), (bx, bw, len(b))):
-            i, j = np.searchsorted(at, [lo, lo + width])
-            dense = np.zeros((n, width), np.float32)
-            dense[who[i:j], at[i:j] - lo] = 1
-            parts.append(dense)
-        both += (parts[0] @ parts[1].T).astype(np.int64)
-    return both
-
-
-def _compared(percent: int, pairs: bool):
-    """A cell (c, i, d, j, side, node, grams) to (node, links) of its sets with each other, or to the linked (a, b)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        same = bool(pdf.c.iloc[0] == pdf.d.iloc[0] and pdf.i.iloc[0] == pdf.j.iloc[0])
-        a, b = pdf[pdf.side == 0], pdf if same else pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({k: np.zeros(0, np.int64) for k in (("a", "b") if pairs else ("node", "links"))})
-        x, y = ([np.frombuffer(g, np.uint64) for g in side.grams] for side in (a, b))
-        both = _shared(x, y)
-        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
-        linked = 100 * both >= percent * union
-        p, q = a.node.to_numpy(), b.node.to_numpy()
-        if same:
-            np.fill_diagonal(linked, False)
-        if pairs:
-            k, m = np.nonzero(np.triu(linked) if same else linked)
-            return pd.DataFrame({"a": np.minimum(p[k], q[m]), "b": np.maximum(p[k], q[m])})
-        if same:
-            return pd.DataFrame({"node": p, "links": linked.sum(1)})
-        return pd.DataFrame({"node": np.concatenate([p, q]), "links": np.concatenate([linked.sum(1), linked.sum(0)])})
-
-    return run
-
-
-def _cells(nodes: DataFrame) -> DataFrame:
-    """(label, c, i, d, j, side, node): the cells that each of ``nodes`` (node, n_grams, label, c) is compared in.
-
-    c and d are classes of size, of which only equal ones and neighbours can hold similar sets; i and j are blocks.
-    """
-    sizes = nodes.groupBy("label", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
-    sizes = stage(sizes.select("label", "c", "k", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("blocks")), "sizes")
-    near = [sizes.select("label", (F.col("c") + by).alias("c"), F.col("blocks").alias(name)) for by, name in ((-1, "above"), (1, "below"))]
-    plan = stage(sizes.join(near[0], ["label", "c"], "left").join(near[1], ["label", "c"], "left").fillna(0, ["above", "below"]).where("k > 1 OR above > 0 OR below > 0"), "plan")
-    own = nodes.join(plan, ["label", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
-
-    def to(n, f):
-        return F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.col(n)), F.lit(1), F.col(n).cast("int")), f)
-
-    def cell(c, i, d, j, side):
-        return F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), side.cast("int").alias("side"))
-
-    c, i = F.col("c"), F.col("i")
-    inside = to("blocks", lambda j: cell(c, F.least(i, j), c, F.greatest(i, j), i > j))
-    up = to("above", lambda j: cell(c, i, c + 1, j, F.lit(0)))
-    down = to("below", lambda j: cell(c - 1, j, c, i, F.lit(1)))
-    return own.select("label", "node", F.explode(F.concat(F.when(F.col("k") > 1, inside).otherwise(F.array().cast(_CELLS)), up, down)).alias("x")).select("label", "x.*", "node")
-
-
-_CELLS = "array<struct<c:bigint,i:bigint,d:bigint,j:bigint,side:int>>"
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each of ``nodes`` (id) reaches over ``edges`` (a, b).
 
@@ -320,121 +372,112 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels.select(F.col("id").alias("m"), "up"), F.col("id") == F.col("m"), "left").select("id", F.coalesce("up", "id").alias("label"))
 
 
-def _size_and_place(x: str, y: str, percent: int) -> Column:
-    """The length and positional filters on n and at of two members with a common n-gram.
-
-    They can share what stands before it in both, the n-gram, and what follows in both.
-    """
-    xn, yn, xa, ya = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-    fit = F.least(xn, yn) * 100 >= percent * F.greatest(xn, yn)
-    return fit & (F.least(xa, ya) + F.least(xn - xa, yn - ya) >= F.ceil(percent * (xn + yn) / (100 + percent)))
-
-
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose parts of the hash range differ by little enough in size."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n_grams").alias("a_n"), F.col("parts").alias("a_parts"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n_grams").alias("b_n"), F.col("parts").alias("b_parts"))
-    apart = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    size = F.col("a_n") + F.col("b_n")
-    return pairs.join(a, "a").join(b, "b").where((size - apart) / 2 >= F.ceil(percent * size / (100 + percent))).select("a", "b")
-
-
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
-    """(id, n_shingles, component_id, links): one row for each row of ``docs``; without ``links`` not that column.
+class _Join:
+    """The sets of a table, its nodes (different sets, by the smallest id) and the alive n-grams of their prefixes."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
+        self.n, self.percent, self.spark = n, percent, docs.sparkSession
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.table = self.spark.sparkContext.broadcast(frequent_ngrams(self.rows.select("text"), n))
+        made = self.rows.mapInArrow(_sets(n, percent, self.table), "id long, k1 long, k2 long, n_grams int, prefix array<long>, parts binary")
+        self.sets = stage(made, "sets")
+        first = self.sets.where("id IS NOT NULL AND n_grams > 0").groupBy("k1", "k2", "n_grams")
+        self.nodes = stage(first.agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts")), "nodes")
+        self.alive = self._alive()
+
+    def _alive(self) -> DataFrame:
+        """(node, alive): the places of a node's prefix whose n-gram another prefix of a fitting size holds too.
+
+        n-grams that are cut into blocks count as alive, so no hot one is gathered here.
+        """
+        often, counts = self.table.value
+        hot = signed(often[counts > BLOCK]).tolist()
+        flat = self.nodes.select("node", "n_grams", F.posexplode("prefix").alias("at", "gram"))
+        # In the order of size a set's neighbours are the nearest in size: if both fail the length filter, all others do.
+        by_size = Window.partitionBy("gram").orderBy("n_grams", "node")
+        below, above = F.lag("n_grams").over(by_size), F.lead("n_grams").over(by_size)
+        fits = F.coalesce(below * 100 >= F.col("n_grams") * self.percent, F.lit(False)) | F.coalesce(F.col("n_grams") * 100 >= above * self.percent, F.lit(False))
+
+        def met(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("fits", fits).where("fits").select("node", "at")
+
+        if hot:
+            known = F.broadcast(self.spark.createDataFrame([(x,) for x in hot], "gram long"))  # at most FREQUENT
+            found = met(flat.join(known, "gram", "left_anti")).unionByName(flat.join(known, "gram", "left_semi").select("node", "at"))
+        else:
+            found = met(flat)
+        return stage(found.groupBy("node").agg(F.collect_list("at").alias("alive")), "alive")
+
+    def candidates(self, labels: DataFrame | None, heads: bool) -> DataFrame:
+        """Distinct pairs (a, b), a < b, that pass the filters; with ``labels`` (id, label) only those across labels."""
+        nodes = self.alive.join(self.nodes.select("node", "n_grams", "prefix", "parts"), "node")
+        if labels is None:
+            nodes = nodes.withColumn("label", F.col("node"))
+        else:
+            nodes = nodes.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"))
+        shape = "gram long, i int, j int, side byte, n int, node long, at int, before int, label long, suffix binary"
+        members = nodes.select("node", "n_grams", "prefix", "parts", "alive", "label").mapInArrow(_members(not heads, self.table), shape)
+        sorted_ = members.repartition(partitions(self.spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "node")
+        return sorted_.mapInArrow(_met(self.percent, heads), "a long, b long").distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked), on whole sets. Only the sets of these pairs are made again from the texts and shuffled."""
+        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        chosen = self.spark.sparkContext.broadcast(_filter_of(wanted))
+        made = self.rows.where("id IS NOT NULL").mapInArrow(_chosen(self.n, chosen), "id long, k1 long, k2 long, grams binary")
+        keys = self.nodes.join(wanted, "node").select(F.col("node").alias("id"), "k1", "k2")
+        grams = stage(made.join(keys, ["id", "k1", "k2"]).dropDuplicates(["id"]).select("id", "grams"), "grams")
+        a = grams.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
+        b = grams.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
+        done = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(self.percent), "a long, b long, linked boolean"), "verified")
+        discard(wanted, grams)
+        return done
+
+    def labels(self) -> DataFrame:
+        """(id, label) of the nodes with alive n-grams: the smallest node reachable by links."""
+        every = self.alive.select(F.col("node").alias("id"))
+        pairs = stage(self.candidates(None, heads=True), "pairs")
+        tested = self.verified(pairs)
+        discard(pairs)
+        found = stage(components(every, tested.where("linked")), "components")
+        pairs = stage(self.candidates(found, heads=False).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return found
+        rest = self.verified(pairs)
+        discard(pairs)
+        return stage(components(every, tested.unionByName(rest).where("linked")), "components")
+
+    def links(self) -> DataFrame:
+        """(a, b), a < b: all pairs of linked nodes."""
+        return self.verified(stage(self.candidates(None, heads=False), "pairs")).where("linked").select("a", "b")
+
+
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): one row for each row of ``docs``.
 
     A-Z are lower-cased and words are runs of characters other than U+0020 and U+0009 to U+000D. The set of a text
     holds its distinct ``n``-grams, or its whole sequence of words if that is shorter; null texts and texts
     without words have an empty set and are linked with nothing. Two rows link when 100 * intersection >=
-    ``percent`` * union. component_id is the smallest id reachable by links, itself included; links counts all
-    links of the row's set to other sets; rows of equal sets are linked besides. link_pairs has the pairs.
-    Rows with equal ids are one document with the component of either; rows with a null id come back with a null
+    ``percent`` * union. component_id is the smallest id reachable by links, itself included. link_pairs has the links
+    themselves. Rows with equal ids are one document with the component of either; rows with a null id come back with a null
     component. Only the two columns are read, so others can't clash. An empty table gives no rows.
     """
-    sets, nodes, labels, compared = _linked(docs, n, percent, id_col, text_col)
-    named = nodes.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left")
-    kept = [F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("label", "node").alias("component_id")]
-    if links:
-        degree = compared(False).groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "d_node")
-        named = named.join(degree, F.col("node") == F.col("d_node"), "left")
-        kept.append(F.coalesce("links", F.lit(0)).alias("links"))
-    named = stage(named.select(*kept), "named")
+    join = _Join(docs, n, percent, id_col, text_col)
+    named = join.nodes.select("k1", "k2", "node").join(join.labels().select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left")
+    named = stage(named.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("label", "node").alias("component_id")), "named")
+    sets = join.sets.select("id", "k1", "k2", "n_grams")
     out = sets.join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("n_grams") > 0), "left")
-    count = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("links")] if links else []
-    return out.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *count)
+    return out.select(F.col("id").alias(id_col), F.col("n_grams").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def link_pairs(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All links: (a, b), a < b, of the smallest ids of two linked sets, and the membership (id, node) of ids in sets."""
-    sets, nodes, _, compared = _linked(docs, n, percent, id_col, text_col)
-    return compared(True), sets.where("id IS NOT NULL").join(nodes.select("k1", "k2", "n_grams", "node"), ["k1", "k2", "n_grams"]).select("id", "node").distinct()
-
-
-def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
-    """The sets, their nodes, the nodes' labels, and a function for the links (node, links) or, if asked, (a, b)."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stage(rows.mapInArrow(_sets(n), "id long, k1 long, k2 long, n_grams long, parts array<int>"), "sets")
-    usable = sets.where("id IS NOT NULL AND n_grams > 0")
-    nodes = stage(usable.groupBy("k1", "k2", "n_grams").agg(F.min("id").alias("node"), F.any_value("parts").alias("parts")), "nodes")
-
-    table = sc.broadcast(frequent_ngrams(rows.select("text"), n))
-    shape = "gram long, k1 long, k2 long, n_grams int, at int"
-    dealt = rows.where("id IS NOT NULL").select("text").mapInArrow(_prefixes(n, percent, table), shape).repartition(partitions(spark), "gram").dropDuplicates(["gram", "k1", "k2"])
-    # In the order of size a set's neighbours are the nearest in size: if both fail the length filter, all others do.
-    by_size = Window.partitionBy("gram").orderBy("n_grams", "k1", "k2")
-    below, above = F.lag("n_grams").over(by_size), F.lead("n_grams").over(by_size)
-    fits = F.coalesce(below * 100 >= F.col("n_grams") * percent, F.lit(False)) | F.coalesce(F.col("n_grams") * 100 >= above * percent, F.lit(False))
-    grouped = dealt.withColumn("fits", fits).where("fits").drop("fits")
-    members = stage(grouped.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("gram", "node", F.col("n_grams").alias("n"), "at"), "members")
-
-    def grams_of(ids: DataFrame) -> DataFrame:
-        """(id, grams) of ``ids`` (node). Only their sets are made again from the texts and shuffled."""
-        chosen = sc.broadcast(_filter_of(ids))
-        made = rows.where("id IS NOT NULL").mapInArrow(_members(n, chosen), "id long, k1 long, k2 long, grams binary")
-        keys = nodes.join(ids, "node").select(F.col("node").alias("id"), "k1", "k2")
-        return stage(made.dropDuplicates(["id", "k1", "k2"]).join(keys, ["id", "k1", "k2"]).select("id", "grams"), "grams")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked)."""
-        grams = grams_of(stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
-        a = grams.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
-        b = grams.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(percent), "a long, b long, linked boolean")
-
-    every = members.select("node").distinct().withColumnRenamed("node", "id")
-    tested, labelled = None, members.withColumn("label", F.col("node"))
-    for last in (False, False, True):
-        if last:
-            # Only groups that still span components; the pairs in them across components.
-            spread = Window.partitionBy("gram")
-            open_groups = labelled.withColumn("lo", F.min("label").over(spread)).withColumn("hi", F.max("label").over(spread)).where("lo <> hi").drop("lo", "hi")
-            open_groups = stage(open_groups, "open")
-            x, y = open_groups.alias("x"), open_groups.alias("y")
-            rise = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-            met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & rise & _size_and_place("x", "y", percent))
-        else:
-            order = Window.partitionBy("gram").orderBy("n", "node")
-            me = F.struct("node", "n", "at", "label")
-            met = labelled.select(me.alias("x"), F.array(F.first(me).over(order), F.lag(me).over(order)).alias("near")).select("x", F.explode("near").alias("y")).where(F.col("y").isNotNull() & (F.col("y.label") != F.col("x.label")) & _size_and_place("x", "y", percent))
-        pairs = _suffix_filter(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), nodes, percent)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = stage(verified(stage(pairs, "pairs")), "verified")
-        tested = new if tested is None else tested.unionByName(new)
-        labels = stage(components(every, tested.where("linked")), "components")
-        labelled = members.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m")).drop("m")
-
-    def compared(pairs: bool) -> DataFrame:
-        # A little over the greatest ratio of similar sizes, so that rounding can't part them by two classes.
-        width = max(math.log(100 / percent) * 1.0001, 1e-9)
-        sized = nodes.join(labels.select(F.col("id").alias("node"), "label"), "node").select("node", "n_grams", "label", F.floor(F.log(F.col("n_grams").cast("double")) / width).alias("c"))
-        cells = stage(_cells(stage(sized, "sized")), "cells")
-        grams = grams_of(stage(cells.select("node").distinct(), "wanted")).withColumnRenamed("id", "node")
-        shape = "a long, b long" if pairs else "node long, links long"
-        return cells.join(grams, "node").groupBy("label", "c", "i", "d", "j").applyInPandas(_compared(percent, pairs), shape)
-
-    return sets, nodes, labels, compared
+    """All links: (a, b), a < b, of the smallest ids of two linked sets, and the membership (id, node) of ids in sets.
+
+    Its rows are as many as there are links between different sets, which for m mutual near copies is about m * m / 2.
+    """
+    join = _Join(docs, n, percent, id_col, text_col)
+    keys = ["k1", "k2", "n_grams"]
+    return join.links(), join.sets.where("id IS NOT NULL").select("id", *keys).join(join.nodes.select(*keys, "node"), keys).select("id", "node").distinct()
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -443,7 +486,7 @@ def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id."""
-    found = link_documents(docs, links=False)
+    found = link_documents(docs)
     stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("s_id")).distinct()
     return docs.join(stay, F.col("doc_id") == F.col("s_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
