@@ -2,7 +2,7 @@
 
 Texts longer than the largest capacity are cut into pieces of that capacity and a remainder. Pieces
 go to shards of about SHARD pieces, by the hash of the row's number or, where an order is given, as
-consecutive pieces of that order. Each shard is packed on its own: the number of shards follows the
+consecutive pieces of that order. Each shard is packed on its own, with the sizes to open chosen jointly for all its pieces: the number of shards follows the
 data, whatever the ids, so no task grows with it, and a shard loses at most its last few bins.
 """
 
@@ -18,8 +18,10 @@ from lexloom.llm.common import stage
 from lexloom.llm.mixing import PLACE
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: Fixed cost of a bin in tokens (its step of the training loop), beside its capacity.
+#: Fixed cost of a bin in tokens (its step of the training loop).
 OVERHEAD = 64
+#: Attention costs a bin of so many tokens as much as all the rest: a bin of c tokens costs OVERHEAD + c + c * c / ATTENTION.
+ATTENTION = 8192
 #: Mean number of pieces in a shard.
 SHARD = 5000
 #: Slots of the mixed order that are numbered in one group.
@@ -31,38 +33,68 @@ def token_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def open_size(length: int, left: int, capacities: tuple[int, ...], overhead: int) -> int:
-    """The capacity whose cost for each token that it can still get is least; ties go to the smaller.
+def bin_cost(capacity: int, overhead: int, attention: int) -> float:
+    return overhead + capacity + capacity * capacity / attention
+
+
+def open_size(length: int, left: int, sizes: tuple[int, ...], cost: dict[int, float]) -> int:
+    """Of ``sizes`` the one whose cost for each token that it can still get is least; ties go to the smaller.
 
     ``left`` is what remains to be packed, ``length`` included.
     """
-    return min((c for c in capacities if c >= length), key=lambda c: ((overhead + c) / min(c, left), c))
+    return min((c for c in sizes if c >= length), key=lambda c: (cost[c] / min(c, left), c))
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> list[tuple[int, int]]:
-    """(bin, offset) for each of ``lengths``, which come in decreasing order.
+def best_fit(lengths: list[int], sizes: tuple[int, ...], cost: dict[int, float], smallest: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) for each of ``lengths``, which come in decreasing order, and what each bin holds.
 
-    Each goes to the open bin that it leaves fullest (the oldest of equals); where none has room, the
-    least-cost size is opened.
+    Each goes to the open bin that it leaves fullest (the oldest of equals); where none has room, a bin opens: of the
+    least-cost size or, with ``smallest``, of the smallest that holds it.
     """
     free: list[tuple[int, int]] = []  # (room, bin), sorted
-    sizes: list[int] = []
+    opened: list[int] = []
+    used: list[int] = []
     placed, left = [], sum(lengths)
     for n in lengths:
         at = bisect.bisect_left(free, (n, -1))
         if at == len(free):
-            sizes.append(open_size(n, left, capacities, overhead))
-            room, b = sizes[-1], len(sizes) - 1
+            opened.append(sizes[bisect.bisect_left(sizes, n)] if smallest else open_size(n, left, sizes, cost))
+            used.append(0)
+            room, b = opened[-1], len(opened) - 1
         else:
             room, b = free.pop(at)
-        placed.append((b, sizes[b] - room))
+        placed.append((b, used[b]))
+        used[b] += n
         if room > n:
             bisect.insort(free, (room - n, b))
         left -= n
-    return placed
+    return placed, used
 
 
-def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, id_col: str = "doc_id", order: tuple[str, str] | None = None) -> DataFrame:
+def least_cost(lengths: list[int], capacities: tuple[int, ...], overhead: int, attention: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """The cheapest of the best-fit packings over all sets of sizes to open, each bin downsized to its contents.
+
+    All sizes are weighed together on the lengths at hand: which sizes are worth opening depends on what is left to fill
+    them. With k capacities these are 2 ** (k - 1) sets, as the largest one that is needed is in each.
+    """
+    if not lengths:
+        return [], []
+    cost = {c: bin_cost(c, overhead, attention) for c in capacities}
+    need = capacities[bisect.bisect_left(capacities, lengths[0])]
+    smaller = [c for c in capacities if c < need]
+    best = None
+    for larger in (need, *(c for c in capacities if c > need)):
+        for k in range(1 << len(smaller)):
+            sizes = (*(c for i, c in enumerate(smaller) if k >> i & 1), larger)
+            for smallest in (True, False) if len(sizes) > 1 else (True,):
+                placed, used = best_fit(lengths, sizes, cost, smallest)
+                total = sum(cost[capacities[bisect.bisect_left(capacities, u)]] for u in used)
+                if best is None or total < best[0] - 1e-9:
+                    best = total, placed, used
+    return best[1], best[2]
+
+
+def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, shard: int = SHARD, id_col: str = "doc_id", order: tuple[str, str] | None = None) -> DataFrame:
     """(id, piece, start, n_tokens, shard, bin, offset, capacity, used), one row for each piece.
 
     ``lengths`` is a Column: the tokens of a row. A bin is (shard, bin); its pieces fill [0, used) without
@@ -78,8 +110,8 @@ def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, ove
     top = capacities[-1]
     n = F.greatest(F.lit(1), F.ceil(F.col("len") / top)).cast("bigint")
     place = [F.col(c).cast("bigint").alias(f"o{k}") for k, c in enumerate(order or ())]
-    # Written once: the texts are read once, and a row keeps its number.
-    rows = stage(docs.select(F.col(id_col).alias("id"), lengths.cast("bigint").alias("len"), *place).withColumn("n", n), "lengths")
+    # Written once: the texts are read once, and a row keeps its number. Ids are text, as pandas rounds large ones beside nulls.
+    rows = stage(docs.select(F.col(id_col).cast("string").alias("id"), lengths.cast("bigint").alias("len"), *place).withColumn("n", n), "lengths")
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
     shards = max(1, -(-total // shard))
     if order:
@@ -99,17 +131,17 @@ def pack(docs: DataFrame, lengths, capacities: tuple[int, ...] = CAPACITIES, ove
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
         full = pdf[pdf.n_tokens > 0].copy()
-        placed = best_fit(full.n_tokens.tolist(), capacities, overhead)
+        placed, used = least_cost(full.n_tokens.tolist(), capacities, overhead, attention)
         full["bin"] = [b for b, _ in placed]
         full["offset"] = [at for _, at in placed]
-        full["used"] = full.groupby("bin").n_tokens.transform("sum")
+        full["used"] = [used[b] for b, _ in placed]
         full["capacity"] = [capacities[bisect.bisect_left(capacities, u)] for u in full.used]
         none = pdf[pdf.n_tokens <= 0].assign(bin=None, offset=None, used=0, capacity=None)
         out = pd.concat([x for x in (full, none) if len(x)] or [full])
-        return out.astype({k: "Int64" for k in ("id", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity", "used")})[["id", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity", "used"]]
+        return out.astype({k: "Int64" for k in ("piece", "start", "n_tokens", "shard", "bin", "offset", "capacity", "used")})[["id", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity", "used"]]
 
-    packed = keyed.groupBy("shard").applyInPandas(fill, "id long, piece long, start long, n_tokens long, shard long, bin long, offset long, capacity long, used long")
-    return packed.withColumnRenamed("id", id_col)
+    packed = keyed.groupBy("shard").applyInPandas(fill, "id string, piece long, start long, n_tokens long, shard long, bin long, offset long, capacity long, used long")
+    return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
