@@ -60,11 +60,18 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
+def _next(b: bytes, mark: bytes, at: int, seen: dict) -> int:
+    """The first ``mark`` from ``at`` on, or -1. Hits come in order, so each stretch of a blob is searched once for each mark."""
+    if mark not in seen or -1 < seen[mark] < at:
+        seen[mark] = b.find(mark, at)
+    return seen[mark]
+
+
+def _jpeg(b: bytes, at: int, seen: dict):
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         if b[p + 1] == 0xDA:  # the scan runs to the end marker
-            end = b.find(b"\xff\xd9", p)
+            end = _next(b, b"\xff\xd9", p, seen)
             return ("image/jpeg", end + 2 - at) if end >= 0 else None
         n = struct.unpack_from(">H", b, p + 2)[0]
         if n < 2:
@@ -108,13 +115,13 @@ def _riff(b: bytes, at: int):
     return (RIFF_KINDS[kind], size + 8) if kind in RIFF_KINDS and at + 8 + size <= len(b) else None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, seen: dict):
+    end = _next(b, b"%%EOF", at, seen)
+    return ("application/pdf", end + 5 - at) if end >= 0 and b.rfind(b"startxref", max(at, end - 64), end) >= 0 else None
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, seen: dict):
+    end = _next(b, b"PK\x05\x06", at, seen)
     if end < 0 or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -122,12 +129,14 @@ def _zip(b: bytes, at: int):
 
 
 def _gzip(b: bytes, at: int):
-    d = zlib.decompressobj(31)
+    d, p, view = zlib.decompressobj(31), at, memoryview(b)
     try:
-        d.decompress(b[at:])
+        while not d.eof and p < len(b):  # in pieces: a false hit ends in its first one, and nothing is copied whole
+            d.decompress(view[p : p + 4096])
+            p += 4096
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(d.unused_data)) if d.eof else None
+    return ("application/gzip", min(p, len(b)) - at - len(d.unused_data)) if d.eof else None
 
 
 def _ogg(b: bytes, at: int):
@@ -144,6 +153,8 @@ def _ogg(b: bytes, at: int):
 
 
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg}
+#: Formats whose end has to be searched for.
+SEARCHED = ("image/jpeg", "application/pdf", "application/zip")
 
 
 def sniff(blob: bytes, automaton) -> tuple[list[tuple[str, int, int]], int]:
@@ -151,11 +162,11 @@ def sniff(blob: bytes, automaton) -> tuple[list[tuple[str, int, int]], int]:
 
     Media inside accepted media are not reported again, but what follows them is.
     """
-    found, hits, free = [], 0, 0
+    found, hits, free, seen = [], 0, 0, {}
     for end, (n, at, kind) in automaton.iter(blob.decode("latin-1")):
         hits += 1
         start = end + 1 - n - at
-        if start >= free and (good := VALIDATORS[kind](blob, start)):
+        if start >= free and (good := VALIDATORS[kind](blob, start, seen) if kind in SEARCHED else VALIDATORS[kind](blob, start)):
             found.append((good[0], start, good[1]))
             free = start + good[1]
     return found, hits
@@ -170,7 +181,7 @@ def sniff_media(df: DataFrame, id_col: str, data_col: str, declared_col: str) ->
     repeats stay, null ids stay, other columns are not read, an empty table gives no rows.
     """
 
-    def run(batches):
+    def run(batches):  # ids are text here, as pandas rounds large ones beside nulls
         automaton = _automaton()
         for pdf in batches:
             rows = []
@@ -182,11 +193,10 @@ def sniff_media(df: DataFrame, id_col: str, data_col: str, declared_col: str) ->
                 rows.append((row_id, declared, kind, bool(head) and kind != declared, head[2] if head else 0, size - head[2] if head else 0, [dict(zip(("type", "offset", "length"), x, strict=True)) for x in found if x[1] > 0], hits))
             yield pd.DataFrame(rows, columns=["id", "declared", "media_type", "corrected", "length", "trailing", "embedded", "hits"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(declared_col).alias("declared"), F.col(data_col).alias("data")).mapInPandas(
-        run, f"id {kind}, declared string, media_type string, corrected boolean, length long, trailing long, embedded array<struct<type:string,offset:long,length:long>>, hits long"
+    out = df.select(F.col(id_col).cast("string").alias("id"), F.col(declared_col).alias("declared"), F.col(data_col).alias("data")).mapInPandas(
+        run, "id string, declared string, media_type string, corrected boolean, length long, trailing long, embedded array<struct<type:string,offset:long,length:long>>, hits long"
     )
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def _encode(payload: bytes, kind: str) -> bytes:
@@ -252,12 +262,12 @@ def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 entropy = float(-(share * np.log2(share)).sum())
                 feature = f"{kind};{shape};mean={values.mean():.4f};entropy={entropy:.4f};distinct={len(share)};hits={hits};embedded={len(found) - 1}"
                 rows.append((doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), binascii.crc32(back[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, kind))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
+    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
     )
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
 
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:
