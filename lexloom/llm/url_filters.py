@@ -3,7 +3,8 @@
 A host with its labels reversed ("blog.example.com" is "com.example.blog.") makes "this host and
 all its subdomains" a prefix, and so an interval of the sorted keys. Urls are split into key ranges,
 each rule is copied to the ranges that its interval meets, and within a range one pass over the
-sorted rows keeps a stack of the rules whose interval is still open.
+sorted rows keeps a stack of the hosts whose interval is still open. A host's paths are intervals of the sorted
+paths in turn: a url finds the last path up to its own by bisection and climbs to the paths that enclose it.
 """
 
 from __future__ import annotations
@@ -45,23 +46,48 @@ def parse_rule(verdict: str, rule: str) -> tuple[str, str, str]:
     return host, f"/{path}", verdict
 
 
+class _Host:
+    """The rules of a host in the order of their paths, each with the nearest one that its path begins with."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.paths, self.verdicts, self.parents = key, host, [], [], []
+
+    def add(self, path: str, verdict: str) -> None:
+        up = len(self.paths) - 1
+        while up >= 0 and not path.startswith(self.paths[up]):
+            up = self.parents[up]
+        self.paths.append(path)
+        self.verdicts.append(verdict)
+        self.parents.append(up)
+
+    def longest(self, path: str) -> int:
+        """The place of the longest path that ``path`` begins with, or -1."""
+        at = bisect.bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.parents[at]
+        return at
+
+
 def _sweep(batches):
-    """Rows come sorted by range, key and kind (rules first); the stack holds the open rules."""
+    """Rows come sorted by range, key, kind (rules first) and path; the stack holds the open hosts."""
     current, stack = None, []
     for rows in batches:
         found = []
         for pid, key, kind, row_id, host, path, verdict in rows.itertuples(index=False, name=None):
             if pid != current:
                 current, stack = pid, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == 0:
-                stack.append((key, path, f"{host}{path}", verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Host(key, host))
+                stack[-1].add(path, verdict)
                 continue
             best = None
-            for _, prefix, rule, said in stack:
-                if path.startswith(prefix) and (best is None or len(rule) >= len(best[0])):
-                    best = rule, said
+            for open_ in stack:  # at most one for each label of the host
+                at = open_.longest(path)
+                if at >= 0 and (best is None or len(open_.host) + len(open_.paths[at]) >= len(best[0])):
+                    best = open_.host + open_.paths[at], open_.verdicts[at]
             found.append((row_id, host, path, *(best or (None, None))))
         yield pd.DataFrame(found, columns=["row_id", "host", "path", "rule", "rule_verdict"])
 
@@ -78,11 +104,12 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     spark = urls.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col(url_col)
-    own = urls.select(F.col(id_col).alias("row_id"), url_host(url).alias("host"), url_path(url).alias("path")).select(
+    # Ids are text in the sweep, as pandas rounds large ones beside nulls.
+    own = urls.select(F.col(id_col).cast("string").alias("row_id"), url_host(url).alias("host"), url_path(url).alias("path")).select(
         "*", F.concat(host_key(F.col("host")), F.lit("\0"), F.col("path")).alias("key")
     )
     # About SAMPLE sampled keys place the boundaries: the driver gets as many, however long the table.
-    sort_key = F.concat("key", F.lit("\0"), F.coalesce(F.col("row_id").cast("string"), F.lit("")))
+    sort_key = F.concat("key", F.lit("\0"), F.coalesce("row_id", F.lit("")))
     sample = sorted(r[0] for r in own.sample(min(1.0, SAMPLE / max(1, urls.count())), seed=7).select(sort_key).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
@@ -94,13 +121,13 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     spread = keyed.select("*", F.explode(F.sequence(range_of("key"), range_of(F.concat("key", F.lit(LAST))))).alias("pid"))
     rows = own.select(
         range_of(sort_key).alias("pid"), "key", F.lit(1).alias("kind"), "row_id", "host", "path", F.lit(None).cast("string").alias("verdict")
-    ).unionByName(spread.select("pid", "key", F.lit(0).alias("kind"), F.lit(None).cast(own.schema["row_id"].dataType).alias("row_id"), "host", "path", "verdict"))
+    ).unionByName(spread.select("pid", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("row_id"), "host", "path", "verdict"))
     swept = (
         rows.repartition(ranges, "pid")
         .sortWithinPartitions("pid", "key", "kind", "path")
-        .mapInPandas(_sweep, T.StructType([own.schema["row_id"], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "rule_verdict"))]))
+        .mapInPandas(_sweep, T.StructType([T.StructField(c, T.StringType()) for c in ("row_id", "host", "path", "rule", "rule_verdict")]))
     )
-    return swept.select(F.col("row_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    return swept.select(F.col("row_id").cast(urls.schema[id_col].dataType).alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query.
