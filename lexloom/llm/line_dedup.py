@@ -4,7 +4,7 @@ A line goes if the same line, or one within one edit (a character inserted, dele
 earlier in the corpus. Lines within one edit share a variant: both with the same place deleted, or one with
 a place deleted and the other whole. Emitting the variants of every line would take a row for each
 character of the corpus, so lines that can't have such a partner are set aside first: of two lines within one
-edit, a first or a last part of at least 3/8 of the shorter one is equal. The rest emit hashed
+edit and over SHORT characters, a first or a last part of at least 3/8 of the shorter one is equal. The rest emit hashed
 variants, equal variants are joined to the earliest line with it, and the edit distance of the pairs is
 verified.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import partitions
 
-#: Shorter lines are compared exactly: one edit would change too much of them.
-MIN_FUZZY = 16
+#: Lines up to this length all emit variants; longer ones only with a part that another line has too.
+SHORT = 16
 BLOCK = 32
 NO_ID = (1 << 63) - 1
 #: A join key other than the grouping key: both sides are dealt anew, and AQE can split hot keys.
@@ -36,7 +36,7 @@ def _seeds(line: Column) -> Column:
         return F.array(F.xxhash64(F.lit(1), size, F.substring(line, F.lit(1), size)), F.xxhash64(F.lit(2), size, F.substring(line, n - size + 1, size)))
 
     size = F.floor(n / 16).cast("int") * 8
-    return F.when(n < MIN_FUZZY, F.array().cast("array<bigint>")).when((n % 16 == 0) & (n > MIN_FUZZY), F.concat(ends(size), ends(size - 8))).otherwise(ends(size))
+    return F.when(n < SHORT, F.array().cast("array<bigint>")).when((n % 16 == 0) & (n > SHORT), F.concat(ends(size), ends(size - 8))).otherwise(ends(size))
 
 
 def _blocks(line: Column) -> Column:
@@ -99,6 +99,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
     chosen = dealt.join(wanted, ["id", "version"]).select("id", "version", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["line_no"]))).alias("x"))
     texts = chosen.select(F.struct("id", F.col("x.line_no").alias("line_no"), "version").alias("at"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.hash("x.line").alias("h2"))
+    texts = texts.unionByName(lines.where(F.length("line") <= SHORT))
     texts = texts.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("line").alias("line"))
 
     # Of those, the blocks whose context another line has too; only they emit variants.
@@ -131,9 +132,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The columns named by ``carry`` come along, in a struct of that name.
 
-    Lines end at U+000A. A line goes if an equal line stands earlier (smaller id, then line number), or, for lines
-    of at least MIN_FUZZY characters, if an earlier line of that length is within one edit; whether that line
-    itself stays does not matter. Blank lines always stay. Null texts stay null with no lines; empty texts have one
+    Lines end at U+000A. A line goes if an equal line, or one within one edit, stands earlier (smaller id, then line number);
+    whether that line itself stays does not matter. Blank lines always stay. Null texts stay null with no lines; empty texts have one
     blank line; null ids come after all others; repeated rows, and rows with equal ids at equal line numbers,
     take nothing from each other; only the id and the text are read, so other columns can't clash; an empty
     table gives no rows.
@@ -162,12 +162,12 @@ def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 # Distinct lines with their first place; variants with one place deleted, with and without the place.
-OP4_SQL = f"""
+OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) AS r(i)),
 solid AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')),
 firsts AS (SELECT line, min((doc_id, line_no)) AS f FROM solid GROUP BY line),
-fuzzy AS (SELECT row_number() OVER () AS k, line, f, length(line) AS n FROM firsts WHERE length(line) >= {MIN_FUZZY}),
+fuzzy AS (SELECT row_number() OVER () AS k, line, f, length(line) AS n FROM firsts),
 cut AS (SELECT k, f, i, hash(line[:i - 1] || chr(0) || line[i + 1:]) AS gap, hash(line[:i - 1] || line[i + 1:]) AS rest FROM fuzzy, range(1, n + 1) AS r(i)),
 same AS (SELECT k, f, min(f) OVER (PARTITION BY gap) AS e FROM cut),
 whole AS (SELECT hash(line) AS h, k, f FROM fuzzy),
