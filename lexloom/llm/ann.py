@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import stage
 
 #: About so many vectors, spread by hash, place the centroids.
-SAMPLE = 8192
-#: Sampled vectors of a leaf; at most SAMPLE / LEAF lists.
-LEAF = 16
+SAMPLE = 65_536
+#: Vectors of a list; a sample of LEAF of them, or more, places its centroid. At most SAMPLE / LEAF lists.
+LIST, LEAF = 128, 16
 #: Neighbours of a centroid in the graph.
 DEGREE = 16
 #: Copies of a vector at most, and how much farther than the nearest centroid others may be.
@@ -29,6 +29,8 @@ COPIES, COPY_RATIO = 4, 1.15
 PROBES, LEAST_PROBES, PROBE_RATIO = 128, 12, 1.6
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 2048
+#: Cosines of a matrix product that differ by less may be ties.
+SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -131,14 +133,15 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
 
     Ranks count from 1, ties go to the smaller id, a query's own id is no candidate. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do those of another length than most of the
-    sample, nor rows without an id. Rows repeated under one id are one candidate. Of equal vectors the k + 1 with the smallest ids
+    sample, nor rows without an id. Rows repeated under one id are one candidate; of different query vectors under one id the
+    smallest asks. Of equal vectors the k + 1 with the smallest ids
     are indexed, which are all that can be returned, so a hot vector can't fill a list. Only the two columns are read.
     Empty tables give no rows. Every other row is indexed; scores are computed on the original vectors in double precision.
     """
     spark = base.sparkSession
     same = Window.partitionBy("v").orderBy("id")
     distinct = stage(valid_vectors(base, id_col, vector_col).dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "vectors")
-    wanted = valid_vectors(queries, id_col, vector_col).dropDuplicates(["id"])
+    wanted = valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     shape = "query_id long, rank int, vec_id long, score double"
     total = distinct.count()
     if not total:
@@ -148,7 +151,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     lengths = pd.Series([len(v) for v in sample]).value_counts()
     size = int(lengths[lengths == lengths.max()].index.min())
     x = unit(np.array([v for v in sample if len(v) == size], np.float64))
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, max(1, len(x) // LEAF))))
+    # The lists follow the table until the sample, a bounded one, can place no more.
+    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, max(1, min(len(x) // LEAF, total // LIST)))))
 
     def listed(choose):
         def run(batches):
@@ -165,7 +169,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     shape_in = "list int, id long, v array<double>"
     index = stage(distinct.mapInPandas(listed(lists_of_vectors), shape_in), "lists")
     asked = stage(wanted.mapInPandas(listed(lists_of_queries), shape_in), "asked")
-    # One row for each list: at most SAMPLE / LEAF.
+    # One row for each list: at most SAMPLE / LEAF, 4096.
     counts = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks")), "list")
     counts = F.broadcast(counts)
     vectors = index.join(counts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "id", "v")
@@ -178,15 +182,16 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
         own = left.id.to_numpy()
         cosine = unit(q) @ unit(v).T
         cosine[own[:, None] == ids[None, :]] = -np.inf
-        keep = min(len(ids), 2 * k + 2)
-        top = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
-        rows = np.repeat(np.arange(len(q)), keep)
-        at = top.ravel()
-        real = ~np.isneginf(cosine[rows, at])
-        rows, at = rows[real], at[real]
+        # All that may be among the k nearest, ties with the last of them included.
+        last = np.partition(cosine, -k, axis=1)[:, -k] if cosine.shape[1] > k else np.full(len(q), -2.0)
+        rows, at = np.nonzero(cosine >= last[:, None] - SLACK)
         # The score itself: the same sums whatever block a vector is in.
         score = (q[rows] * v[at]).sum(axis=1) / (np.sqrt((q[rows] * q[rows]).sum(axis=1)) * np.sqrt((v[at] * v[at]).sum(axis=1)))
-        return pd.DataFrame({"query_id": own[rows], "vec_id": ids[at], "score": score})
+        order = np.lexsort((ids[at], -score, rows))
+        rows, at, score = rows[order], at[order], score[order]
+        first = np.searchsorted(rows, np.arange(len(q)))
+        best = np.arange(len(rows)) - first[rows] < k
+        return pd.DataFrame({"query_id": own[rows[best]], "vec_id": ids[at[best]], "score": score[best]})
 
     keys = ["list", "block", "query_block"]
     met = asking.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
