@@ -2,7 +2,7 @@
 
 A batch is a table of signed changes: an insert adds a document's counts, a delete takes them away, and
 a revision does both. Each batch is summed to one row for each key and written under its own batch id;
-a batch counts once its write is complete, and a batch id that is already complete is left as it is, so
+a batch counts once it is renamed to that id, and a batch id that is already there is left as it is, so
 that repeating a batch changes nothing. Totals are the sums over the complete batches, which any number
 of writers can extend, and compaction replaces batches by their sum.
 """
@@ -14,13 +14,17 @@ import functools
 import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import shared_dir
 
 KEYS = ("source", "lang", "tokenizer")
+TOTALS = ("docs", "tokens", "empty_docs")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, empty_docs long"
+#: A compaction: sums, whose batch is null, and a row for each batch in them.
+COVERED = f"{SCHEMA}, batch string"
 
 
 @functools.cache
@@ -82,7 +86,7 @@ def summed(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals in a shared folder; one writer for each batch id at a time."""
+    """Additive totals in a shared folder. Writers of one batch id may race: one of them wins, whole."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
@@ -92,32 +96,80 @@ class Rollup:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _complete(self, path: str) -> bool:
-        fs, at = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(at)
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """Writes ``rows`` aside and renames them to ``name``; False, with nothing left behind, if that exists already."""
+        aside = f"{self.root}/.writing-{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(jvm.org.apache.hadoop.fs.Path(self.root).toUri().toString()), self.spark._jsc.hadoopConfiguration())
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no overwriting
+        fs, to = self._fs(f"{self.root}/{name}")
+        try:
+            context.rename(jvm.org.apache.hadoop.fs.Path(aside), to, options)
+        except Py4JJavaError:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+            if fs.exists(to):
+                return False
+            raise
+        return True
 
-    def batches(self) -> list[str]:
-        """Ids of the complete batches."""
+    def _names(self, prefix: str) -> list[str]:
         fs, at = self._fs(self.root)
         names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(x.removeprefix("batch=") for x in names if x.startswith("batch=") and self._complete(f"{self.root}/{x}"))
+        return sorted(x.removeprefix(prefix) for x in names if x.startswith(prefix))
+
+    def _compacted(self) -> tuple[str | None, list[str]]:
+        """The last compaction and the batches in it: each covers all that were covered before."""
+        last = max(self._names("compact="), default=None)
+        return last, [] if last is None else [r.batch for r in self.spark.read.schema(COVERED).parquet(f"{self.root}/compact={last}").where("batch IS NOT NULL").select("batch").collect()]
+
+    def batches(self) -> list[str]:
+        """Ids of the complete batches, compacted ones included."""
+        return sorted({*self._names("batch="), *self._compacted()[1]})
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Adds a batch; False, and nothing changes, if that id is complete already.
 
-        A batch that a lost driver left half-written has no completion mark: it is written anew.
+        A batch counts from the rename that ends its writing on, so a lost driver leaves no half-written one.
         """
-        path = f"{self.root}/batch={batch_id}"
-        if self._complete(path):
+        if batch_id in self.batches():
             return False
-        summed(deltas).write.mode("overwrite").parquet(path)
+        return self._publish(summed(deltas), f"batch={batch_id}")
+
+    def compact(self) -> bool:
+        """Replaces the complete batches by their sum. Readers take a compaction with what it does not cover.
+
+        It is published under the number after the last one, so that of two writers one wins; batches it covers are deleted after.
+        """
+        last, covered = self._compacted()
+        found = self._names("batch=")
+        if not found:
+            return False
+        names = [(b,) for b in sorted({*covered, *found})]
+        sums = self._rows(last, [b for b in found if b not in covered]).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).withColumn("batch", F.lit(None).cast("string"))
+        marks = self.spark.createDataFrame(names, "batch string")
+        for column, kind in (x.split() for x in SCHEMA.split(", ")):
+            marks = marks.withColumn(column, F.lit(None).cast(kind))
+        if not self._publish(sums.unionByName(marks), f"compact={int(last or 0) + 1:08d}"):
+            return False
+        for b in found:
+            fs, at = self._fs(f"{self.root}/batch={b}")
+            fs.delete(at, True)
         return True
 
+    def _rows(self, last: str | None, batches: list[str]) -> DataFrame:
+        rows = self.spark.createDataFrame([], SCHEMA)
+        if batches:
+            rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/batch={b}" for b in batches])
+        if last is not None:
+            rows = rows.unionByName(self.spark.read.schema(COVERED).parquet(f"{self.root}/compact={last}").where("batch IS NULL").drop("batch"))
+        return rows
+
     def totals(self) -> DataFrame:
         """One row for each key with documents left, null keys included; no rows before the first batch."""
-        paths = [f"{self.root}/batch={x}" for x in self.batches()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "empty_docs")]).where("docs <> 0 OR tokens <> 0")
+        last, covered = self._compacted()
+        rows = self._rows(last, [b for b in self._names("batch=") if b not in covered])
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).where("docs <> 0 OR tokens <> 0")
 
 
 #: Vocabulary file and pattern of the production tokenizer; both are parameters of ``bpe_counts``.
