@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import depths, jump, let
 from lexloom.functions.text import dep_base
 
 # What a clause nucleus is made of.
 VERBAL, AUXILIARY, SUBORDINATE = ("VERB", "AUX"), ("aux", "cop"), ("xcomp", "ccomp", "advcl", "acl", "csubj")
+QUOTES = ('"', "'", "“", "”", "«", "»", "‘", "’")
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -54,53 +56,55 @@ def children(tokens: DataFrame) -> DataFrame:
 
 def check_tree(tokens: DataFrame) -> DataFrame:
     """Violations (doc_id, sentence_ord, rule): one self-headed ROOT in a sentence, heads inside it, no circles."""
-    t = tokens.select("doc_id", "sentence_ord", "ord", "dep", "head_ord")
-    s = _sentences(t.withColumn("lemma", F.lit("")).withColumn("pos", F.lit("")).withColumn("text", F.lit("")))
-    roots = F.size(F.filter("t", lambda x: x["dep"] == "ROOT"))
-    wrong_root = F.exists("t", lambda x: (x["dep"] == "ROOT") != (x["head"] == x["i"]))
-    outside = F.exists("t", lambda x: (x["head"] < 0) | (x["head"] >= F.size("t")))
-    ends = _jump(F.transform("t", lambda x: x["head"]))
-    rule = F.when(outside, "head_outside").when(roots != 1, "roots").when(wrong_root, "self_head").when(F.exists(F.arrays_zip(ends.alias("e"), F.col("t").alias("t")), lambda z: F.element_at(F.col("t"), z["e"] + 1)["dep"] != "ROOT"), "circle")
-    return s.select("doc_id", "sentence_ord", rule.alias("rule")).where("rule IS NOT NULL")
-
-
-def _sentences(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sentence_ord, start, t): a sentence's tokens in order, heads as places in it. Bounded by the sentence."""
-    g = tokens.groupBy("doc_id", "sentence_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "head_ord", "text", "lemma", "pos", "dep"))).alias("r"), F.min("ord").alias("start"))
-    row = lambda x, i: F.struct(i.alias("i"), (x["head_ord"] - F.col("start")).cast("int").alias("head"), x["text"].alias("text"), x["lemma"].alias("lemma"), x["pos"].alias("pos"), x["dep"].alias("dep"))
+    s = sentence_arrays(tokens, "dep")
+
+    def rule(t: Column) -> Column:
+        outside = let(F.size(t), lambda n: F.exists(t, lambda x: (x["head"] < 0) | (x["head"] >= n)))
+        roots = F.size(F.filter(t, lambda x: x["dep"] == "ROOT"))
+        wrong_root = F.exists(t, lambda x: (x["dep"] == "ROOT") != (x["head"] == x["i"]))
+        circle = let(jump(F.transform(t, lambda x: x["head"])), lambda ends: F.exists(ends, lambda e: F.get(t, e)["dep"] != "ROOT"))
+        return F.when(outside, "head_outside").when(roots != 1, "roots").when(wrong_root, "self_head").when(circle, "circle")
+
+    return s.select("doc_id", "sentence_ord", F.explode(F.array(let(F.col("t"), rule))).alias("rule")).where("rule IS NOT NULL")
+
+
+def sentence_arrays(tokens: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, sentence_ord, start, t): a sentence's tokens in order, with places i and head in it. Bounded by the sentence."""
+    g = tokens.groupBy("doc_id", "sentence_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "head_ord", *columns))).alias("r"), F.min("ord").alias("start"))
+    row = lambda x, i: F.struct(i.alias("i"), (x["head_ord"] - F.col("start")).cast("int").alias("head"), *[x[c].alias(c) for c in columns])
     return g.select("doc_id", "sentence_ord", "start", F.transform("r", row).alias("t"))
 
 
-def _jump(to: Column) -> Column:
-    """Follows pointers of an array to their ends by doubling: log2 of the size rounds."""
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(to).cast("double") + 1)).cast("int")))
-    return F.aggregate(rounds, to, lambda p, _: F.transform(p, lambda k: F.coalesce(F.get(p, k), k)))
+def clause_arrays(t: Column, use) -> Column:
+    """``use`` of the arrays (nuclei, owners) of a sentence ``t`` (i, head, text, pos, dep): whether a token is a clause's
+    nucleus, and the place of the nearest nucleus at or above it.
+
+    A nucleus is a verb or auxiliary whose dependency is neither auxiliary nor copula, or the head of a copula; quotation marks
+    are none.
+    """
+    copula_heads = F.transform(F.filter(t, lambda x: dep_base(x["dep"]) == "cop"), lambda x: x["head"])
+    verbal = lambda x: F.coalesce(x["pos"].isin(*VERBAL) & ~dep_base(x["dep"]).isin(*AUXILIARY), F.lit(False))
+    nuclei = let(copula_heads, lambda cop: F.transform(t, lambda x: (verbal(x) | F.array_contains(cop, x["i"])) & ~x["text"].isin(*QUOTES)))
+    owners = lambda n: let(jump(F.zip_with(t, n, lambda x, own: F.when(own, x["i"]).otherwise(x["head"]))), lambda ends: F.transform(ends, lambda e: F.when(F.get(n, e), e)))
+    return let(nuclei, lambda n: let(owners(n), lambda o: use(n, o)))
 
 
 def clauses(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sentence_ord, ord, nucleus, owner, parent): the nearest nucleus at or above a token, and the owner of its head.
+    """(doc_id, sentence_ord, ord, nucleus, owner, parent): the nearest nucleus at or above a token, and the owner of its head."""
+    s = sentence_arrays(tokens, "text", "pos", "dep")
+    rows = lambda t: clause_arrays(t, lambda n, o: F.transform(t, lambda x: F.struct(x["i"].alias("i"), F.get(n, x["i"]).alias("nucleus"), F.get(o, x["i"]).alias("owner"), F.when(x["head"] != x["i"], F.get(o, x["head"])).alias("parent"))))
+    y = s.select("doc_id", "sentence_ord", "start", F.explode(let(F.col("t"), rows)).alias("y"))
+    at = lambda c: (F.col("start") + F.col(f"y.{c}")).cast("long").alias({"i": "ord"}.get(c, c))
+    return y.select("doc_id", "sentence_ord", at("i"), "y.nucleus", at("owner"), at("parent"))
+
+
+def subtrees(tokens: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(doc_id, ord, descendant): all that hangs below a token, itself included; with ``wanted``, a column, only below those.
 
-    A nucleus is a verb or auxiliary whose dependency is neither auxiliary nor copula, or the head of a copula.
+    Each token climbs as many steps as it is deep, so the work is that of the result.
     """
-    s = _sentences(tokens)
-    copula_heads = F.transform(F.filter("t", lambda x: dep_base(x["dep"]) == "cop"), lambda x: x["head"])
-    s = s.withColumn("cop", copula_heads)
-    flags = F.transform("t", lambda x: F.coalesce(x["pos"].isin(*VERBAL) & ~dep_base(x["dep"]).isin(*AUXILIARY), F.lit(False)) | F.array_contains("cop", x["i"]))
-    s = s.withColumn("nuclei", flags)
-    s = s.withColumn("to", F.transform("t", lambda x: F.when(F.element_at("nuclei", x["i"] + 1), x["i"]).otherwise(x["head"])))
-    s = s.withColumn("ends", _jump(F.col("to")))
-    owners = F.transform("ends", lambda e: F.when(F.element_at("nuclei", e + 1), e))
-    s = s.withColumn("owners", owners)
-    rows = s.select("doc_id", "sentence_ord", "start", "nuclei", "owners", F.explode("t").alias("x"))
-    at = lambda i: (F.element_at("owners", i + 1) + F.col("start")).cast("long")
-    i = F.col("x.i")
-    return rows.select("doc_id", "sentence_ord", (F.col("start") + i).alias("ord"), F.element_at("nuclei", i + 1).alias("nucleus"), at(i).alias("owner"), F.when(F.col("x.head") != i, at(F.col("x.head"))).alias("parent"))
-
-
-def subtrees(tokens: DataFrame) -> DataFrame:
-    """(doc_id, ord, descendant): all that hangs below a token, itself included; each token lists its ancestors."""
-    s = _sentences(tokens)
-    n = F.size("t")
-    climb = lambda x: F.aggregate(F.sequence(F.lit(1), n), F.array(x["i"]), lambda path, _: F.when(F.element_at("t", F.element_at(path, -1) + 1)["head"] == F.element_at(path, -1), path).otherwise(F.concat(path, F.array(F.element_at("t", F.element_at(path, -1) + 1)["head"]))))
-    up = s.select("doc_id", "start", F.explode(F.transform("t", lambda x: F.struct(x["i"].alias("i"), climb(x).alias("path")))).alias("y"))
-    return up.select("doc_id", (F.col("start") + F.col("y.i")).alias("descendant"), "start", F.explode("y.path").alias("a")).select("doc_id", (F.col("start") + F.col("a")).alias("ord"), "descendant")
+    s = sentence_arrays(tokens.withColumn("w", F.lit(True) if wanted is None else F.col(wanted)), "w")
+    climb = lambda h, d: F.transform(d, lambda n, i: F.aggregate(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), F.array(i), lambda path, _: F.concat(path, F.array(F.get(h, F.element_at(path, -1))))))
+    paths = let(F.col("t"), lambda t: let(F.transform(t, lambda x: x["head"]), lambda h: let(depths(h), lambda d: F.transform(climb(h, d), lambda path: F.filter(path, lambda a: F.get(t, a)["w"])))))
+    up = s.select("doc_id", "start", F.posexplode(paths).alias("i", "path")).select("doc_id", "start", (F.col("start") + F.col("i")).alias("descendant"), F.explode("path").alias("a"))
+    return up.select("doc_id", (F.col("start") + F.col("a")).cast("long").alias("ord"), F.col("descendant").cast("long").alias("descendant"))

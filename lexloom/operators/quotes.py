@@ -2,39 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import let
+
 # Openers and their closers.
 PAIRS = {"“": "”", "«": "»", "‘": "’", '"': '"', "'": "'"}
 
 
-def quote_regions(tokens: DataFrame) -> DataFrame:
-    """(doc_id, open, close): regions between whole-token marks; close is null for one that stays open.
-
-    A mark equal to the closer of the innermost open region closes it; otherwise an opener opens a region, and any
-    other mark is passed over. The stack goes on across sentences. Only a document's marks are folded, not its tokens.
-    """
+def _folded(tokens: DataFrame) -> DataFrame:
+    """(doc_id, s{stack, done, tops}): one fold over a document's marks; ``tops`` has the region that is open after each."""
     marks = tokens.where(F.col("text").isin(*PAIRS, *PAIRS.values())).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("marks"))
     closers = F.create_map(*[F.lit(x) for pair in PAIRS.items() for x in pair])
-    start = F.struct(F.array().cast("array<struct<closer:string,ord:bigint>>").alias("stack"), F.array().cast("array<struct<open:bigint,close:bigint>>").alias("done"))
+    opened = "struct<closer:string,ord:bigint,nested:boolean>"
+    start = F.struct(F.array().cast(f"array<{opened}>").alias("stack"), F.array().cast("array<struct<open:bigint,close:bigint,nested:boolean>>").alias("done"), F.array().cast("array<struct<ord:bigint,region:bigint>>").alias("tops"))
 
     def step(state, mark):
         stack, size = state["stack"], F.size(state["stack"])
         top = F.get(stack, size - 1)
-        shut = F.struct(F.slice(stack, F.lit(1), size - 1).alias("stack"), F.concat(state["done"], F.array(F.struct(top["ord"].alias("open"), mark["ord"].alias("close")))).alias("done"))
-        push = F.struct(F.concat(stack, F.array(F.struct(closers[mark["text"]].alias("closer"), mark["ord"].alias("ord")))).alias("stack"), state["done"].alias("done"))
-        return F.when((size > 0) & (top["closer"] == mark["text"]), shut).when(mark["text"].isin(*PAIRS), push).otherwise(state)
-
-    folded = marks.select("doc_id", F.aggregate("marks", start, step).alias("s"))
-    still = F.transform("s.stack", lambda x: F.struct(x["ord"].alias("open"), F.lit(None).cast("bigint").alias("close")))
-    return folded.select("doc_id", F.explode(F.concat("s.done", still)).alias("r")).select("doc_id", "r.open", "r.close")
-
-
-def innermost(tokens: DataFrame, regions: DataFrame) -> DataFrame:
-    """(doc_id, ord, region): the start of the innermost region around a token; null outside all and for the marks themselves."""
-    r = regions.select(F.col("doc_id").alias("r_doc"), "open", "close")
-    ends = regions.select("doc_id", F.explode(F.array("open", "close")).alias("ord")).where("ord IS NOT NULL").withColumn("mark", F.lit(True))
-    inside = (F.col("doc_id") == F.col("r_doc")) & (F.col("ord") > F.col("open")) & (F.col("close").isNull() | (F.col("ord") < F.col("close")))
-    found = tokens.select("doc_id", "ord").join(r, inside, "left").groupBy("doc_id", "ord").agg(F.max("open").alias("region"))
-    return found.join(ends, ["doc_id", "ord"], "left").select("doc_id", "ord", F.when(F.col("mark").isNull(), F.col("region")).alias("region"))
+        shut = (size > 0) & (top["closer"] == mark["text"])
+        push = F.concat(stack, F.array(F.struct(closers[mark["text"]].alias("closer"), mark["ord"].alias("ord"), (size > 0).alias("nested"))))
+        left = F.when(shut, F.slice(stack, F.lit(1), size - 1)).when(mark["text"].isin(*PAIRS), push).otherwise(stack)
+        done = F.when(shut, F.concat(state["done"], F.array(F.struct(top["ord"].alias("open"), mark["ord"].alias("close"), top["nested"].alias("nested"))))).otherwise(state["done"])
+        return let(left, lambda now: F.struct(now.alias("stack"), done.alias("done"), F.concat(state["tops"], F.array(F.struct(mark["ord"].alias("ord"), F.get(now, F.size(now) - 1)["ord"].alias("region")))).alias("tops")))
+
+    return marks.select("doc_id", F.aggregate("marks", start, step).alias("s"))
+
+
+def quote_regions(tokens: DataFrame) -> DataFrame:
+    """(doc_id, open, close, nested): regions between whole-token marks; close is null for one that stays open.
+
+    A mark equal to the closer of the innermost open region closes it; otherwise an opener opens a region, and any
+    other mark is passed over. The stack goes on across sentences. Only a document's marks are folded, not its tokens.
+    """
+    still = F.transform("s.stack", lambda x: F.struct(x["ord"].alias("open"), F.lit(None).cast("bigint").alias("close"), x["nested"].alias("nested")))
+    return _folded(tokens).select("doc_id", F.explode(F.concat("s.done", still)).alias("r")).select("doc_id", "r.*")
+
+
+def innermost(tokens: DataFrame) -> DataFrame:
+    """(doc_id, ord, region): the start of the innermost region around a token; null outside all and for the marks that open or close one.
+
+    The region after each mark is carried along to the tokens behind it.
+    """
+    tops = _folded(tokens).select("doc_id", F.explode("s.tops").alias("x"), F.transform(F.concat("s.done.open", "s.done.close", "s.stack.ord"), lambda x: x).alias("ends")).select("doc_id", "x.*", F.array_contains("ends", F.col("x.ord")).alias("end"))
+    rows = tokens.select("doc_id", "ord", F.lit(1).alias("k"), F.lit(None).cast("struct<region:bigint>").alias("top"), F.lit(None).cast("boolean").alias("end"))
+    both = rows.unionByName(tops.select("doc_id", "ord", F.lit(0).alias("k"), F.struct("region").alias("top"), "end"))
+    order = Window.partitionBy("doc_id").orderBy("ord", "k")
+    at_mark = F.lag(F.struct("ord", "end", "k")).over(order)
+    found = both.withColumn("now", F.last("top", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("m", at_mark).where("k = 1")
+    mine = F.coalesce((F.col("m.k") == 0) & (F.col("m.ord") == F.col("ord")) & F.col("m.end"), F.lit(False))
+    return found.select("doc_id", "ord", F.when(~mine, F.col("now.region")).alias("region"))

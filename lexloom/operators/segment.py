@@ -1,7 +1,7 @@
 """Segmentation of a text into tokens, separators, paragraphs and sentences by window functions.
 
-Texts are dealt by doc_id before they are taken apart; every window here is partitioned by doc_id (and more), so
-no token row is shuffled.
+Texts are dealt by doc_id before they are taken apart; every window here is partitioned by doc_id, so no token row is
+shuffled.
 """
 
 from __future__ import annotations
@@ -12,46 +12,62 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import CLOSERS, OPENERS, PARAGRAPH_BREAK, TITLES, TOKEN_PATTERN, is_blank, starts_upper, terminal_punct
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    # A number of partitions is named, as adaptive execution would merge the small texts that soon are many rows.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.where("text IS NOT NULL").select("doc_id", "text").repartition(n, "doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "text")).withColumn("space", is_blank(F.col("text")))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text, w_start, w_end, space): the total partition of each text, with offsets."""
-    parts = docs.where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "text"))
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("text").cast("long")).over(order)
-    return parts.select("doc_id", "pos", "text", (end - F.length("text")).alias("w_start"), end.alias("w_end"), is_blank(F.col("text")).alias("space"))
+    return _split(docs).select("doc_id", "pos", "text", (end - F.length("text")).alias("w_start"), end.alias("w_end"), "space")
 
 
 def units(docs: DataFrame) -> DataFrame:
     """``pieces`` with ord (among tokens, or among separators), paragraph_ord, sentence_ord and term.
 
-    Separators carry the sentence of the token before them; ``inner`` tells that the next token is in it too.
+    Separators carry the sentence of the token before them; ``inner`` tells that the next token is in it too; ``term`` is 1
+    for a token that may end a sentence. Every window is a running one over the pieces of a document, forwards but for one pass
+    backwards, so a paragraph of any length is read in one go.
     """
-    p = pieces(docs)
+    text, space = F.col("text"), F.col("space")
+    token = ~space
+    lower = F.lower(text)
+    # What the rules ask about a piece, once for each.
+    marks = _split(docs).select(
+        "doc_id", "pos", "text", "space", (space & text.rlike(PARAGRAPH_BREAK)).cast("int").alias("break"), (token & terminal_punct(text)).alias("punct"), (token & text.isin(*CLOSERS)).alias("closer"),
+        (token & ~text.isin(*CLOSERS, *OPENERS)).alias("content"), (token & starts_upper(text)).alias("upper"), (token & text.rlike(r"^\p{N}")).alias("number"), (token & text.rlike(r"\p{N}$")).alias("ends_number"),
+        (token & lower.isin(*TITLES)).alias("title"), (token & (lower == "etc")).alias("etc"), (token & (lower == "etc.")).alias("etc_dot"),
+    )
+    down = Window.partitionBy("doc_id").orderBy(F.desc("pos"))
+    ahead = marks.withColumn("breaks", F.sum("break").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    # The next token that is no quotation mark, if no paragraph break comes before it.
+    found = F.last(F.when(F.col("content"), F.struct("upper", "breaks")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = ahead.withColumn("next_content", found).withColumn("resumes", F.col("next_content").isNull() | (F.col("next_content.breaks") != F.col("breaks")) | F.col("next_content.upper")).drop("next_content", "breaks")
+
     doc = Window.partitionBy("doc_id").orderBy("pos")
-    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "space").orderBy("pos")).cast("long") - 1)
-    p = p.withColumn("block", F.sum(F.when(F.col("space") & F.col("text").rlike(PARAGRAPH_BREAK), 1).otherwise(0)).over(upto))
-    token = ~F.col("space")
-    # From here on windows see tokens only: separators are in a partition of their own.
-    own = Window.partitionBy("doc_id", "block", "space").orderBy("pos")
-    rest = own.rowsBetween(1, Window.unboundedFollowing)
-    text = F.col("text")
-    before, adjacent = F.lag("text").over(own), F.lag("w_end").over(own) == F.col("w_start")
-    after, touches = F.lead("text").over(own), F.lead("w_start").over(own) == F.col("w_end")
-    content = F.first(F.when(~text.isin(*CLOSERS, *OPENERS), text), ignorenulls=True).over(rest)
-    resumes = content.isNull() | starts_upper(content)
-    closer = text.isin(*CLOSERS) & (~text.isin('"', "'") | F.coalesce(adjacent, F.lit(False)))
-    is_etc = F.lower(text) == "etc."
-    dot = (text == ".") & F.coalesce(adjacent, F.lit(False))
-    guarded = dot & (F.lower(before).isin(*TITLES) | ((F.lower(before) == "etc") & ~resumes) | (before.rlike(r"\p{N}$") & F.coalesce(touches & after.rlike(r"^\p{N}"), F.lit(False))))
-    candidate = (is_etc & resumes) | (terminal_punct(text) & ~text.rlike(r"^\.{2,}$") & ~F.coalesce(guarded, F.lit(False)))
-    p = p.withColumn("absorbed", (terminal_punct(text) | closer).cast("int")).withColumn("candidate", candidate.cast("int"))
-    p = p.withColumn("island", F.sum(1 - F.col("absorbed")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumn("term", F.max("candidate").over(Window.partitionBy("doc_id", "block", "space", "island")))
-    starts = F.lag("island").over(own).isNull() | ((F.lag("island").over(own) != F.col("island")) & (F.lag("term").over(own) == 1))
-    p = p.withColumn("opens", F.when(token & starts, 1).otherwise(0)).withColumn("opens_par", F.when(token & F.lag("island").over(own).isNull(), 1).otherwise(0))
-    p = p.withColumn("sentence_ord", F.sum("opens").over(upto).cast("long") - 1).withColumn("paragraph_ord", F.sum("opens_par").over(upto).cast("long") - 1)
-    p = p.withColumn("inner", F.col("space") & (F.lead("opens").over(doc) == 0))
-    return p.select("doc_id", "pos", "space", "ord", "text", "w_start", "w_end", "paragraph_ord", "sentence_ord", F.when(token, F.col("term")).alias("term"), "inner")
+    upto, before = doc.rowsBetween(Window.unboundedPreceding, 0), doc.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.sum(F.length("text").cast("long")).over(upto)
+    p = ahead.withColumn("w_end", end).withColumn("block", F.sum("break").over(upto)).withColumn("ord", F.when(space, F.count_if(space).over(upto)).otherwise(F.count_if(token).over(upto)) - 1)
+    p = p.withColumn("last", F.lag(F.struct("space", "title", "etc", "ends_number")).over(doc)).withColumn("near", F.lead(F.struct("space", "number")).over(doc))
+    adjacent = F.coalesce(~F.col("last.space"), F.lit(False))
+    no = F.lit(False)
+    dot = (text == ".") & adjacent
+    guarded = dot & (F.col("last.title") | (F.col("last.etc") & ~F.col("resumes")) | (F.col("last.ends_number") & F.coalesce(~F.col("near.space") & F.col("near.number"), no)))
+    candidate = token & ((F.col("etc_dot") & F.col("resumes")) | (F.col("punct") & ~text.rlike(r"^\.{2,}$") & ~F.coalesce(guarded, no)))
+    closes = F.col("closer") & (~text.isin('"', "'") | adjacent)
+    p = p.withColumn("candidate", candidate).withColumn("absorbed", F.col("punct") | closes)
+    # Islands: a token and the closing marks behind it. A sentence goes on until an island with a candidate.
+    p = p.withColumn("island", F.struct(F.col("block"), F.sum(F.when(token & ~F.col("absorbed"), 1).otherwise(0)).over(upto).alias("n")))
+    p = p.withColumn("prior", F.last(F.when(token, F.col("island")), ignorenulls=True).over(before)).withColumn("ended", F.last(F.when(F.col("candidate"), F.col("island")), ignorenulls=True).over(before))
+    fresh = token & (F.col("prior").isNull() | (F.col("prior.block") != F.col("block")))
+    opens = fresh | (token & (F.col("prior.n") != F.col("island.n")) & F.coalesce(F.col("ended") == F.col("prior"), no))
+    p = p.withColumn("opens", F.coalesce(opens, no)).withColumn("fresh", fresh)
+    p = p.withColumn("sentence_ord", F.count_if("opens").over(upto) - 1).withColumn("paragraph_ord", F.count_if("fresh").over(upto) - 1)
+    p = p.withColumn("inner", space & F.coalesce(~F.lead("opens").over(doc), no))
+    return p.select("doc_id", "pos", "space", "ord", "text", (F.col("w_end") - F.length("text")).alias("w_start"), "w_end", "paragraph_ord", "sentence_ord", F.when(token, F.col("candidate").cast("int")).alias("term"), "inner")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -73,7 +89,11 @@ def sentences(docs: DataFrame) -> DataFrame:
 
     Texts are put together from their own pieces, so a long document is not sliced again for each sentence.
     """
-    u = units(docs).where("sentence_ord >= 0")
+    return sentences_of(units(docs))
+
+
+def sentences_of(units: DataFrame) -> DataFrame:
+    u = units.where("sentence_ord >= 0")
     token = ~F.col("space")
     s = u.groupBy("doc_id", "sentence_ord").agg(
         F.min(F.when(token, F.col("paragraph_ord"))).alias("paragraph_ord"), F.min(F.when(token, F.col("w_start"))).alias("w_start"), F.max(F.when(token, F.col("w_end"))).alias("w_end"),
@@ -84,7 +104,11 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, w_start, w_end, sentences, tokens)."""
-    t = units(docs).where("NOT space")
+    return paragraphs_of(units(docs))
+
+
+def paragraphs_of(units: DataFrame) -> DataFrame:
+    t = units.where("NOT space")
     return t.groupBy("doc_id", F.col("paragraph_ord").alias("ord")).agg(F.min("w_start").alias("w_start"), F.max("w_end").alias("w_end"), F.count_distinct("sentence_ord").alias("sentences"), F.count(F.lit(1)).alias("tokens"))
 
 
@@ -93,15 +117,26 @@ def sentence_neighbors(s: DataFrame) -> DataFrame:
     return s.select("doc_id", "ord", F.lag("ord").over(order).alias("previous"), F.lead("ord").over(order).alias("next"))
 
 
-def check_segmentation(docs: DataFrame) -> DataFrame:
-    """Violations (doc_id, rule): ordinals from 0 without gaps, tiling of the text, no blank tokens, text equal to its slice."""
-    u = units(docs)
+def check_segmentation(docs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Violations (doc_id, rule) of ``stored`` units (those of the texts, if not given).
+
+    Ordinals from 0 without gaps, tiling of the text, text equal to its slice, a sentence in one paragraph, and every field equal
+    to what the segmentation gives again.
+    """
+    again = units(docs)
+    u = again if stored is None else stored
     order = Window.partitionBy("doc_id").orderBy("pos")
     tiled = u.withColumn("before", F.lag("w_end", 1, 0).over(order)).where("before <> w_start OR w_end <= w_start").select("doc_id", F.lit("tiling").alias("rule"))
     dense = u.groupBy("doc_id", "space").agg(F.max("ord").alias("top"), F.count(F.lit(1)).alias("n")).where("top <> n - 1").select("doc_id", F.lit("dense").alias("rule"))
     whole = u.groupBy("doc_id").agg(_joined(F.lit(True)).alias("rebuilt")).join(docs.select("doc_id", "text"), "doc_id").where("rebuilt <> text").select("doc_id", F.lit("rebuilt").alias("rule"))
     links = u.where("NOT space").groupBy("doc_id", "sentence_ord").agg(F.count_distinct("paragraph_ord").alias("n")).where("n <> 1").select("doc_id", F.lit("sentence_in_paragraph").alias("rule"))
-    return tiled.unionByName(dense).unionByName(whole).unionByName(links)
+    found = tiled.unionByName(dense).unionByName(whole).unionByName(links)
+    if stored is not None:
+        fields = ["space", "ord", "text", "w_start", "w_end", "paragraph_ord", "sentence_ord"]
+        row = F.struct(*fields)
+        both = again.select("doc_id", "pos", row.alias("a")).join(stored.select("doc_id", "pos", row.alias("b")), ["doc_id", "pos"], "full")
+        found = found.unionByName(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", F.lit("differs").alias("rule")))
+    return found.distinct()
 
 
 def sentence_starts(tokens: DataFrame, sentences: DataFrame) -> DataFrame:

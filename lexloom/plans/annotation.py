@@ -139,5 +139,4 @@ def quote_regions(spark, sf_dir):
 
 @R.query("innermost_region")
 def innermost_region(spark, sf_dir):
-    t = quoted_tokens(spark, sf_dir)
-    return quotes.innermost(t, quotes.quote_regions(t))
+    return quotes.innermost(quoted_tokens(spark, sf_dir))
