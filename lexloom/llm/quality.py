@@ -179,13 +179,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     their path's posterior. Repeated rows are scored alike; of several labels of one id the least counts. Without usable
     labels everything has the score of its path, about a half, and is kept. An empty table gives no rows.
 
-    The evidence is computed once and written with the rows; sites are summed from there.
+    The evidence is written, without the texts, and sites are summed from there. Without ``keep_text`` that is the only pass
+    over the texts; else it is computed again beside them, as writing all texts once more costs more disk than it saves.
     """
     model = fit_evidence(docs.select("doc_id", "text"), labels, fit_rows)
     own = docs.drop("q_evidence", "q_host", "q_path", "q_score", "q_keep", "q_source", "q_lang", "q_base").withColumn("q_evidence", evidence(model)("text"))
-    scored = stage(own if keep_text else own.drop("text"), "evidence")
+    scored = stage(own.select("source", "lang", "q_evidence") if keep_text else own.drop("text"), "evidence")
     site = stage(posteriors(scored.select("source", "lang", F.col("q_evidence").alias("z"))), "posteriors").select(F.col("source").alias("q_source"), F.col("lang").alias("q_lang"), F.col("host_posterior").alias("q_host"), F.col("path_posterior").alias("q_path"), F.col("base").alias("q_base"))
-    z = scored.join(site, F.col("source").eqNullSafe(F.col("q_source")) & F.col("lang").eqNullSafe(F.col("q_lang")), "left")
+    z = (own if keep_text else scored).join(site, F.col("source").eqNullSafe(F.col("q_source")) & F.col("lang").eqNullSafe(F.col("q_lang")), "left")
     score = _probability(F.col("q_evidence") + F.when(F.col("q_evidence") == 0, _log_odds(F.col("q_path"))).otherwise(_log_odds(F.col("q_path")) - _log_odds(F.col("q_base"))))
     return z.withColumn("q_score", score).withColumn("q_keep", F.round("q_score", 9) >= threshold).drop("q_source", "q_lang", "q_base")
 
