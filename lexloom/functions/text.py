@@ -99,8 +99,10 @@ def canonical_hash(**fields: Column) -> Column:
 
 # Terms too common to tell texts apart. Negations stay searchable.
 STOP_TERMS = (
-    "a ao aos aquela aquele aqueles as ate com como da das de dela dele deles do dos e ela elas ele eles em entre era essa esse esta este eu foi ha isso isto ja "
-    "la lhe mais mas me meu minha na nas no nos o os ou para pela pelo por que se ser seu sua suas tambem te tem um uma voce"
+    "a ao aos as ate com da das de do dos e em entre essa esse esta este eu ela ele "
+    "elas eles isso isto ja lhe lhes mais me meu meus minha minhas muito na nas no nos "
+    "num numa o os ou para pela pelas pelo pelos por qual quando que quem se ser seu "
+    "seus sobre sua suas tambem ter um uma umas uns"
 ).split()
 _ACCENTED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"

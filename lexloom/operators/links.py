@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import WS
+from lexloom.session import cut
 
-BLANK_LINE = r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))*"
 PASSAGE = r"[^.!?\n]+[.!?]*|[.!?\n]+"
 # Limits of a link.
 LINKS, FIELD, ALTERNATIVES = 24, 4096, 8
@@ -19,8 +19,15 @@ def words(text: Column) -> Column:
 
 
 def report_paragraphs(reports: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text): blank lines part paragraphs; LF, CRLF and a lone CR end lines; trimmed, ids P1, P2..."""
-    parts = reports.select("doc_id", F.posexplode(F.split("text", BLANK_LINE, -1)).alias("p", "text"))
+    """(doc_id, paragraph, text): blank lines part paragraphs; LF, CRLF and a lone CR end lines; trimmed, ids P1, P2...
+
+    Line ends inside a paragraph stay as they are: a break of a LF stands for each end while paragraphs are cut, and a
+    mark that no text holds keeps its kind.
+    """
+    # U+FFFE and U+FFFF are no characters; the one stands behind the LF of a CRLF, the other behind that of a lone CR.
+    marked = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n\ufffe")), F.lit("\r"), F.lit("\n\uffff"))
+    parts = reports.select("doc_id", F.posexplode(F.split(marked, r"\n[\ufffe\uffff]?(?:[ \t]*\n[\ufffe\uffff]?)+", -1)).alias("p", "text"))
+    parts = parts.withColumn("text", F.replace(F.replace("text", F.lit("\n\ufffe"), F.lit("\r\n")), F.lit("\n\uffff"), F.lit("\r")))
     trimmed = parts.withColumn("text", F.regexp_replace("text", "^[" + WS + "]+|[" + WS + "]+$", "")).where("text <> ''")
     return trimmed.select("doc_id", F.concat(F.lit("P"), F.row_number().over(Window.partitionBy("doc_id").orderBy("p")).cast("string")).alias("paragraph"), "text")
 
@@ -41,10 +48,22 @@ def candidate_passages(texts: DataFrame) -> DataFrame:
     return cut.where((F.col("text") != "") & ~F.col("text").rlike(r"^[.!?]")).select("doc_id", (F.col("at") + F.col("left")).alias("start"), (F.col("at") + F.col("left") + F.length("text")).alias("end"), "text")
 
 
-def tail_drop(ranked: DataFrame, budget: int) -> DataFrame:
-    """The head of each ranking (query, rank, text) whose texts fit the budget of bytes; whole rows only."""
-    used = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("used", used).where(F.col("used") <= budget)
+def tail_drop(rows: DataFrame, order: list[str], budget: int) -> DataFrame:
+    """The head of each ranking of rows (query, text, and the columns of ``order``) whose texts fit the budget of bytes, with rank and used.
+
+    Texts are replaced by their sizes first. Sums by query and range of the order come before any window, and only the
+    ranges that begin within the budget are ranked row by row, so the rest of a hot query is never gathered.
+    """
+    sized = rows.withColumn("bytes", F.octet_length("text").cast("long")).drop("text")
+    place = F.struct(*order)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(sized.repartitionByRange(n, "query", *order).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("query", "range").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("query").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("query", "range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0")).where(F.col("b0") <= budget)
+    within = Window.partitionBy("query", "range").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    head = ranged.join(starts, ["query", "range"]).withColumn("used", F.col("b0") + F.sum("bytes").over(within)).withColumn("rank", (F.col("k0") + F.count(F.lit(1)).over(within)).cast("long"))
+    return head.where(F.col("used") <= budget).drop("range", "bytes", "b0", "k0")
 
 
 def verify_links(links: DataFrame, paragraphs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -127,9 +127,10 @@ def hashing_embedder(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for k in range(max(1, len(text) - 2)):
-                h = hashlib.blake2b(text[k : k + 3].encode(), digest_size=8).digest()
-                out[i, h[0] % dim] += 1 if h[1] & 1 else -1
+            x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+            x = np.concatenate([x, np.zeros(max(0, 3 - len(x)), np.uint64)])
+            h = ((x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]) * np.uint64(0x9E3779B97F4A7C15)
+            out[i] = np.bincount((h >> np.uint64(40)).astype(np.int64) % dim, np.where(h >> np.uint64(63), 1.0, -1.0), dim)
             if not out[i].any():
                 out[i, 0] = 1
         return out
@@ -203,6 +204,9 @@ def component_closure(parts: DataFrame, rounds: int = 16) -> DataFrame:
         everything = everything.unionByName(front)
     else:
         raise ValueError(f"derivations deeper than {rounds}")
+    circle = everything.where("artifact = component").first()
+    if circle is not None:
+        raise ValueError(f"artifact {circle.artifact} is derived from itself")
     own = parts.select("artifact").unionByName(parts.select(F.col("component").alias("artifact"))).distinct().select("artifact", F.col("artifact").alias("component"))
     return everything.unionByName(own).distinct()
 

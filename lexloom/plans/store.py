@@ -13,9 +13,11 @@ orders = lambda spark, d: table(spark, d, "orders")
 documents = lambda spark, d: table(spark, d, "documents").select("doc_id", "text")
 
 
-@R.query("submit_text", "SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0b\\f\\r]')")
+# Every ninth text becomes one no-break space, which is blank too.
+@R.query("submit_text", f"SELECT doc_id, text FROM documents WHERE doc_id % 9 <> 0 AND regexp_matches(text, '[^{tx.WS}]')")
 def submit_text(spark, sf_dir):
-    return documents(spark, sf_dir).where(F.col("text").rlike(r"\S"))
+    rows = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.lit("\u00a0")).otherwise(F.col("text")))
+    return rows.where((F.col("text") != "") & ~tx.is_blank(F.col("text")))
 
 
 @R.query("latest_record", "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
@@ -75,7 +77,7 @@ def blob_get(spark, sf_dir):
     return d.select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("blob_id")).join(store.blobs(d, F.col("text")).drop("size"), "blob_id")
 
 
-@R.query("blob_faults", "SELECT 'sha256:' || sha256(text) AS blob_id FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0 GROUP BY 1")
+@R.query("blob_faults", "SELECT 'sha256:' || sha256(text) AS blob_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING bool_or(doc_id % 5 = 0)")
 def blob_faults(spark, sf_dir):
     """All blobs are checked; those of every fifth document were damaged on purpose."""
     d = documents(spark, sf_dir)
@@ -151,16 +153,17 @@ def job_list(spark, sf_dir):
     return store.history(log(spark, sf_dir).where("state <> 'queued'"), "job_id", "event_id").select("job_id", "event_id", "state", "place")
 
 
-# Reports: the documents with the line end after a full stop doubled.
-REP = "rep AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents)"
+# Reports: the documents with the line end after a full stop doubled; every third has CRLF line ends.
+REP = "rep AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, replace(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10), chr(13) || chr(10)) FROM documents WHERE doc_id % 3 = 0)"
 
 
 def reports(spark, sf_dir):
-    return documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
+    doubled = F.replace("text", F.lit(".\n"), F.lit(".\n\n"))
+    return documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace(doubled, F.lit("\n"), F.lit("\r\n"))).otherwise(doubled))
 
 
 WSQ = tx.WS
-PARAS = REP + f", pp AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS p FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM rep)), par AS (SELECT doc_id, 'P' || row_number() OVER (PARTITION BY doc_id ORDER BY p) AS paragraph, text FROM (SELECT doc_id, p, regexp_replace(t, '^[{WSQ}]+|[{WSQ}]+$', '', 'g') AS text FROM pp) WHERE text <> '')"
+PARAS = REP + f", pp AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS p FROM (SELECT doc_id, string_split(text, CASE WHEN doc_id % 3 = 0 THEN chr(13) || chr(10) || chr(13) || chr(10) ELSE chr(10) || chr(10) END) AS l FROM rep)), par AS (SELECT doc_id, 'P' || row_number() OVER (PARTITION BY doc_id ORDER BY p) AS paragraph, text FROM (SELECT doc_id, p, regexp_replace(t, '^[{WSQ}]+|[{WSQ}]+$', '', 'g') AS text FROM pp) WHERE text <> '')"
 
 
 @R.query("report_split", f"WITH {PARAS} SELECT * FROM par")
@@ -188,11 +191,8 @@ def candidate_passages(spark, sf_dir):
 
 @R.query("tail_drop_to_budget", "WITH r AS (SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank, doc_id, text FROM documents), u AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM r) SELECT query, rank, doc_id, used::BIGINT AS used FROM u WHERE used <= 262144")
 def tail_drop_to_budget(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).cast("long")
-    ranked = table(spark, sf_dir, "documents").select(F.col("source").alias("query"), rank.alias("rank"), "doc_id", "text")
-    return links.tail_drop(ranked, 256 * 1024).drop("text")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("query"), "n_chars", "doc_id", "text")
+    return links.tail_drop(rows, ["n_chars", "doc_id"], 256 * 1024).drop("n_chars")
 
 
 @R.query("strip_fence", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"id\":' || doc_id || '}' ELSE 'see {\"id\":' || doc_id || '}' END AS answer FROM documents")

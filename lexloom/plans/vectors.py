@@ -8,6 +8,7 @@ from lexloom.functions import text as tx
 from lexloom.functions import vectors as vf
 from lexloom.operators import evaluate, links, segment, vectors
 from lexloom.plans.registry import Registry, table
+from lexloom.plans.segmentation import PLAIN
 from lexloom.session import cut
 
 R = Registry()
@@ -52,9 +53,9 @@ def weighted_vector_mean(spark, sf_dir):
     return m.select("label", F.posexplode("v").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@R.query("derive_vector", f"WITH {V}, m AS (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) AS r(i) WHERE id % 2 = 0 GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT label, i - 1 AS pos, round(x / n, 6) AS x FROM m JOIN n USING (label)")
+@R.query("derive_vector", f"WITH {V}, m AS (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) AS r(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT label, i - 1 AS pos, round(x / n, 6) AS x FROM m JOIN n USING (label)")
 def derive_vector(spark, sf_dir):
-    m = vectors.weighted_mean(vecs(spark, sf_dir).where("id % 2 = 0").withColumn("w", F.lit(1)), "label").withColumn("v", vf.l2_normalize(F.col("v")))
+    m = vectors.weighted_mean(vecs(spark, sf_dir).withColumn("w", F.lit(1)), "label").withColumn("v", vf.l2_normalize(F.col("v")))
     return m.select("label", F.posexplode("v").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
@@ -147,11 +148,11 @@ def describe_inputs(spark, sf_dir):
     return both.select("doc_id", "kind", F.sha2("text", 256).alias("sha256"))
 
 
-@R.query("context_inputs")
+@R.query("context_inputs", f"WITH {PLAIN} SELECT DISTINCT sha256(text) AS input_sha256, 16 AS dim FROM sentences")
 def context_inputs(spark, sf_dir):
-    """Distinct sentences, embedded once each by the deterministic embedder, as artifacts."""
+    """Distinct sentences of the texts as they are, embedded once each by the deterministic embedder, as artifacts."""
     s = segment.sentences(documents(spark, sf_dir)).select("text")
-    return vectors.artifacts(vectors.embed_distinct(s, vectors.hashing_embedder())).select("input_sha256", "artifact_id", "dim")
+    return vectors.artifacts(vectors.embed_distinct(s, vectors.hashing_embedder())).select("input_sha256", "dim")
 
 
 @R.query("sha256_text", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -177,10 +178,10 @@ def iso_with_offset(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.iso_with_offset(shown).alias("valid"))
 
 
-@R.query("local_time", "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 3 HOUR, '%d/%m/%Y %H:%M') AS shown FROM orders WHERE o_orderdate >= TIMESTAMP '2020-01-01'")
+@R.query("local_time", "SELECT o_orderkey, strftime((o_orderdate::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/Sao_Paulo', '%d/%m/%Y %H:%M') AS shown FROM orders")
 def local_time(spark, sf_dir):
     local = F.from_utc_timestamp("o_orderdate", "America/Sao_Paulo")
-    return table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP '2020-01-01'").select("o_orderkey", F.date_format(local, "dd/MM/yyyy HH:mm").alias("shown"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(local, "dd/MM/yyyy HH:mm").alias("shown"))
 
 
 @R.query("unit_id", "SELECT doc_id, 'run' || doc_id || ':token:' || n_chars AS id FROM documents")
