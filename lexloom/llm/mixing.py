@@ -145,7 +145,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
         .select("id", "source", "row", (F.col("offset") + F.col("rn") - 1).alias("n"))
     )
-    slots = schedule(parts, half, frame).withColumnRenamed("source", "s_source")
+    # As many rows as half blocks, so it is never broadcast, whatever its size is taken for.
+    slots = schedule(parts, half, frame).withColumnRenamed("source", "s_source").hint("merge")
     placed = numbered.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.floor(F.col("n") / half) == F.col("i"))).select(
         "id", "source", "row", F.floor(F.col("n") / block).cast("bigint").alias("block_no"), (F.col("n") % block).cast("bigint").alias("in_block"), "slot", "release", "deadline"
     )
