@@ -34,7 +34,7 @@ _CLASS[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 4
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 5
 _CLASS[97:123] = 6
 #: Slots for hashed character trigrams, words and word pairs.
-SLOTS = 128
+SLOTS = 64
 #: A letter of any script counts as itself, all else by its class, so that trigrams show the texture of a text.
 _TEXTURE = np.where((_CLASS == 0) | (_CLASS == 6) | (_CLASS == 1), np.arange(256), 256 + _CLASS).astype(np.uint64)
 FEATURES = ("log_words", "upper", "digits", "punctuation", "symbols", "other", "mean_word", "repeats", "distinct", "worst_symbols", "worst_upper", "worst_repeats", *(f"{k}{i}" for k in ("chars", "words", "pairs") for i in range(SLOTS)))
@@ -87,12 +87,16 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 30.0) -> EvidenceModel:
     if len(set(y.tolist())) < 2:
         return EvidenceModel((0.0,) * k, (1.0,) * k, (0.0,) * (k + 1))
     mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-6
-    z = np.hstack([np.clip((x - mean) / scale, -20, 20), np.ones((len(x), 1))])
     penalty = np.diag([ridge] * k + [1e-6])
     w = np.zeros(k + 1)
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        slope, bend = -penalty @ w, penalty.copy()
+        for lo in range(0, len(x), 2048):  # a part at a time, so that the sample is never held twice
+            z = np.hstack([np.clip((x[lo : lo + 2048] - mean) / scale, -20, 20), np.ones((len(x[lo : lo + 2048]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[lo : lo + 2048] - p)
+            bend += (z * (p * (1 - p))[:, None]).T @ z
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -117,10 +121,11 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ev
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    # About ``rows`` ids and rows, 2 KB each.
+    # About ``rows`` ids and rows, 1 KB each.
     found = docs.join(F.broadcast(chosen), "doc_id").select(features_of("text").alias("x"), "quality").toPandas()
-    x = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), len(FEATURES))
-    return fit(x, found.quality.to_numpy(float))
+    x, y = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), len(FEATURES)), found.quality.to_numpy(float)
+    del found
+    return fit(x, y)
 
 
 def evidence(model: EvidenceModel):
