@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import let
 from lexloom.functions.text import dep_base
-from lexloom.operators.annotate import clauses
+from lexloom.operators.annotate import VERBAL, clause_arrays, clauses, sentence_arrays
+from lexloom.session import cut
 
 CATALOGUE_VERSION = "1.1.0"
 FAMILIES = ("clauses", "negation", "time", "modality", "connectors")
@@ -18,8 +20,11 @@ FAMILIES = ("clauses", "negation", "time", "modality", "connectors")
 NEGATORS = {"não": ("simple", ("ADV", "PART"), ("advmod", "neg", "root")), "nunca": ("temporal", ("ADV",), ("advmod", "neg", "root")), "nem": ("additive", ("ADV", "PART", "CCONJ"), ("advmod", "neg", "root", "cc"))}
 RELATIVE_TIME = ("ontem", "hoje", "amanhã")
 MODAL_VERBS = {"poder": "possibility_open", "dever": "obligation", "precisar": "necessity", "necessitar": "necessity", "querer": "desire", "desejar": "desire", "duvidar": "doubt"}
+ABLE_VERBS = ("conseguir", "saber")
 MODAL_ADVERBS = {"talvez": "doubt", "possivelmente": "possibility", "provavelmente": "possibility"}
-CONNECTORS = {"mas": ("contrast", "CCONJ", ("cc",)), "porque": ("cause", "SCONJ", ("mark",)), "se": ("condition", "SCONJ", ("mark",)), "quando": ("time", "SCONJ", ("mark", "advmod"))}
+MODAL_ADJECTIVES = {"necessário": "necessity", "obrigatório": "obligation", "capaz": "capacity"}
+# Category, part of speech, dependency, and the dependencies of its clause's nucleus.
+CONNECTORS = {"porque": ("cause", ("SCONJ",), ("mark",), ("advcl", "ccomp", "root")), "se": ("condition", ("SCONJ",), ("mark",), ("advcl", "root")), "quando": ("time", ("SCONJ", "ADV"), ("mark", "advmod"), ("advcl",))}
 
 
 def _pick(value, mapping):
@@ -27,10 +32,35 @@ def _pick(value, mapping):
 
 
 def enriched(tokens: DataFrame) -> DataFrame:
-    """Tokens with clause owner and parent, lower-case form, base dependency and the next token's form."""
-    c = clauses(tokens).select("doc_id", "ord", "nucleus", "owner", "parent")
+    """Tokens with clause owner and parent, form, base dependency, neighbours, and what the rules ask of head, owner and dependents.
+
+    ``tokens`` has verbform (and may have tense and mood). Head and owner are looked up in the sentence's array; only verbal
+    complements and their markers are grouped by the token they hang from. Written once, as every rule reads it.
+    """
+    t = tokens
+    for c in ("tense", "mood"):
+        t = t if c in t.columns else t.withColumn(c, F.lit(None).cast("string"))
+    s = sentence_arrays(t, "text", "lemma", "pos", "dep", "verbform", "tense", "mood")
+    at = lambda i: (i + F.col("start")).cast("long")
+
+    def rows(t):
+        def row(n, o, x):
+            h, own = F.get(t, x["head"]), F.get(o, x["i"])
+            return F.struct(
+                at(x["i"]).alias("ord"), at(x["head"]).alias("head_ord"), *[x[c].alias(c) for c in ("text", "lemma", "pos", "verbform", "tense", "mood")], F.lower(x["text"]).alias("form"), dep_base(x["dep"]).alias("base"),
+                F.get(n, x["i"]).alias("nucleus"), at(own).alias("owner"), F.when(x["head"] != x["i"], at(F.get(o, x["head"]))).alias("parent"),
+                F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"),
+            )
+
+        return clause_arrays(t, lambda n, o: F.transform(t, lambda x: row(n, o, x)))
+
+    flat = s.select("doc_id", "sentence_ord", "start", F.explode(let(F.col("t"), rows)).alias("y")).select("doc_id", "sentence_ord", "y.*")
     near = Window.partitionBy("doc_id", "sentence_ord").orderBy("ord")
-    return tokens.join(c, ["doc_id", "ord"]).withColumn("form", F.lower("text")).withColumn("base", dep_base(F.col("dep"))).withColumn("next", F.lead("form").over(near)).withColumn("before", F.lag("form").over(near))
+    flat = cut(flat.withColumn("next", F.lead("form").over(near)).withColumn("before", F.lag("form").over(near)).withColumn("before_row", F.lag(F.struct("ord", "pos", "base", "head_ord")).over(near)))
+    verbal = F.col("pos").isin(*VERBAL) & F.col("base").isin("xcomp", "ccomp")
+    able = flat.where(verbal & (F.col("head_ord") != F.col("ord"))).groupBy("doc_id", F.col("head_ord").alias("ord")).agg(F.bool_or((F.col("base") == "xcomp") & (F.col("verbform") == "Inf")).alias("infinitive"))
+    marked = flat.where(F.col("form").isin("que", "de") & F.col("base").isin("mark", "case") & F.col("h_pos").isin(*VERBAL) & F.col("h_base").isin("xcomp", "ccomp")).select("doc_id", F.col("h_head").alias("ord"), F.lit(True).alias("marked")).distinct()
+    return flat.join(able, ["doc_id", "ord"], "left").join(marked, ["doc_id", "ord"], "left")
 
 
 def correlatives(rows: DataFrame) -> DataFrame:
@@ -53,12 +83,24 @@ def occurrences(tokens: DataFrame) -> DataFrame:
     hits = [F.when(F.col("nucleus"), F.struct(F.lit("clause").alias("rule"), F.lit("clauses").alias("family"), F.lit("clause").alias("category")))]
     for word, (category, tags, deps) in NEGATORS.items():
         hits.append(F.when(F.col("free") & (form == word) & pos.isin(*tags) & base.isin(*deps), F.struct(F.lit(f"negation_{word}").alias("rule"), F.lit("negation").alias("family"), F.lit(category).alias("category"))))
-    hits.append(F.when(form.isin(*RELATIVE_TIME) & (pos == "ADV") & base.isin("advmod", "obl", "npadvmod"), F.struct(F.lit("relative_time").alias("rule"), F.lit("time").alias("family"), F.lit("relative").alias("category"))))
-    hits.append(F.when(pos.isin("VERB", "AUX") & _pick(lemma, MODAL_VERBS).isNotNull(), F.struct(F.lit("modal_verb").alias("rule"), F.lit("modality").alias("family"), _pick(lemma, MODAL_VERBS).alias("category"))))
-    hits.append(F.when((pos == "ADV") & base.isin("advmod", "discourse") & _pick(form, MODAL_ADVERBS).isNotNull(), F.struct(F.lit("modal_adverb").alias("rule"), F.lit("modality").alias("family"), _pick(form, MODAL_ADVERBS).alias("category"))))
-    for word, (category, tag, deps) in CONNECTORS.items():
-        hits.append(F.when(F.col("free") & (form == word) & (pos == tag) & base.isin(*deps), F.struct(F.lit(f"connector_{word}").alias("rule"), F.lit("connectors").alias("family"), F.lit(category).alias("category"))))
-    hits.append(F.when((form == "isso") & (F.col("before") == "por") & pos.isin("PRON", "ADV") & base.isin("obl", "advmod"), F.struct(F.lit("therefore").alias("rule"), F.lit("connectors").alias("family"), F.lit("consequence").alias("category"))))
+    hit = lambda rule, family, category: F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), (F.lit(category) if isinstance(category, str) else category).alias("category"))
+    hits.append(F.when(form.isin(*RELATIVE_TIME) & (pos == "ADV") & base.isin("advmod", "obl", "npadvmod"), hit("relative_time", "time", "relative")))
+    temporal = (form == "quando") & pos.isin("SCONJ", "ADV") & base.isin("mark", "advmod") & (F.col("o_base") == "advcl")
+    hits.append(F.when(temporal, hit("relative_time", "time", "construction")))
+    verb = pos.isin(*VERBAL)
+    hits.append(F.when(verb & F.coalesce("tense", "mood", "verbform").isNotNull(), hit("verb_inflection", "time", "inflection")))
+    hits.append(F.when(verb & _pick(lemma, MODAL_VERBS).isNotNull(), hit("modal_verb", "modality", _pick(lemma, MODAL_VERBS))))
+    hits.append(F.when(verb & lemma.isin(*ABLE_VERBS) & F.col("infinitive"), hit("modal_verb", "modality", "capacity")))
+    hits.append(F.when(verb & (lemma == "ter") & F.col("marked"), hit("modal_verb", "modality", "obligation")))
+    hits.append(F.when((pos == "ADV") & base.isin("advmod", "discourse") & _pick(form, MODAL_ADVERBS).isNotNull(), hit("modal_adverb", "modality", _pick(form, MODAL_ADVERBS))))
+    hits.append(F.when((pos == "ADJ") & F.col("nucleus") & _pick(lemma, MODAL_ADJECTIVES).isNotNull(), hit("modal_adjective", "modality", _pick(lemma, MODAL_ADJECTIVES))))
+    contrast = (form == "mas") & (pos == "CCONJ") & (base == "cc") & F.col("h_nucleus") & (F.col("h_base") == "conj")
+    hits.append(F.when(F.col("free") & contrast & F.col("owner").isNotNull(), hit("connector_mas", "connectors", "contrast")))
+    for word, (category, tags, deps, clauses_) in CONNECTORS.items():
+        hits.append(F.when(F.col("free") & (form == word) & pos.isin(*tags) & base.isin(*deps) & F.col("o_base").isin(*clauses_), hit(f"connector_{word}", "connectors", category)))
+    by = F.col("before_row")
+    therefore = (form == "isso") & (F.col("before") == "por") & (by["pos"] == "ADP") & (by["base"] == "case") & (by["head_ord"] == F.col("ord")) & pos.isin("PRON", "ADV") & base.isin("obl", "advmod") & (by["ord"] < F.col("owner"))
+    hits.append(F.when(therefore, hit("therefore", "connectors", "consequence")))
     found = rows.select("doc_id", "sentence_ord", "ord", F.col("owner").alias("nucleus"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
     single = found.select("doc_id", "sentence_ord", "ord", "h.rule", "h.family", "h.category", "nucleus")
     owner = rows.select("doc_id", F.col("ord").alias("first"), F.col("owner").alias("nucleus"))
@@ -73,11 +115,25 @@ def multiple_negation(found: DataFrame) -> DataFrame:
 
 
 def scopes(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, ord, rule, scope_tokens, fragments): a nucleus's own tokens, and the runs of consecutive ones among them."""
-    own = clauses(tokens).where("owner IS NOT NULL").select("doc_id", "owner", "ord")
-    runs = own.withColumn("run", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "owner").orderBy("ord")))
-    size = runs.groupBy("doc_id", F.col("owner").alias("nucleus")).agg(F.count(F.lit(1)).alias("scope_tokens"), F.count_distinct("run").alias("fragments"))
-    return found.join(size, ["doc_id", "nucleus"]).select("doc_id", "ord", "rule", "scope_tokens", "fragments")
+    """(doc_id, ord, rule, scope_tokens, fragments, slices): a nucleus's own tokens, and the runs [first, last] of consecutive ones among them."""
+    own = cut(clauses(tokens).where("owner IS NOT NULL").select("doc_id", "owner", "ord"))
+    runs = own.withColumn("run", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "owner").orderBy("ord"))).groupBy("doc_id", "owner", "run").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"))
+    size = runs.groupBy("doc_id", F.col("owner").alias("nucleus")).agg(F.sum("n").alias("scope_tokens"), F.count(F.lit(1)).alias("fragments"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("slices"))
+    return found.join(size, ["doc_id", "nucleus"]).select("doc_id", "ord", "rule", "scope_tokens", "fragments", "slices")
+
+
+def pending(tokens: DataFrame) -> DataFrame:
+    """(doc_id, ord, rule, field): tokens whose missing annotation keeps a rule from deciding."""
+    t = tokens.withColumn("form", F.lower("text"))
+    no_pos = F.col("pos").isNull()
+    words = (*NEGATORS, "só", "somente", "apenas", "mas", "também", *RELATIVE_TIME, *CONNECTORS, *MODAL_ADVERBS)
+    ask = lambda rule, field: F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field"))
+    verb = F.col("pos").isin(*VERBAL)
+    asked = F.array(
+        *[F.when(no_pos, ask(rule, "pos")) for rule in ("clause", "verb_inflection", "modal_verb")], F.when(no_pos & F.col("form").isin(*words), ask("word", "pos")),
+        F.when(verb & F.col("lemma").isNull(), ask("modal_verb", "lemma")), F.when(verb & F.col("verbform").isNull(), ask("verb_inflection", "verbform")),
+    )
+    return t.select("doc_id", "ord", F.explode(F.filter(asked, lambda x: x.isNotNull())).alias("x")).select("doc_id", "ord", "x.*")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ PALETTE = (
     ("nunca", "nunca", "ADV", "advmod"), ("nem", "nem", "CCONJ", "cc"), ("deve", "dever", "VERB", "xcomp"), ("pode", "poder", "AUX", "aux"), ("hoje", "hoje", "ADV", "advmod"), ("quando", "quando", "SCONJ", "mark"),
     ("foi", "ser", "AUX", "cop"), ("livro", "livro", "NOUN", "obj"), ("por", "por", "ADP", "case"), ("isso", "isso", "PRON", "obl"), ("porque", "porque", "SCONJ", "mark"), ("se", "se", "SCONJ", "mark"),
     ("talvez", "talvez", "ADV", "advmod"), ("casa", "casa", "NOUN", "nsubj"), (".", ".", "PUNCT", "punct"), ("disse", "dizer", "VERB", "ccomp"), ("xyz", None, None, "nmod"), ("não", "não", "ADV", "advmod"),
+    ("necessário", "necessário", "ADJ", "advcl"), ("consegue", "conseguir", "VERB", "conj"), ("sair", "sair", "VERB", "xcomp"), ("tem", "ter", "VERB", "advcl"), ("que", "que", "SCONJ", "mark"), ("necessitou", None, "VERB", "ccomp"), ("só", None, None, "advmod"),
 )
 
 
@@ -29,13 +30,14 @@ def annotated(spark, sf_dir):
     t = t.withColumn("start", start).withColumn("h", ((F.col("ord") + F.col("doc_id") + F.floor(F.length("text") / 4)) % len(PALETTE)).cast("int"))
     column = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PALETTE]), F.col("h") + 1)
     i = F.col("ord") - F.col("start")
-    return t.select("doc_id", "sentence_ord", "ord", column(0).alias("text"), column(1).alias("lemma"), column(2).alias("pos"), F.when(i == 0, "ROOT").otherwise(column(3)).alias("dep"), F.when(i == 0, F.col("ord")).otherwise(F.col("start") + F.floor((i - 1) / 2)).alias("head_ord"))
+    return t.select("doc_id", "sentence_ord", "ord", column(0).alias("text"), column(1).alias("lemma"), column(2).alias("pos"), F.when(i == 0, "ROOT").otherwise(column(3)).alias("dep"), F.when(i == 0, F.col("ord")).otherwise(F.col("start") + F.floor((i - 1) / 2)).alias("head_ord")).withColumn("verbform", _VERBFORM)
 
 
+_VERBFORM = F.when(F.col("pos").isin("VERB", "AUX") & F.col("lemma").isNotNull(), F.when(F.col("lemma") == F.col("text"), "Inf").otherwise("Fin"))
 _rows = ", ".join("(" + str(k) + ", " + ", ".join("NULL" if x is None else f"'{x}'" for x in p) + ")" for k, p in enumerate(PALETTE))
 ANN = TOKENS + f""", pal(h, form, lemma, pos, dep) AS (VALUES {_rows}),
 an0 AS (SELECT doc_id, sentence_ord::BIGINT AS sentence_ord, ord, min(ord) OVER (PARTITION BY doc_id, sentence_ord) AS start, (ord + doc_id + length(text) // 4) % {len(PALETTE)} AS h FROM tokens),
-an AS (SELECT doc_id, sentence_ord, ord, form AS text, lemma, pos, CASE WHEN ord = start THEN 'ROOT' ELSE dep END AS dep, CASE WHEN ord = start THEN ord ELSE start + (ord - start - 1) // 2 END AS head_ord FROM an0 JOIN pal USING (h))"""
+an AS (SELECT doc_id, sentence_ord, ord, form AS text, lemma, pos, CASE WHEN ord = start THEN 'ROOT' ELSE dep END AS dep, CASE WHEN ord = start THEN ord ELSE start + (ord - start - 1) // 2 END AS head_ord, CASE WHEN pos IN ('VERB', 'AUX') AND lemma IS NOT NULL THEN CASE WHEN lemma = form THEN 'Inf' ELSE 'Fin' END END AS verbform FROM an0 JOIN pal USING (h))"""
 CLAUSES = ANN + """, nu AS (SELECT doc_id, ord, head_ord, sentence_ord, coalesce(pos IN ('VERB', 'AUX') AND lower(dep) NOT IN ('aux', 'cop'), false) OR (doc_id, ord) IN (SELECT doc_id, head_ord FROM an WHERE dep = 'cop') AS nucleus FROM an),
 climb(doc_id, ord, pl, found) AS (SELECT doc_id, ord, CASE WHEN nucleus THEN ord ELSE head_ord END, nucleus OR head_ord = ord FROM nu
   UNION ALL SELECT c.doc_id, c.ord, CASE WHEN n.nucleus THEN c.pl ELSE n.head_ord END, n.nucleus OR n.head_ord = n.ord FROM climb c JOIN nu n ON n.doc_id = c.doc_id AND n.ord = c.pl WHERE NOT c.found),
@@ -52,7 +54,7 @@ def annotation_coverage(spark, sf_dir):
     return annotate.coverage(annotated(spark, sf_dir))
 
 
-@R.query("missing_fields", f"WITH {ANN} SELECT doc_id, unnest(['lemma', 'pos']) AS field, count(*) AS n, min(ord) AS first FROM an WHERE lemma IS NULL GROUP BY 1")
+@R.query("missing_fields", f"WITH {ANN} SELECT doc_id, 'lemma' AS field, count(*) AS n, min(ord) AS first FROM an WHERE lemma IS NULL GROUP BY 1 UNION ALL SELECT doc_id, 'pos', count(*), min(ord) FROM an WHERE pos IS NULL GROUP BY 1")
 def missing_fields(spark, sf_dir):
     return annotate.missing_fields(annotated(spark, sf_dir))
 
@@ -88,7 +90,12 @@ def subtree(spark, sf_dir):
 
 _case = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
 RULES = CLAUSES + f""",
-en AS (SELECT an.*, o.owner, n.nucleus, lead(an.text) OVER w AS next, lag(an.text) OVER w AS before FROM an JOIN ow o USING (doc_id, ord) JOIN nu n USING (doc_id, ord) WINDOW w AS (PARTITION BY an.doc_id, an.sentence_ord ORDER BY ord)),
+en AS (SELECT an.*, o.owner, n.nucleus, lead(an.text) OVER w AS next, lag(an.text) OVER w AS before, lag(an.ord) OVER w AS b_ord, lag(an.dep) OVER w AS b_dep, lag(an.head_ord) OVER w AS b_head,
+  h.nucleus AS h_nucleus, ha.dep AS h_dep, ha.pos AS h_pos, ha.head_ord AS h_head, lower(oa.dep) AS o_base
+  FROM an JOIN ow o USING (doc_id, ord) JOIN nu n USING (doc_id, ord) JOIN nu h ON h.doc_id = an.doc_id AND h.ord = an.head_ord JOIN an ha ON ha.doc_id = an.doc_id AND ha.ord = an.head_ord LEFT JOIN an oa ON oa.doc_id = an.doc_id AND oa.ord = o.owner
+  WINDOW w AS (PARTITION BY an.doc_id, an.sentence_ord ORDER BY an.ord)),
+inf AS (SELECT DISTINCT doc_id, head_ord AS ord FROM en WHERE head_ord <> ord AND dep = 'xcomp' AND verbform = 'Inf'),
+mrk AS (SELECT DISTINCT doc_id, h_head AS ord FROM en WHERE text = 'que' AND dep = 'mark' AND h_pos IN ('VERB', 'AUX') AND h_dep IN ('xcomp', 'ccomp')),
 co0 AS (SELECT a.doc_id, a.sentence_ord, a.ord AS first, min(b.ord) AS second FROM en a JOIN en b ON a.doc_id = b.doc_id AND a.sentence_ord = b.sentence_ord WHERE a.text = 'não' AND a.next = 'só' AND b.text = 'mas' AND b.next = 'também' AND b.ord > a.ord + 1 GROUP BY ALL),
 co AS (SELECT doc_id, sentence_ord, second, min(first) AS first FROM co0 GROUP BY ALL),
 me AS (SELECT doc_id, first AS ord FROM co UNION SELECT doc_id, second FROM co),
@@ -97,10 +104,16 @@ oc AS (
   SELECT doc_id, sentence_ord, ord, 'clause' AS rule, 'clauses' AS family, 'clause' AS category, owner AS nucleus FROM fr WHERE nucleus
   UNION ALL SELECT doc_id, sentence_ord, ord, 'negation_' || text, 'negation', {_case('text', {k: v[0] for k, v in rules.NEGATORS.items()})}, owner FROM fr WHERE free AND ((text IN ('não', 'nunca') AND b IN ('advmod', 'neg', 'root')) OR (text = 'nem' AND b IN ('advmod', 'neg', 'root', 'cc')))
   UNION ALL SELECT doc_id, sentence_ord, ord, 'relative_time', 'time', 'relative', owner FROM fr WHERE text = 'hoje' AND b IN ('advmod', 'obl', 'npadvmod')
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'relative_time', 'time', 'construction', owner FROM fr WHERE text = 'quando' AND b = 'mark' AND o_base = 'advcl'
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'verb_inflection', 'time', 'inflection', owner FROM fr WHERE verbform IS NOT NULL
   UNION ALL SELECT doc_id, sentence_ord, ord, 'modal_verb', 'modality', {_case('lemma', rules.MODAL_VERBS)}, owner FROM fr WHERE lemma IN ('poder', 'dever')
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'modal_verb', 'modality', 'capacity', owner FROM fr JOIN inf USING (doc_id, ord) WHERE lemma = 'conseguir'
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'modal_verb', 'modality', 'obligation', owner FROM fr JOIN mrk USING (doc_id, ord) WHERE lemma = 'ter'
   UNION ALL SELECT doc_id, sentence_ord, ord, 'modal_adverb', 'modality', 'doubt', owner FROM fr WHERE text = 'talvez' AND b IN ('advmod', 'discourse')
-  UNION ALL SELECT doc_id, sentence_ord, ord, 'connector_' || text, 'connectors', {_case('text', {k: v[0] for k, v in rules.CONNECTORS.items()})}, owner FROM fr WHERE free AND ((text = 'mas' AND b = 'cc') OR (text IN ('porque', 'se', 'quando') AND b = 'mark'))
-  UNION ALL SELECT doc_id, sentence_ord, ord, 'therefore', 'connectors', 'consequence', owner FROM fr WHERE text = 'isso' AND before = 'por' AND b IN ('obl', 'advmod')
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'modal_adjective', 'modality', 'necessity', owner FROM fr WHERE text = 'necessário' AND nucleus
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'connector_mas', 'connectors', 'contrast', owner FROM fr WHERE free AND text = 'mas' AND b = 'cc' AND h_nucleus AND h_dep = 'conj' AND owner IS NOT NULL
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'connector_' || text, 'connectors', {_case('text', {k: v[0] for k, v in rules.CONNECTORS.items()})}, owner FROM fr WHERE free AND b = 'mark' AND ((text = 'porque' AND o_base IN ('advcl', 'ccomp', 'root')) OR (text = 'se' AND o_base IN ('advcl', 'root')) OR (text = 'quando' AND o_base = 'advcl'))
+  UNION ALL SELECT doc_id, sentence_ord, ord, 'therefore', 'connectors', 'consequence', owner FROM fr WHERE text = 'isso' AND before = 'por' AND b_dep = 'case' AND b_head = ord AND b IN ('obl', 'advmod') AND b_ord < owner
   UNION ALL SELECT co.doc_id, co.sentence_ord, first, 'correlative', 'negation', 'correlative_addition', o.owner FROM co JOIN ow o ON o.doc_id = co.doc_id AND o.ord = first)"""
 
 
@@ -122,7 +135,12 @@ def rule_report(spark, sf_dir):
 @R.query("contiguous_fragments", f"WITH RECURSIVE {RULES}, ru AS (SELECT doc_id, owner, ord - row_number() OVER (PARTITION BY doc_id, owner ORDER BY ord) AS run FROM ow WHERE owner IS NOT NULL), sz AS (SELECT doc_id, owner AS nucleus, count(*) AS scope_tokens, count(DISTINCT run) AS fragments FROM ru GROUP BY 1, 2) SELECT doc_id, ord, rule, scope_tokens, fragments FROM oc JOIN sz USING (doc_id, nucleus)")
 def contiguous_fragments(spark, sf_dir):
     a = annotated(spark, sf_dir)
-    return rules.scopes(a, rules.occurrences(a))
+    return rules.scopes(a, rules.occurrences(a)).drop("slices")
+
+
+@R.query("rule_pending", f"WITH {ANN} SELECT doc_id, ord, unnest(['clause', 'verb_inflection', 'modal_verb']) AS rule, 'pos' AS field FROM an WHERE pos IS NULL UNION ALL SELECT doc_id, ord, 'word', 'pos' FROM an WHERE pos IS NULL AND text = 'só' UNION ALL SELECT doc_id, ord, unnest(['modal_verb', 'verb_inflection']), unnest(['lemma', 'verbform']) FROM an WHERE pos = 'VERB' AND lemma IS NULL")
+def rule_pending(spark, sf_dir):
+    return rules.pending(annotated(spark, sf_dir))
 
 
 # Full stops of the derived tokens stand for marks, by their place.

@@ -88,8 +88,9 @@ def test_tree_and_rules(spark):
     t = spark.createDataFrame(rows, "doc_id long, sentence_ord long, ord long, text string, lemma string, pos string, dep string, head_ord long")
     assert annotate.check_tree(t).count() == 0
     assert {r.owner for r in annotate.clauses(t).collect()} == {2}
+    t = t.withColumn("verbform", F.when(F.col("pos") == "VERB", "Fin"))
     found = rules.occurrences(t)
-    assert sorted((r.rule, r.ord) for r in found.collect()) == [("clause", 2), ("negation_nunca", 3), ("negation_não", 1), ("relative_time", 4)]
+    assert sorted((r.rule, r.ord) for r in found.collect()) == [("clause", 2), ("negation_nunca", 3), ("negation_não", 1), ("relative_time", 4), ("verb_inflection", 2)]
     assert [r.markers for r in rules.multiple_negation(found).collect()] == [2]
     circle = t.withColumn("head_ord", F.when(F.col("ord") == 3, 4).when(F.col("ord") == 4, 3).otherwise(F.col("head_ord")))
     assert [r.rule for r in annotate.check_tree(circle).collect()] == ["circle"]
@@ -107,6 +108,48 @@ def test_reports(spark):
     assert got == {0: (3, 2, None), 1: (2, 1, "paragraphs"), 2: (0, 0, "empty"), 3: (3, 3, "paragraphs")}
 
 
+def test_crlf_ends_one_line(spark):
+    got = [(r.doc_id, r.paragraph, r.text) for r in links.report_paragraphs(frame(spark, "one line\r\nsecond line", "a\r\n\t\r\nb\rc\n\r\n\rd")).orderBy("doc_id", "paragraph").collect()]
+    assert got == [(0, "P1", "one line\r\nsecond line"), (1, "P1", "a"), (1, "P2", "b\rc"), (1, "P3", "d")]
+
+
+def test_circles_are_an_error(spark):
+    with pytest.raises(ValueError, match="derived from itself"):
+        vectors.component_closure(spark.createDataFrame([(1, 2), (2, 1)], "artifact long, component long"))
+
+
+def test_modal_and_temporal_rules(spark):
+    # "Quando consegue sair, tem que esperar": an infinitive complement shows capacity, "ter que" obligation.
+    words = [("Quando", "quando", "SCONJ", "mark", 1, None), ("consegue", "conseguir", "VERB", "advcl", 3, "Fin"), ("sair", "sair", "VERB", "xcomp", 1, "Inf"), ("tem", "ter", "VERB", "ROOT", 3, "Fin"), ("que", "que", "SCONJ", "mark", 5, None), ("esperar", "esperar", "VERB", "xcomp", 3, "Inf"), ("tudo", "tudo", None, "obj", 5, None)]
+    rows = [(0, 0, i, *w[:4], w[4], w[5]) for i, w in enumerate(words)]
+    t = spark.createDataFrame(rows, "doc_id long, sentence_ord long, ord long, text string, lemma string, pos string, dep string, head_ord long, verbform string")
+    got = {(r.ord, r.rule, r.category) for r in rules.occurrences(t).collect() if r.family in ("time", "modality", "connectors") and r.category != "inflection"}
+    assert got == {(0, "relative_time", "construction"), (0, "connector_quando", "time"), (1, "modal_verb", "capacity"), (3, "modal_verb", "obligation")}
+    assert {(r.ord, r.rule) for r in rules.pending(t).collect()} == {(6, "clause"), (6, "verb_inflection"), (6, "modal_verb")}
+
+
+def test_a_long_paragraph_is_read_in_one_go(spark):
+    import time
+
+    def took(n):
+        docs = frame(spark, " ".join(f"w{i}" + ("." if i % 17 == 0 else "") for i in range(n)))
+        began = time.time()
+        segment.tokens(docs).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(5_000)
+    short = min(took(5_000) for _ in range(2))
+    assert took(20_000) < 5 * short + 1
+
+
+def test_borders_map_to_points(spark):
+    docs = frame(spark, "a\r\nb", "")
+    pieces = spans.span_map(docs)
+    lengths = spark.createDataFrame([(0, 3, 4), (1, 0, 0)], "doc_id long, w_length long, o_length long")
+    points = spark.createDataFrame([(0, i, i) for i in range(5)] + [(1, 0, 0)], "doc_id long, span long, w long")
+    assert sorted((r.doc_id, r.w, r.o) for r in spans.map_points(points, pieces, lengths).collect()) == [(0, 0, 0), (0, 1, 1), (0, 2, 3), (0, 3, 4), (1, 0, 0)]
+
+
 def test_store_and_jobs(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     root = str(tmp_path / "runs")
