@@ -30,10 +30,10 @@ def annotated(spark, sf_dir):
     t = t.withColumn("start", start).withColumn("h", ((F.col("ord") + F.col("doc_id") + F.floor(F.length("text") / 4)) % len(PALETTE)).cast("int"))
     column = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PALETTE]), F.col("h") + 1)
     i = F.col("ord") - F.col("start")
-    return t.select("doc_id", "sentence_ord", "ord", column(0).alias("text"), column(1).alias("lemma"), column(2).alias("pos"), F.when(i == 0, "ROOT").otherwise(column(3)).alias("dep"), F.when(i == 0, F.col("ord")).otherwise(F.col("start") + F.floor((i - 1) / 2)).alias("head_ord")).withColumn("verbform", _VERBFORM)
+    verbform = F.when(F.col("pos").isin("VERB", "AUX") & F.col("lemma").isNotNull(), F.when(F.col("lemma") == F.col("text"), "Inf").otherwise("Fin"))
+    return t.select("doc_id", "sentence_ord", "ord", column(0).alias("text"), column(1).alias("lemma"), column(2).alias("pos"), F.when(i == 0, "ROOT").otherwise(column(3)).alias("dep"), F.when(i == 0, F.col("ord")).otherwise(F.col("start") + F.floor((i - 1) / 2)).alias("head_ord")).withColumn("verbform", verbform)
 
 
-_VERBFORM = F.when(F.col("pos").isin("VERB", "AUX") & F.col("lemma").isNotNull(), F.when(F.col("lemma") == F.col("text"), "Inf").otherwise("Fin"))
 _rows = ", ".join("(" + str(k) + ", " + ", ".join("NULL" if x is None else f"'{x}'" for x in p) + ")" for k, p in enumerate(PALETTE))
 ANN = TOKENS + f""", pal(h, form, lemma, pos, dep) AS (VALUES {_rows}),
 an0 AS (SELECT doc_id, sentence_ord::BIGINT AS sentence_ord, ord, min(ord) OVER (PARTITION BY doc_id, sentence_ord) AS start, (ord + doc_id + length(text) // 4) % {len(PALETTE)} AS h FROM tokens),

@@ -239,3 +239,15 @@ def test_blob_faults_checks_every_blob(spark, monkeypatch):
     assert checked == [len({r.text for r in rows})]
     assert {r.blob_id for r in got} == {"sha256:" + hashlib.sha256(r.text.encode()).hexdigest() for r in rows if r.doc_id % 5 == 0}
     assert len(got) == len({r.blob_id for r in got}) < checked[0]
+
+
+def test_entry_imports_without_a_session():
+    """In a fresh interpreter: no column is built before there is a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr[-500:]
+    assert min(map(int, said.stdout.split()[-2:])) > 100
