@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMATS = {"float16": "<f2", "float32": "<f4", "float64": "<f8"}
@@ -77,6 +77,15 @@ def encode(kind: str):
     return pack
 
 
+def base64_float32(rows: DataFrame, column: str, tolerance: float = 1e-5) -> DataFrame:
+    """Adds format, dim, bytes, sha256_bytes and base64 of the unit vectors in ``column``; null where one is not finite in float32 or its norm there is not 1."""
+    rounded = F.transform(column, lambda x: x.cast("float").cast("double"))
+    sound = F.coalesce(finite(rounded) & (F.abs(norm(rounded) - 1) <= tolerance), F.lit(False))
+    packed = rows.withColumn("bytes", encode("float32")(doubles(F.col(column)))).withColumn("sound", sound)
+    said = {"format": F.lit("float32_le"), "dim": F.size(column), "sha256_bytes": F.sha2("bytes", 256), "base64": F.base64("bytes"), "bytes": F.octet_length("bytes")}
+    return packed.select(*rows.columns, *[F.when(F.col("sound"), c).alias(n) for n, c in said.items()])
+
+
 def decode(kind: str):
     """A pandas UDF bytes -> array<double>; null where the length is no multiple of the unit or a value is not finite."""
     dtype = FORMATS[kind]

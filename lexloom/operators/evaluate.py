@@ -29,6 +29,12 @@ def macro_mean(measures: DataFrame) -> DataFrame:
     return measures.groupBy("k").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "mrr", "ndcg")], F.count(F.lit(1)).alias("queries"))
 
 
+def gold_pairs(gold: DataFrame, predicted: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Gold targets and predictions of one span (doc_id, start, end), with gold_<field> and <field>; a span that only one side has gives no pair."""
+    g = gold.select("doc_id", "start", "end", *[F.col(f).alias(f"gold_{f}") for f in fields])
+    return g.join(predicted.select("doc_id", "start", "end", *fields), ["doc_id", "start", "end"])
+
+
 def gold_accuracy(pairs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(field, targets, hits, accuracy) from pairs with gold_<field> and <field>; nulls are misses unless both are null."""
     each = pairs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).eqNullSafe(F.col(f"gold_{f}")).alias("hit")) for f in fields])).alias("x"))

@@ -108,6 +108,12 @@ def occurrences(tokens: DataFrame) -> DataFrame:
     return single.unionByName(both)
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Occurrences with their place in the document: by marker, rule and category."""
+    order = Window.partitionBy("doc_id").orderBy("ord", "rule", "category", F.col("nucleus").asc_nulls_first())
+    return found.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def multiple_negation(found: DataFrame) -> DataFrame:
     """(doc_id, sentence_ord, nucleus, markers): nuclei with two negators or more."""
     negators = found.where("family = 'negation' AND rule LIKE 'negation_%' AND nucleus IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -84,6 +85,7 @@ def plan_chunks(text: str, tokenize: Callable[[str], list[tuple[int, int]]], lim
     if not text.strip():
         return []
     spans = tokenize(text)
+    stops, starts = sorted(stops), [a for a, _ in spans]
     chunks, at, first = [], 0, 0
     while first < len(spans):
         last = min(first + limit, len(spans))
@@ -91,10 +93,11 @@ def plan_chunks(text: str, tokenize: Callable[[str], list[tuple[int, int]]], lim
             end, last = len(text), len(spans)
         else:
             end = spans[last][0]
-            inside = [s for s in stops if at < s <= end]
-            if inside and any(first < k and spans[k][0] >= inside[-1] for k in range(first, last + 1)):
-                end = inside[-1]
-                last = next(k for k in range(first, last + 1) if spans[k][0] >= end)
+            k = bisect_right(stops, end)  # the last stop that is not behind the chunk
+            if k and stops[k - 1] > at:
+                after = bisect_left(starts, stops[k - 1], first + 1, last + 1)
+                if after <= last:
+                    end, last = stops[k - 1], after
         chunks.append([at, end])
         at, first = end, last
     merged: list[list[int]] = []
