@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import WS
+from lexloom.operators.vectors import code_points, plan_chunks
 from lexloom.session import cut
 
 PASSAGE = r"[^.!?\n]+[.!?]*|[.!?\n]+"
@@ -19,17 +23,54 @@ def words(text: Column) -> Column:
 
 
 def report_paragraphs(reports: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text): blank lines part paragraphs; LF, CRLF and a lone CR end lines; trimmed, ids P1, P2...
+    """(doc_id, paragraph, text): blank lines part paragraphs; LF, CRLF and a lone CR end lines; trimmed, ids P1, P2..."""
+    return placed_paragraphs(reports).select("doc_id", "paragraph", "text")
+
+
+def placed_paragraphs(reports: DataFrame) -> DataFrame:
+    """``report_paragraphs`` with start and end in the report.
 
     Line ends inside a paragraph stay as they are: a break of a LF stands for each end while paragraphs are cut, and a
     mark that no text holds keeps its kind.
     """
     # U+FFFE and U+FFFF are no characters; the one stands behind the LF of a CRLF, the other behind that of a lone CR.
     marked = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n\ufffe")), F.lit("\r"), F.lit("\n\uffff"))
-    parts = reports.select("doc_id", F.posexplode(F.split(marked, r"\n[\ufffe\uffff]?(?:[ \t]*\n[\ufffe\uffff]?)+", -1)).alias("p", "text"))
+    blank = r"\n[\ufffe\uffff]?(?:[ \t]*\n[\ufffe\uffff]?)+"
+    parts = reports.select("doc_id", F.posexplode(F.arrays_zip(F.split(marked, blank, -1).alias("text"), F.regexp_extract_all(marked, F.lit(blank), F.lit(0)).alias("gap"))).alias("p", "x")).select("doc_id", "p", "x.text", "x.gap")
+    # A lone CR has become two characters.
+    size = lambda c: F.coalesce(F.length(c) - F.regexp_count(c, F.lit("\uffff")), F.lit(0)).cast("long")
+    order = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("at", F.sum(size(F.col("text")) + size(F.col("gap"))).over(order) - size(F.col("text")) - size(F.col("gap")))
     parts = parts.withColumn("text", F.replace(F.replace("text", F.lit("\n\ufffe"), F.lit("\r\n")), F.lit("\n\uffff"), F.lit("\r")))
-    trimmed = parts.withColumn("text", F.regexp_replace("text", "^[" + WS + "]+|[" + WS + "]+$", "")).where("text <> ''")
-    return trimmed.select("doc_id", F.concat(F.lit("P"), F.row_number().over(Window.partitionBy("doc_id").orderBy("p")).cast("string")).alias("paragraph"), "text")
+    start = F.col("at") + F.length("text") - F.length(F.regexp_replace("text", "^[" + WS + "]+", ""))
+    trimmed = parts.withColumn("start", start).withColumn("text", F.regexp_replace("text", "^[" + WS + "]+|[" + WS + "]+$", "")).where("text <> ''")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("p"))
+    return trimmed.select("doc_id", F.concat(F.lit("P"), number.cast("string")).alias("paragraph"), "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
+def query_set(reports: DataFrame, limit: int, margin: int = 0, tokenize: Callable[[str], list[tuple[int, int]]] = code_points, prefix: str = "query: ", specials: int = 2) -> DataFrame:
+    """(doc_id, query, origin, start, end, text, tokens): every paragraph and the whole report, each in pieces that fit a model's input.
+
+    Pieces are contiguous and cover their origin; each has at most ``limit`` - ``margin`` tokens, prefix and special ones counted.
+    A piece is named after its origin, with a number from 1 where there are several. Places are those in the report. Reports of
+    nothing but white space have no pieces.
+    """
+    whole = reports.where("text IS NOT NULL").select("doc_id", F.lit("report").alias("origin"), F.lit(0).cast("long").alias("shift"), "text")
+    origins = placed_paragraphs(reports).select("doc_id", F.col("paragraph").alias("origin"), F.col("start").alias("shift"), "text").unionByName(whole)
+    head = specials + len(tokenize(prefix))
+    room = limit - margin - head
+    if room < 1:
+        raise ValueError("limit and margin leave no room")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, origin, shift, text in zip(pdf.doc_id, pdf.origin, pdf["shift"], pdf.text, strict=True):
+                chunks = plan_chunks(text, tokenize, room, [])
+                names = [origin] if len(chunks) == 1 else [f"{origin}.{k}" for k in range(1, len(chunks) + 1)]
+                rows = [(doc, name, origin, shift + a, shift + b, text[a:b], head + len(tokenize(text[a:b]))) for name, (a, b) in zip(names, chunks, strict=True)]
+                yield pd.DataFrame(rows, columns=["doc_id", "query", "origin", "start", "end", "text", "tokens"])
+
+    return origins.where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, query string, origin string, start long, end long, text string, tokens long")
 
 
 def check_reports(reports: DataFrame) -> DataFrame:

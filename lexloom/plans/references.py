@@ -15,6 +15,7 @@ from lexloom.plans.annotation import ANN, CLAUSES, RULES, annotated, rule_occurr
 from lexloom.plans.registry import Registry, table
 from lexloom.plans.search import FRAG, frags
 from lexloom.plans.segmentation import TOKENS, WINDOWS, crlf, plain
+from lexloom.session import cut
 
 R = Registry()
 # The windows of segmentation beside the annotated tokens.
@@ -95,6 +96,22 @@ def occurrence_order(spark, sf_dir):
     return rules.ordered(rule_occurrences(spark, sf_dir))
 
 
+# Links: negators point at their nucleus, modal verbs at the token before them.
+@R.query(
+    "link_enrich",
+    f"""WITH RECURSIVE {RULES}, nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, rule, category, nucleus NULLS FIRST) - 1 AS place FROM oc),
+lk AS (SELECT doc_id, place, 'about' AS type, 'token' AS kind, nucleus AS target FROM nb WHERE rule LIKE 'negation_%' AND nucleus IS NOT NULL UNION ALL SELECT doc_id, place, 'negation_marker', 'token', ord - 1 FROM nb WHERE rule = 'modal_verb')
+SELECT * FROM lk UNION SELECT l.doc_id, l.place, l.type, 'occurrence', c.place FROM lk l JOIN nb c ON c.doc_id = l.doc_id AND c.family = 'clauses' AND c.nucleus = l.target AND c.place <> l.place
+UNION SELECT l.doc_id, l.place, l.type, 'occurrence', c.place FROM lk l JOIN nb c ON c.doc_id = l.doc_id AND c.family = 'negation' AND c.rule <> 'correlative' AND c.ord = l.target AND c.place <> l.place WHERE l.type = 'negation_marker'
+UNION SELECT n.doc_id, n.place, 'associated_structure', 'occurrence', c.place FROM nb n JOIN nb c ON c.doc_id = n.doc_id AND c.family = 'clauses' AND c.nucleus = n.nucleus WHERE n.family <> 'clauses'""",
+)
+def link_enrich(spark, sf_dir):
+    found = cut(rules.ordered(rule_occurrences(spark, sf_dir)))
+    link = lambda rows, kind, target: rows.select("doc_id", "place", F.lit(kind).alias("type"), F.lit("token").alias("kind"), target.alias("target"))
+    own = link(found.where("rule LIKE 'negation_%' AND nucleus IS NOT NULL"), "about", F.col("nucleus"))
+    return references.enrich(own.unionByName(link(found.where("rule = 'modal_verb'"), "negation_marker", F.col("ord") - 1)), found)
+
+
 @R.query("check_rules", f"WITH RECURSIVE {RULES} SELECT doc_id, sentence_ord, ord, rule, family, category, nucleus, 'recomputed' AS side FROM oc WHERE ord % 29 = 0 UNION ALL SELECT doc_id, sentence_ord, ord, rule, family, 'x', nucleus, 'stored' FROM oc WHERE ord % 29 = 0")
 def check_rules(spark, sf_dir):
     a = annotated(spark, sf_dir)

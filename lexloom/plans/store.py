@@ -225,3 +225,10 @@ def verify_links(spark, sf_dir):
     )
     twice = made.unionByName(made.where("doc_id % 3 = 0").withColumn("link", F.col("link") + 1_000_000_000))
     return links.verify_links(twice, paras, docs.select(F.col("doc_id").alias("block_id"), "text")).select("link", "doc_id", "block_id", "reason")
+
+
+# Pieces of 91 code points: 100 without the 7 of the prefix and 2 special tokens. The last one of a whole report may be blank, and then joins the one before.
+@R.query("query_set")
+def query_set(spark, sf_dir):
+    q = links.query_set(reports(spark, sf_dir), 100)
+    return q.select("doc_id", "query", "origin", "start", "end", F.sha2("text", 256).alias("sha256"), "tokens")

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 
 from lexloom.functions.vectors import base64_float32
-from lexloom.operators import evaluate, jobs, recheck, references, store, vectors
+from lexloom.operators import evaluate, jobs, links, recheck, references, store, vectors
 
 TOKEN = "doc_id long, sentence_ord long, ord long, text string, lemma string, pos string, dep string, head_ord long"
 
@@ -115,3 +115,15 @@ def test_chunks_cover_the_text():
     assert "".join(text[a:b] for a, b in chunks) == text and chunks[0] == (0, 3) and all(b - a <= 20 for a, b in chunks)
     long = "palavra " * 40_000
     assert "".join(long[a:b] for a, b in vectors.plan_chunks(long, vectors.code_points, 100, list(range(8, len(long), 8)))) == long
+
+
+def test_query_set(spark):
+    texts = ["Um dois.\r\n\r\n  tres\rquatro\r\rcinco 😀 " + "a" * 40, " \n ", "", None, "um\r\ndois\n \t\nfim\n"]
+    got = links.query_set(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 29, tokenize=vectors.code_points).collect()
+    assert all(texts[r.doc_id][r.start : r.end] == r.text and r.tokens <= 29 for r in got)
+    whole = {r.doc_id: "" for r in got}
+    for r in sorted((r for r in got if r.origin == "report"), key=lambda r: r.start):
+        whole[r.doc_id] += r.text
+    assert whole == {0: texts[0], 4: texts[4]}
+    assert [(r.query, r.text) for r in got if r.doc_id == 4] == [("P1", "um\r\ndois"), ("P2", "fim"), ("report", texts[4])]
+    assert {r.query for r in got if r.doc_id == 0 and r.origin != "report"} == {"P1", "P2", "P3.1", "P3.2", "P3.3"}
