@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Words are maximal runs of characters other than U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/lexloom"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", **options) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: later plans start from the files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -50,6 +51,17 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of ``counts``, a written table, with the largest ``column`` (positive): at most ``most``, and as many as a histogram of levels tells."""
+    level = F.floor(F.log2(column) * 8)
+    total, least = 0, None
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row for each eighth of a power of two
+        if (total := total + row["count"]) > most:
+            break
+        least = row.level
+    return counts.where(F.lit(False) if least is None else level >= least)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
