@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -19,7 +20,10 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHUNK = 1 << 22
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are mixed eight by eight; a longer one is hashed in one call.
+_LONG = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WORD_BASE = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -94,7 +98,10 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ui
 
 
 def word_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash for each word of UTF-8 bytes; with ``lower``, A-Z are folded first."""
+    """One 64-bit hash for each word of UTF-8 bytes; with ``lower``, A-Z are folded first.
+
+    Eight bytes at a time are mixed in by a step that is not linear, so that no sequence of letters collides by its form alone.
+    """
     if not len(data):
         return np.zeros(0, np.uint64)
     if len(data) > _CHUNK:  # bounded memory: long texts go piece by piece, cut between words
@@ -113,9 +120,19 @@ def _word_hashes(data: np.ndarray, lower: bool) -> np.ndarray:
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~_SEPARATOR[data]
     starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    return _spans(values, starts, ends, _BYTE_BASE)
+    lengths = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1 - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = _LOWER[data] if lower else data
+    eights = np.ndarray(len(data), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    out = mix64((lengths.astype(np.uint64) * _SEED) ^ (eights[starts] & _MASK[np.minimum(lengths, 8)]))
+    rest, at = np.flatnonzero(lengths > 8), 8
+    while len(rest) and at < _LONG:
+        left = lengths[rest] - at
+        out[rest] = mix64((out[rest] * _SEED) ^ (eights[starts[rest] + at] & _MASK[np.minimum(left, 8)]))
+        rest, at = rest[left > 8], at + 8
+    for i in rest:
+        out[i] ^= np.frombuffer(hashlib.blake2b(padded[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
