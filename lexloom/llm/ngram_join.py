@@ -6,16 +6,16 @@ n - ceil(t * n) + 1 of each, so only those prefixes are shuffled. Rare n-grams c
 frequent within the tasks of a scan are counted, and the most frequent of them, a bounded table, go to the end of
 the order. Any order gives the same links; a good one gives few candidates.
 
-The members of a prefix n-gram meet in one task, sorted by size; an n-gram that the table knows as hot is cut into
-blocks of members first, and each two blocks meet in a cell. A pair is written only if it passes three filters there:
+The members of a prefix n-gram are counted, and meet in one task, sorted by size; an n-gram of many members is cut into
+blocks first, and each two blocks meet in a cell. A pair is written only if it passes three filters there:
 the sizes (length), what can be shared before and after the n-gram (positional), and the sizes of PARTS hash ranges
 of what follows the n-gram in either set (suffix). An n-gram that no other prefix of a fitting size holds is dead: it
 can't be shared before a shared one, which sharpens the positional filter for copies with many edits.
 
 Components need only connectivity, so sets that are connected already need no check. A first round compares each
 member of an n-gram with the group's head, the member with the fewest dead n-grams, and with its neighbour, which joins
-copies by as many pairs as there are members; a second round takes the pairs across components that pass the filters,
-so no link is lost. Each pair is verified once, on whole sets.
+copies by as many pairs as there are members; a second round takes the pairs across components that pass the filters, from
+n-grams that more than one component holds, so no link is lost. Each pair is verified once, on whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, mix64, partitions, signed, stage, text_bytes, window_hashes, word_hashes
+from lexloom.llm.common import discard, mix64, most_frequent, partitions, signed, stage, text_bytes, window_hashes, word_hashes
 
 #: The table of frequent n-grams has at most so many rows (12 bytes each), whatever the corpus.
 FREQUENT = 1 << 18
@@ -38,8 +38,12 @@ LOCALLY = 2
 STRETCH = 1 << 22
 #: Hash ranges whose sizes the suffix filter compares; a byte each.
 PARTS = 64
-#: Members of an n-gram in a block; n-grams that the table knows to have more are cut.
+#: Members of an n-gram in a block; n-grams that have more are cut.
 BLOCK = 2048
+#: A join key other than the grouping key: both sides are dealt anew, and AQE can split hot keys.
+_OTHER = 0x5DEECE66D
+#: What tells sets apart.
+KEYS = ["k1", "k2", "n_grams"]
 #: Bits of the filter that saves shuffling sets of no candidate pair: 8 for each set, at most 16 MB whatever the corpus.
 LEAST_BITS, MOST_BITS = 16, 27
 #: Members that a task reads before it compares the n-grams that are complete.
@@ -94,16 +98,8 @@ def frequent_ngrams(texts: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.
     """The locally frequent n-grams with the most texts, sorted, and their counts: at most ``most``."""
     found = texts.mapInArrow(_frequent(n), "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
     found = stage(found, "frequent")
-    # The least count that leaves at most ``most`` n-grams, from a histogram with few rows.
-    histogram = found.groupBy(F.floor(F.log2("texts") * 8).alias("level")).count().orderBy(F.desc("level")).collect()
-    total, least = 0, None
-    for row in histogram:
-        if (total := total + row["count"]) > most:
-            break
-        least = row.level
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    pdf = found.where(F.floor(F.log2("texts") * 8) >= least).toPandas().sort_values("gram")
+    pdf = most_frequent(found, "texts", most).toPandas()
+    discard(found)
     grams = pdf.gram.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     return grams[order], pdf.texts.to_numpy(np.int64)[order]
@@ -158,50 +154,47 @@ def _sets(n: int, percent: int, table):
     return run
 
 
-def _members(cells: bool, table):
-    """(node, n_grams, prefix, parts, alive, label) to a row for each alive n-gram of a node's prefix.
+def _members(cells: bool):
+    """(node, n_grams, prefix, parts, alive, chosen, label) to a row for each chosen n-gram (place and number of blocks) of a node's prefix.
 
     (gram, i, j, side, n, node, at, before, label, suffix): ``at`` n-grams of the set and ``before`` alive ones come before it, and
-    ``suffix`` has the sizes of the hash ranges of what follows, at most 255. Members of a hot n-gram are in block i or
+    ``suffix`` has the sizes of the hash ranges of what follows, at most 255. Members of an n-gram with several blocks are in block i or
     j of a cell as ``side`` tells (2: both); without ``cells`` only in their own block's.
     """
     kinds = (np.int64, np.int32, np.int32, np.int8, np.int32, np.int64, np.int32, np.int32, np.int64)
     names = ["gram", "i", "j", "side", "n", "node", "at", "before", "label", "suffix"]
 
+    def made(out):
+        return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)], _binary(np.concatenate(out[-1]))], names=names)
+
     def run(batches):
-        often, counts = table.value
-        hot = counts > BLOCK
-        hot_grams, blocks_of = often[hot], -(-counts[hot] // BLOCK)
         for batch in batches:
             out, held = [[] for _ in names], 0
             whole = _matrix(batch.column("parts"), np.int32, PARTS)
-            for k, (node, n, prefix, alive, label) in enumerate(zip(batch.column("node").to_pylist(), batch.column("n_grams").to_pylist(), batch.column("prefix"), batch.column("alive"), batch.column("label").to_pylist(), strict=True)):
+            columns = [batch.column(c) for c in ("node", "n_grams", "prefix", "alive", "chosen", "blocks", "label")]
+            for k, (node, n, prefix, alive, chosen, blocks, label) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), *columns[2:6], columns[6].to_pylist(), strict=True)):
                 grams = np.asarray(prefix.values).view(np.uint64)
-                at = np.sort(np.asarray(alive.values)).astype(np.int64)
+                at, blocks = np.asarray(chosen.values).astype(np.int64), np.asarray(blocks.values).astype(np.int64)
                 seen = np.zeros((len(grams), PARTS), np.int32)
                 seen[np.arange(len(grams)), _part(grams)] = 1
                 suffix = np.minimum(whole[k] - seen.cumsum(0)[at], 255).astype(np.uint8)
-                own, before = grams[at], np.arange(len(at))
-                i, j, side = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), 2)
-                if len(hot_grams):
-                    spot = np.minimum(np.searchsorted(hot_grams, own), len(hot_grams) - 1)
-                    blocks = np.where(hot_grams[spot] == own, blocks_of[spot], 1)
-                    mine = (mix64(own ^ np.uint64(node & (1 << 64) - 1)) % blocks.astype(np.uint64)).astype(np.int64)
-                    i, j = mine, mine
-                    if cells and blocks.max() > 1:
-                        again = np.repeat(np.arange(len(at)), blocks)
-                        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                        own, at, before, suffix, mine = own[again], at[again], before[again], suffix[again], mine[again]
-                        i, j, side = np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 2, (mine > other).astype(np.int64))
+                own, before = grams[at], np.searchsorted(np.sort(np.asarray(alive.values)), at)
+                mine = (mix64(own ^ np.uint64(node & (1 << 64) - 1)) % blocks.astype(np.uint64)).astype(np.int64)
+                i, j, side = mine, mine, np.full(len(at), 2)
+                if cells and len(at) and blocks.max() > 1:
+                    again = np.repeat(np.arange(len(at)), blocks)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    own, at, before, suffix, mine = own[again], at[again], before[again], suffix[again], mine[again]
+                    i, j, side = np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 2, (mine > other).astype(np.int64))
                 size = len(own)
                 for column, x in zip(out, (signed(own), i, j, side, np.full(size, n), np.full(size, node), at, before, np.full(size, label), suffix), strict=True):
                     column.append(x)
                 held += size
                 if held > CHUNK:
-                    yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)], _binary(np.concatenate(out[-1]))], names=names)
+                    yield made(out)
                     out, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)], _binary(np.concatenate(out[-1]))], names=names)
+                yield made(out)
 
     return run
 
@@ -288,13 +281,14 @@ def _met(percent: int, heads: bool):
 
 
 def _chosen(n: int, bits):
-    """(id, text) to (id, k1, k2, grams) for the texts whose id is in the filter; others are not even split."""
+    """(id, text) to (id, k1, k2, grams) for the texts whose id is in the filter, packed bits; others are not even split."""
 
     def run(batches):
         wanted = bits.value
         for batch in batches:
             rows = []
-            chosen = wanted[_slots(batch.column(0).to_numpy(zero_copy_only=False), len(wanted))]
+            slots = _slots(batch.column(0).to_numpy(zero_copy_only=False), 8 * len(wanted))
+            chosen = wanted[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
             for i, (doc, data) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)):
                 if chosen[i] and data is not None:
                     grams = ngram_set(data, n)
@@ -309,7 +303,7 @@ def _slots(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot that one of ``ids`` (node) falls in. Blocks of bits are joined by key, the driver gets at most 16 MB."""
+    """Packed bits, one for each slot that one of ``ids`` (node) falls in. Blocks of bits are joined by key, the driver gets at most 16 MB."""
     width = 1 << LEAST_BITS
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * ids.count()).bit_length()))
 
@@ -324,9 +318,9 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "bits": [np.packbits(bits).tobytes()]})
 
     slots = ids.mapInPandas(local, "block long, slot long").distinct()  # at most ``width`` for a block
-    bits = np.zeros(size, bool)
+    bits = np.zeros(size // 8, np.uint8)
     for row in slots.groupBy("block").applyInPandas(joined, "block long, bits binary").collect():
-        bits[row.block * width : (row.block + 1) * width] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+        bits[row.block * width // 8 : (row.block + 1) * width // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
@@ -357,23 +351,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         up = stage(up, "pointers")
         while True:
             far = up.alias("x").join(up.select(F.col("id").alias("m"), F.col("up").alias("far")), F.col("up") == F.col("m")).select("id", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved"))
-            far = stage(far, "pointers")
+            far, passed = stage(far, "pointers"), up
+            ended = far.where("moved").isEmpty()
+            discard(passed)
             up = far.select("id", "up")
-            if far.where("moved").isEmpty():
+            up.staged_at = far.staged_at
+            if ended:
                 break
-        labels = up if labels is None else stage(
-            labels.join(up.select(F.col("id").alias("m"), F.col("up").alias("far")), F.col("up") == F.col("m"), "left").select("id", F.coalesce("far", "up").alias("up")).unionByName(up.join(labels.select("id"), "id", "left_anti")), "labels"
-        )
+        if labels is None:
+            labels = stage(up, "labels")
+        else:
+            known = labels
+            labels = stage(known.join(up.select(F.col("id").alias("m"), F.col("up").alias("far")), F.col("up") == F.col("m"), "left").select("id", F.coalesce("far", "up").alias("up")).unionByName(up.join(known.select("id"), "id", "left_anti")), "labels")
+            discard(known)
         to = up.select(F.col("id").alias("m"), F.col("up").alias("far"))
-        rest = rest.join(to, F.col("a") == F.col("m")).select(F.col("far").alias("a"), "b").join(to, F.col("b") == F.col("m")).select("a", F.col("far").alias("b"))
-        rest = stage(rest.where("a <> b").distinct(), "edges")
+        left = rest.join(to, F.col("a") == F.col("m")).select(F.col("far").alias("a"), "b").join(to, F.col("b") == F.col("m")).select("a", F.col("far").alias("b"))
+        left = stage(left.where("a <> b").distinct(), "edges")
+        discard(rest, up)
+        rest = left
+    discard(rest)
     if labels is None:
         return nodes.select("id", F.col("id").alias("label"))
     return nodes.select("id").join(labels.select(F.col("id").alias("m"), "up"), F.col("id") == F.col("m"), "left").select("id", F.coalesce("up", "id").alias("label"))
 
 
 class _Join:
-    """The sets of a table, its nodes (different sets, by the smallest id) and the alive n-grams of their prefixes."""
+    """The sets of a table, its nodes (different sets, by a number) and the alive n-grams of their prefixes."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
         self.n, self.percent, self.spark = n, percent, docs.sparkSession
@@ -381,76 +384,103 @@ class _Join:
         self.table = self.spark.sparkContext.broadcast(frequent_ngrams(self.rows.select("text"), n))
         made = self.rows.mapInArrow(_sets(n, percent, self.table), "id long, k1 long, k2 long, n_grams int, prefix array<long>, parts binary")
         self.sets = stage(made, "sets")
-        first = self.sets.where("id IS NOT NULL AND n_grams > 0").groupBy("k1", "k2", "n_grams")
-        self.nodes = stage(first.agg(F.min("id").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts")), "nodes")
+        solid = self.sets.where("id IS NOT NULL AND n_grams > 0")
+        # The number comes with the written rows; ``first`` is the smallest id that has the set.
+        nodes = solid.groupBy(*KEYS).agg(F.min("id").alias("first"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts"))
+        self.nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        # Different sets under one id are one document: their nodes are joined by an edge.
+        several = solid.groupBy("id").agg(F.min(F.struct(*KEYS)).alias("lo"), F.max(F.struct(*KEYS)).alias("hi")).where("lo <> hi").select("id")
+        own = solid.select("id", *KEYS).join(several, "id").distinct().join(self.nodes.select(*KEYS, "node"), KEYS)
+        edges = own.withColumn("a", F.min("node").over(Window.partitionBy("id"))).where("a <> node").select("a", F.col("node").alias("b"))
+        self.shared = stage(edges, "shared")
         self.alive = self._alive()
 
     def _alive(self) -> DataFrame:
-        """(node, alive): the places of a node's prefix whose n-gram another prefix of a fitting size holds too.
+        """(node, alive, blocks): the places of a node's prefix whose n-gram another prefix of a fitting size holds too.
 
-        n-grams that are cut into blocks count as alive, so no hot one is gathered here.
+        The members of each n-gram are counted first. Where they are more than BLOCK they are cut into blocks, and count as alive.
         """
-        often, counts = self.table.value
-        hot = signed(often[counts > BLOCK]).tolist()
         flat = self.nodes.select("node", "n_grams", F.posexplode("prefix").alias("at", "gram"))
+        counts = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        counts = counts.select(F.col("gram").bitwiseXOR(F.lit(_OTHER)).alias("key"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        met = flat.withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER)))
         # In the order of size a set's neighbours are the nearest in size: if both fail the length filter, all others do.
-        by_size = Window.partitionBy("gram").orderBy("n_grams", "node")
+        by_size = Window.partitionBy("key").orderBy("n_grams", "node")
         below, above = F.lag("n_grams").over(by_size), F.lead("n_grams").over(by_size)
         fits = F.coalesce(below * 100 >= F.col("n_grams") * self.percent, F.lit(False)) | F.coalesce(F.col("n_grams") * 100 >= above * self.percent, F.lit(False))
-
-        def met(rows: DataFrame) -> DataFrame:
-            return rows.withColumn("fits", fits).where("fits").select("node", "at")
-
-        if hot:
-            known = F.broadcast(self.spark.createDataFrame([(x,) for x in hot], "gram long"))  # at most FREQUENT
-            found = met(flat.join(known, "gram", "left_anti")).unionByName(flat.join(known, "gram", "left_semi").select("node", "at"))
-        else:
-            found = met(flat)
-        return stage(found.groupBy("node").agg(F.collect_list("at").alias("alive")), "alive")
+        few = met.join(counts.where("blocks = 1"), "key").withColumn("fits", fits).where("fits")
+        many = met.join(counts.where("blocks > 1"), "key")
+        found = few.select("node", "at", "blocks").unionByName(many.select("node", "at", "blocks"))
+        return stage(found.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "blocks"))).alias("x")).select("node", F.col("x.at").alias("alive"), F.col("x.blocks").alias("blocks")), "alive")
 
     def candidates(self, labels: DataFrame | None, heads: bool) -> DataFrame:
-        """Distinct pairs (a, b), a < b, that pass the filters; with ``labels`` (id, label) only those across labels."""
-        nodes = self.alive.join(self.nodes.select("node", "n_grams", "prefix", "parts"), "node")
+        """Distinct pairs (a, b), a < b, that pass the filters; with ``labels`` (id, label) only those across labels.
+
+        n-grams whose members all have one label lead to no pair, so they go before any member is copied to a cell.
+        """
+        chosen = self.alive.select("node", F.col("alive").alias("chosen"), "blocks")
+        if labels is not None:
+            owned = self.alive.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m")).select("node", "label", F.posexplode(F.arrays_zip("alive", "blocks")).alias("k", "x")).select("node", "label", "x.*")
+            flat = owned.join(self.nodes.select("node", "prefix"), "node").select("node", "label", F.col("alive").alias("at"), "blocks", F.get("prefix", F.col("alive")).alias("gram"))
+            mixed = flat.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("gram").bitwiseXOR(F.lit(_OTHER)).alias("key"))
+            left = flat.withColumn("key", F.col("gram").bitwiseXOR(F.lit(_OTHER))).join(mixed, "key", "left_semi")
+            chosen = left.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "blocks"))).alias("x")).select("node", F.col("x.at").alias("chosen"), F.col("x.blocks").alias("blocks"))
+        nodes = chosen.join(self.alive.select("node", "alive"), "node").join(self.nodes.select("node", "n_grams", "prefix", "parts"), "node")
         if labels is None:
             nodes = nodes.withColumn("label", F.col("node"))
         else:
             nodes = nodes.join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"))
         shape = "gram long, i int, j int, side byte, n int, node long, at int, before int, label long, suffix binary"
-        members = nodes.select("node", "n_grams", "prefix", "parts", "alive", "label").mapInArrow(_members(not heads, self.table), shape)
+        members = nodes.select("node", "n_grams", "prefix", "parts", "alive", "chosen", "blocks", "label").mapInArrow(_members(not heads), shape)
         sorted_ = members.repartition(partitions(self.spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "node")
         return sorted_.mapInArrow(_met(self.percent, heads), "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked), on whole sets. Only the sets of these pairs are made again from the texts and shuffled."""
-        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        chosen = self.spark.sparkContext.broadcast(_filter_of(wanted))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stage(self.nodes.join(nodes, "node").select(F.col("first").alias("id"), *KEYS[:2], "node"), "wanted")
+        chosen = self.spark.sparkContext.broadcast(_filter_of(wanted.select(F.col("id").alias("node"))))
         made = self.rows.where("id IS NOT NULL").mapInArrow(_chosen(self.n, chosen), "id long, k1 long, k2 long, grams binary")
-        keys = self.nodes.join(wanted, "node").select(F.col("node").alias("id"), "k1", "k2")
-        grams = stage(made.join(keys, ["id", "k1", "k2"]).dropDuplicates(["id"]).select("id", "grams"), "grams")
-        a = grams.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
-        b = grams.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
+        grams = stage(made.join(wanted, ["id", "k1", "k2"]).dropDuplicates(["node"]).select("node", "grams"), "grams")
+        a = grams.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
+        b = grams.select(F.col("node").alias("b"), F.col("grams").alias("b_grams"))
         done = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_verify(self.percent), "a long, b long, linked boolean"), "verified")
         discard(wanted, grams)
         return done
 
     def labels(self) -> DataFrame:
-        """(id, label) of the nodes with alive n-grams: the smallest node reachable by links."""
-        every = self.alive.select(F.col("node").alias("id"))
+        """(id, label) of the nodes with alive n-grams or an id in common: the smallest node reachable."""
+        every = self.alive.select(F.col("node").alias("id")).unionByName(self.shared.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
         pairs = stage(self.candidates(None, heads=True), "pairs")
         tested = self.verified(pairs)
         discard(pairs)
-        found = stage(components(every, tested.where("linked")), "components")
+        edges = tested.where("linked").select("a", "b").unionByName(self.shared)
+        found = stage(components(every, edges), "components")
         pairs = stage(self.candidates(found, heads=False).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
+            discard(pairs, tested)
             return found
         rest = self.verified(pairs)
         discard(pairs)
-        return stage(components(every, tested.unionByName(rest).where("linked")), "components")
+        last = stage(components(every, edges.unionByName(rest.where("linked").select("a", "b"))), "components")
+        discard(tested, rest, found)
+        return last
+
+    def components(self) -> DataFrame:
+        """(k1, k2, n_grams, component_id): the smallest id of the sets reachable from each set."""
+        labels = self.labels()
+        found = self.nodes.select(*KEYS, "node", "first").join(labels.select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left").select(*KEYS, "first", F.coalesce("label", "node").alias("label"))
+        least = found.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "l")
+        return stage(found.join(least, F.col("label") == F.col("l")).select(*KEYS, "component_id"), "named")
 
     def links(self) -> DataFrame:
-        """(a, b), a < b: all pairs of linked nodes."""
+        """(a, b): all pairs of linked nodes."""
         return self.verified(stage(self.candidates(None, heads=False), "pairs")).where("linked").select("a", "b")
 
+    def discard(self) -> None:
+        """Deletes what only the join itself reads."""
+        discard(self.nodes, self.alive, self.shared)
+
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row for each row of ``docs``.
@@ -459,25 +489,28 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     holds its distinct ``n``-grams, or its whole sequence of words if that is shorter; null texts and texts
     without words have an empty set and are linked with nothing. Two rows link when 100 * intersection >=
     ``percent`` * union. component_id is the smallest id reachable by links, itself included. link_pairs has the links
-    themselves. Rows with equal ids are one document with the component of either; rows with a null id come back with a null
+    themselves. Rows with equal ids are one document, which has all of their sets, and so one component; rows with a null id come back with a null
     component. Only the two columns are read, so others can't clash. An empty table gives no rows.
     """
     join = _Join(docs, n, percent, id_col, text_col)
-    named = join.nodes.select("k1", "k2", "node").join(join.labels().select(F.col("id").alias("m"), "label"), F.col("node") == F.col("m"), "left")
-    named = stage(named.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.coalesce("label", "node").alias("component_id")), "named")
-    sets = join.sets.select("id", "k1", "k2", "n_grams")
-    out = sets.join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("n_grams") > 0), "left")
+    named = join.components().select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("n_grams").alias("n3"), "component_id")
+    join.discard()
+    sets = join.sets.select("id", *KEYS)
+    out = sets.join(named, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & (F.col("n_grams") == F.col("n3")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n_grams").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def link_pairs(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All links: (a, b), a < b, of the smallest ids of two linked sets, and the membership (id, node) of ids in sets.
+    """All links: (a, b), a < b, of the smallest ids of two linked sets, and the membership (id, node) of ids in sets, which go by their smallest id.
 
-    Its rows are as many as there are links between different sets, which for m mutual near copies is about m * m / 2.
+    Its rows are as many as there are links between different sets, which for m mutual near copies is about m * m / 2. Sets that begin with
+    one id, as rows repeated under it with other texts have, are not told apart.
     """
     join = _Join(docs, n, percent, id_col, text_col)
-    keys = ["k1", "k2", "n_grams"]
-    return join.links(), join.sets.where("id IS NOT NULL").select("id", *keys).join(join.nodes.select(*keys, "node"), keys).select("id", "node").distinct()
+    links, first = join.links(), join.nodes.select("node", "first")
+    links = links.join(first.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
+    members = join.sets.where("id IS NOT NULL").select("id", *KEYS).join(join.nodes.select(*KEYS, "first"), KEYS).select("id", F.col("first").alias("node")).distinct()
+    return links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), members
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
