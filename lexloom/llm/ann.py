@@ -29,6 +29,8 @@ COPIES, COPY_RATIO = 4, 1.15
 PROBES, LEAST_PROBES, PROBE_RATIO = 128, 12, 1.6
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 2048
+#: Cosines, or components of vectors, that are held at once.
+CELLS = 1 << 20
 #: Cosines of a matrix product that differ by less may be ties.
 SLACK = 1e-9
 
@@ -128,6 +130,32 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & v.isNotNull() & good).select(F.col(id_col).alias("id"), v.cast("array<double>").alias("v"))
 
 
+def best_of_block(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of queries, ids of vectors, scores): for each row of ``q`` the ``k`` nearest rows of ``v`` with other ids, ties to the smaller id.
+
+    A slice of queries at a time, of at most CELLS cosines; all that may be among the nearest get exact scores, CELLS components at a time,
+    however many of them tie.
+    """
+    u, norms, out = unit(v).T, np.sqrt((v * v).sum(axis=1)), []
+    step, few = max(1, CELLS // len(v)), max(1, CELLS // v.shape[1])
+    for lo in range(0, len(q), step):
+        part, part_ids = q[lo : lo + step], own[lo : lo + step]
+        cosine = unit(part) @ u
+        cosine[part_ids[:, None] == ids[None, :]] = -np.inf
+        last = np.partition(cosine, -k, axis=1)[:, -k] if cosine.shape[1] > k else np.full(len(part), -2.0)
+        rows, at = np.nonzero((cosine >= last[:, None] - SLACK) & (cosine > -np.inf))
+        # The score itself: the same sums whatever block a vector is in.
+        score, part_norms = np.empty(len(rows)), np.sqrt((part * part).sum(axis=1))
+        for p in range(0, len(rows), few):
+            r, a = rows[p : p + few], at[p : p + few]
+            score[p : p + few] = (part[r] * v[a]).sum(axis=1) / (part_norms[r] * norms[a])
+        order = np.lexsort((ids[at], -score, rows))
+        rows, at, score = rows[order], at[order], score[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(part)))[rows] < k
+        out.append((part_ids[rows[best]], ids[at[best]], score[best]))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``base`` with the largest cosine found for each query.
 
@@ -178,20 +206,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, v, ids = _matrix(left.v), _matrix(right.v), right.id.to_numpy()
-        own = left.id.to_numpy()
-        cosine = unit(q) @ unit(v).T
-        cosine[own[:, None] == ids[None, :]] = -np.inf
-        # All that may be among the k nearest, ties with the last of them included.
-        last = np.partition(cosine, -k, axis=1)[:, -k] if cosine.shape[1] > k else np.full(len(q), -2.0)
-        rows, at = np.nonzero(cosine >= last[:, None] - SLACK)
-        # The score itself: the same sums whatever block a vector is in.
-        score = (q[rows] * v[at]).sum(axis=1) / (np.sqrt((q[rows] * q[rows]).sum(axis=1)) * np.sqrt((v[at] * v[at]).sum(axis=1)))
-        order = np.lexsort((ids[at], -score, rows))
-        rows, at, score = rows[order], at[order], score[order]
-        first = np.searchsorted(rows, np.arange(len(q)))
-        best = np.arange(len(rows)) - first[rows] < k
-        return pd.DataFrame({"query_id": own[rows[best]], "vec_id": ids[at[best]], "score": score[best]})
+        found = best_of_block(_matrix(left.v), left.id.to_numpy(), _matrix(right.v), right.id.to_numpy(), k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ["list", "block", "query_block"]
     met = asking.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
