@@ -113,16 +113,22 @@ def features_of(text):
     return of(text)
 
 
-def fit_evidence(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> EvidenceModel:
-    """Fits on about ``rows`` of ``labels`` (doc_id, quality 0 or 1), chosen by the hash of their ids.
+def fit_rows_of(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, x, quality): features of about ``rows`` of ``labels``, chosen by the hash of their ids, one row for each id.
 
-    The ids chosen are bounded by ``rows``, so they are broadcast: no text is shuffled.
+    The ids chosen are bounded by ``rows``, so they are broadcast: no text is shuffled. Of several documents under one id the
+    least features count, which Spark finds before anything reaches the driver.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    # About ``rows`` ids and rows, 1 KB each.
-    found = docs.join(F.broadcast(chosen), "doc_id").select(features_of("text").alias("x"), "quality").toPandas()
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", features_of("text").alias("x"), "quality")
+    return found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality"))
+
+
+def fit_evidence(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> EvidenceModel:
+    """Fits on about ``rows`` of ``labels`` (doc_id, quality 0 or 1), 1 KB each in the driver."""
+    found = fit_rows_of(docs, labels, rows).select("x", "quality").toPandas()
     x, y = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), len(FEATURES)), found.quality.to_numpy(float)
     del found
     return fit(x, y)
