@@ -8,9 +8,9 @@ edit and over SHORT characters, a first or a last part of at least 3/8 of the sh
 variants, equal variants are joined to the earliest line with it, and the edit distance of the pairs is
 verified.
 
-A variant's hash is made of the hashes of the text before and after a block of BLOCK characters and of the block
-with one character left out, so that a long line costs one short hash for each character, and only blocks with a
-context that two lines share emit any.
+A variant's hash is made of the hashes of the text before and after a block of BLOCK characters, folded from block to block, and of the block
+with one character left out, so that a long line costs two hashes for each block, and only blocks with a
+context that two lines share emit variants, one short hash for each character.
 """
 
 from __future__ import annotations
@@ -18,11 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.arrays import let
 from lexloom.llm.common import partitions
 
 #: Lines up to this length all emit variants; longer ones only with a part that another line has too.
 SHORT = 16
 BLOCK = 32
+#: Characters of a line that is compared as a whole.
+LONG = 512
+#: The hash of no text.
+BASE = 42
 NO_ID = (1 << 63) - 1
 #: A join key other than the grouping key: both sides are dealt anew, and AQE can split hot keys.
 _OTHER = 0x5DEECE66D
@@ -39,25 +44,49 @@ def _seeds(line: Column) -> Column:
     return F.when(n < SHORT, F.array().cast("array<bigint>")).when((n % 16 == 0) & (n > SHORT), F.concat(ends(size), ends(size - 8))).otherwise(ends(size))
 
 
+def _chunks(text: Column) -> Column:
+    """The text in pieces of BLOCK characters, the last one shorter, cut in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _running(chunks: Column) -> Column:
+    """The hashes of the first 0, 1, 2 ... chunks, each from the one before; by stretches, so that the array is not copied at each step."""
+    none = F.array().cast("array<bigint>")
+    width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(chunks))).cast("int"))
+
+    def step(state: Column, chunk: Column) -> Column:
+        return let(F.xxhash64(state["last"], chunk), lambda h: F.struct(h.alias("last"), F.concat(state["all"], F.array(h)).alias("all")))
+
+    def stretch(state: Column, lo: Column) -> Column:
+        part = F.aggregate(F.slice(chunks, lo + 1, width), F.struct(state["last"].alias("last"), none.alias("all")), step)
+        return let(part, lambda p: F.struct(p["last"].alias("last"), F.concat(state["all"], p["all"]).alias("all")))
+
+    start = F.struct(F.lit(BASE).cast("bigint").alias("last"), F.array(F.lit(BASE).cast("bigint")).alias("all"))
+    return F.when(F.size(chunks) == 0, start["all"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(chunks) - 1, width), start, stretch)["all"])
+
+
 def _blocks(line: Column) -> Column:
     """array<struct<context, whole, part>>: each block of a line, once in full and once without its last character.
 
     The context is a hash of the block's place and of all the text before and after it. Lines within one edit share
     the context of the block with the edit: two of equal length those of the full blocks, else the longer one's full
-    block and the shorter one's other form.
+    block and the shorter one's other form. What comes before and after is hashed in one fold over the blocks, from either end; for the
+    other form the fold goes over the line cut one character earlier.
     """
-    n = F.length(line)
 
-    def block(j: Column) -> Column:
-        at = j * BLOCK
-        before = F.xxhash64(at, F.substring(line, F.lit(1), at))
+    def made(chunks: Column, early: Column) -> Column:
+        def of(before: Column, after: Column, after_early: Column) -> Column:
+            def block(j: Column) -> Column:
+                part, own = F.coalesce(F.get(chunks, j), F.lit("")), F.xxhash64(j, F.get(before, j))
+                full = F.struct(F.xxhash64(own, F.coalesce(F.get(after, j + 1), F.lit(BASE).cast("bigint"))).alias("context"), F.lit(False).alias("whole"), part.alias("part"))
+                other = F.struct(F.xxhash64(own, F.coalesce(F.get(after_early, j), F.lit(BASE).cast("bigint"))).alias("context"), F.lit(True).alias("whole"), F.substring(part, F.lit(1), F.lit(BLOCK - 1)).alias("part"))
+                return F.array(full, other)
 
-        def form(size: int) -> Column:
-            return F.struct(F.xxhash64(before, F.substring(line, at + size + 1, n)).alias("context"), F.lit(size < BLOCK).alias("whole"), F.substring(line, at + 1, F.lit(size)).alias("part"))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length(line) / BLOCK).cast("int")), block))
 
-        return F.array(form(BLOCK), form(BLOCK - 1))
+        return let(_running(chunks), lambda x: let(F.reverse(_running(F.reverse(chunks))), lambda y: let(F.reverse(_running(F.reverse(early))), lambda z: of(x, y, z))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), block))
+    return let(_chunks(line), lambda chunks: let(_chunks(F.substring(line, F.lit(BLOCK), F.length(line))), lambda early: made(chunks, early)))
 
 
 def _variants(context: Column, whole: Column, part: Column) -> Column:
@@ -74,6 +103,24 @@ def _variants(context: Column, whole: Column, part: Column) -> Column:
     return F.when(whole, F.array(F.struct(F.xxhash64(F.lit(0), context, part).alias("key"), F.lit("W").alias("role")))).otherwise(cut)
 
 
+def _within_one_edit(a: Column, b: Column) -> Column:
+    """Whether two lines are within one edit. Of long ones only the first chunks that differ are compared by edit distance, and the rest must be equal."""
+
+    def differs(long: Column, short: Column) -> Column:
+        shift = F.length(long) - F.length(short)
+
+        def rest_of(j: Column) -> Column:
+            at = (j - 1).cast("int") * BLOCK
+            middle = F.levenshtein(F.substring(long, at + 1, F.lit(BLOCK)), F.substring(short, at + 1, BLOCK - shift), 1).between(0, 1)
+            return (j == 0) | (middle & (F.substring(long, at + BLOCK + 1, F.length(long)) == F.substring(short, at + BLOCK + 1 - shift, F.length(long))))
+
+        unequal = F.zip_with(_chunks(long), _chunks(short), lambda x, y: ~x.eqNullSafe(y))
+        return shift.between(0, 1) & let(F.array_position(unequal, True), rest_of)
+
+    near = F.when(F.length(a) >= F.length(b), differs(a, b)).otherwise(differs(b, a))
+    return F.when(F.greatest(F.length(a), F.length(b)) <= LONG, F.levenshtein(a, b, 1).between(0, 1)).otherwise(near)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """(at{id, line_no, version}, line, h1, h2) for every line that is not blank."""
     lines = rows.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
@@ -96,8 +143,8 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     wanted = suspects.groupBy(F.col("at.id").alias("id"), F.col("at.version").alias("version")).agg(F.collect_set("at.line_no").alias("wanted"))
     # All uses of the texts by id share this exchange.
     dealt = rows.repartition(n, "id", "version")
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
-    chosen = dealt.join(wanted, ["id", "version"]).select("id", "version", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["line_no"]))).alias("x"))
+    numbered = let(F.split("text", "\n", -1), lambda all_: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))
+    chosen = dealt.join(wanted, ["id", "version"]).select("id", "version", F.explode(numbered).alias("x"))
     texts = chosen.select(F.struct("id", F.col("x.line_no").alias("line_no"), "version").alias("at"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.hash("x.line").alias("h2"))
     texts = texts.unionByName(lines.where(F.length("line") <= SHORT))
     texts = texts.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("line").alias("line"))
@@ -117,7 +164,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
         pairs.select("own.h1", "own.h2", F.col("to.h1").alias("t1"), F.col("to.h2").alias("t2"))
         .join(own, ["h1", "h2"])
         .join(other, ["t1", "t2"])
-        .where(F.levenshtein("line", "t_line", 1).between(0, 1))
+        .where(_within_one_edit(F.col("line"), F.col("t_line")))
         .select("h1", "h2", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))
     )
     marks = firsts.where("first <> last").select("h1", "h2", "first").unionByName(near)
@@ -143,8 +190,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = texts.repartition(partitions(docs.sparkSession), "id", "version")
     cut = dealt.join(found, ["id", "version"], "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
+    # The numbers left are found by a hash set, so that a text costs its lines and not their square.
+    rest = let(F.split("text", "\n", -1), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), gone), lambda i: F.get(all_, i)), "\n"))
     # The hash of null is its seed, 42, and that of the empty text is another: together they tell null texts.
-    kept = cut.select("id", F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")).alias("text"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_removed"), ((F.col("version") == 42) & (F.col("text") == "")).alias("none"), *["carry"] * bool(carry))
+    kept = cut.select("id", F.when(F.size(gone) == 0, F.col("text")).otherwise(rest).alias("text"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_removed"), ((F.col("version") == 42) & (F.col("text") == "")).alias("none"), *["carry"] * bool(carry))
     return kept.select(
         F.nullif("id", F.lit(NO_ID)).alias(id_col), F.when(F.col("none"), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint").alias("n_lines"), "n_removed", F.when(~F.col("none"), F.col("text")).alias(text_col), *["carry"] * bool(carry)
     )
