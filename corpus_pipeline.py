@@ -8,7 +8,7 @@ classifier and its packing have no SQL, so it is tested against a brute-force ve
 from __future__ import annotations
 
 from lexloom.llm import line_dedup, mixing, ngram_join, packing, quality
-from lexloom.llm.common import stage
+from lexloom.llm.common import discard, stage
 
 STAGES = [
     ("quality_classifier", quality.stage_quality),
@@ -22,8 +22,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
-    """The stages over ``documents``, each written to the shared folder as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each written to the shared folder as Parquet and read by the next, after which it is deleted.
+
+    Null texts and ids, repeated rows and ids, and extra columns pass as each stage states; an empty table gives no rows.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
