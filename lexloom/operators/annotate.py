@@ -5,6 +5,7 @@ Rows are (doc_id, sentence_ord, ord, text, lemma, pos, dep, head_ord). Null mean
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,13 +99,52 @@ def clauses(tokens: DataFrame) -> DataFrame:
     return y.select("doc_id", "sentence_ord", at("i"), "y.nucleus", at("owner"), at("parent"))
 
 
+def _preorder(heads: list[int]) -> tuple[list[int | None], list[int | None]]:
+    """For each token its number in preorder (children from left to right) and the size of its subtree; null where no root is above it."""
+    n = len(heads)
+    below: list[list[int]] = [[] for _ in range(n)]
+    for i, h in enumerate(heads):
+        if h != i and 0 <= h < n:
+            below[h].append(i)
+    number, size, order = [None] * n, [None] * n, []
+    stack = [i for i in range(n - 1, -1, -1) if heads[i] == i]
+    while stack:
+        i = stack.pop()
+        number[i] = len(order)
+        order.append(i)
+        stack.extend(reversed(below[i]))
+    for i in reversed(order):
+        size[i] = (size[i] or 0) + 1
+        if heads[i] != i:
+            size[heads[i]] = (size[heads[i]] or 0) + size[i]
+    return number, size
+
+
+def preorder(heads: Column) -> Column:
+    """The tree of a sentence as intervals, in time linear in its tokens: a subtree is a run of the preorder."""
+
+    @F.pandas_udf("struct<number:array<int>,size:array<int>>")
+    def of(values: pd.Series) -> pd.DataFrame:
+        found = [_preorder(h.tolist()) for h in values]
+        return pd.DataFrame({"number": [x for x, _ in found], "size": [x for _, x in found]})
+
+    return of(heads)
+
+
+def tree_orders(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sentence_ord, start, number, size, order): for each sentence the tokens' preorder numbers and subtree sizes by place, and their
+    places in preorder. What hangs below a token is a slice of ``order``. Tokens in circles, below no root, are in no order."""
+    s = sentence_arrays(tokens).withColumn("tree", preorder(F.transform("t", lambda x: x["head"])))
+    placed = F.filter(F.transform("tree.number", lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: x["n"].isNotNull())
+    return s.select("doc_id", "sentence_ord", "start", F.col("tree.number").alias("number"), F.col("tree.size").alias("size"), F.transform(F.array_sort(placed), lambda x: x["i"]).alias("order"))
+
+
 def subtrees(tokens: DataFrame, wanted: str | None = None) -> DataFrame:
     """(doc_id, ord, descendant): all that hangs below a token, itself included; with ``wanted``, a column, only below those.
 
-    Each token climbs as many steps as it is deep, so the work is that of the result.
+    A subtree is a slice of its sentence's preorder, so the work is that of the result, however deep the tree is.
     """
-    s = sentence_arrays(tokens.withColumn("w", F.lit(True) if wanted is None else F.col(wanted)), "w")
-    climb = lambda h, d: F.transform(d, lambda n, i: F.aggregate(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), F.array(i), lambda path, _: F.concat(path, F.array(F.get(h, F.element_at(path, -1))))))
-    paths = let(F.col("t"), lambda t: let(F.transform(t, lambda x: x["head"]), lambda h: let(depths(h), lambda d: F.transform(climb(h, d), lambda path: F.filter(path, lambda a: F.get(t, a)["w"])))))
-    up = s.select("doc_id", "start", F.posexplode(paths).alias("i", "path")).select("doc_id", "start", (F.col("start") + F.col("i")).alias("descendant"), F.explode("path").alias("a"))
-    return up.select("doc_id", (F.col("start") + F.col("a")).cast("long").alias("ord"), F.col("descendant").cast("long").alias("descendant"))
+    rows = tokens if wanted is None else tokens.where(F.col(wanted))
+    met = rows.select("doc_id", "sentence_ord", "ord").join(tree_orders(tokens), ["doc_id", "sentence_ord"]).withColumn("i", (F.col("ord") - F.col("start")).cast("int"))
+    below = F.slice("order", F.get("number", F.col("i")) + 1, F.get("size", F.col("i")))
+    return met.select("doc_id", "ord", "start", F.explode(below).alias("d")).select("doc_id", "ord", (F.col("start") + F.col("d")).cast("long").alias("descendant"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.arrays import let
 from lexloom.functions.text import dep_base
-from lexloom.operators.annotate import VERBAL, clause_arrays, clauses, sentence_arrays
+from lexloom.operators import quotes
+from lexloom.operators.annotate import AUXILIARY, QUOTES, VERBAL, clause_arrays, clauses, sentence_arrays, subtrees
 from lexloom.session import cut
 
 CATALOGUE_VERSION = "1.1.0"
@@ -49,7 +50,7 @@ def enriched(tokens: DataFrame) -> DataFrame:
             return F.struct(
                 at(x["i"]).alias("ord"), at(x["head"]).alias("head_ord"), *[x[c].alias(c) for c in ("text", "lemma", "pos", "verbform", "tense", "mood")], F.lower(x["text"]).alias("form"), dep_base(x["dep"]).alias("base"),
                 F.get(n, x["i"]).alias("nucleus"), at(own).alias("owner"), F.when(x["head"] != x["i"], at(F.get(o, x["head"]))).alias("parent"),
-                F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"),
+                F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), h["text"].alias("h_text"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"),
             )
 
         return clause_arrays(t, lambda n, o: F.transform(t, lambda x: row(n, o, x)))
@@ -128,6 +129,43 @@ def scopes(tokens: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(size, ["doc_id", "nucleus"]).select("doc_id", "ord", "rule", "scope_tokens", "fragments", "slices")
 
 
+def negation_scopes(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sentence_ord, ord, nucleus, constituent, allowed, region, scope_tokens, slices): what each negator modifies, and its scope.
+
+    A negator that hangs from no clause's nucleus, nor from an auxiliary, negates that constituent, and its scope is the constituent's subtree; else
+    it is what its clause's nucleus owns. Scopes end at the quotation: only tokens in the marker's region count, and no delimiters; there is no
+    scope where the nucleus lies in another region or the marker's region stays open. In a quotation a word that is no negator by its
+    annotations is mentioned, not allowed, and has neither nucleus nor scope. Without part of speech of the head, or with a delimiter as head, there is
+    no nucleus. Members of a correlative are left out. ``slices`` are the runs [first, last] of consecutive tokens; null where there is no scope.
+    """
+    tokens = cut(tokens)  # read by the clauses, the trees and the regions
+    rows = cut(enriched(tokens))
+    pairs = correlatives(rows)
+    members = pairs.select("doc_id", F.explode(F.array("first", "second")).alias("ord"))
+    place = cut(quotes.innermost(tokens))
+    closed = quotes.quote_regions(tokens).where("close IS NOT NULL").select("doc_id", F.col("open").alias("region"), F.lit(True).alias("closed"))
+    form, head = F.col("form"), F.col("head_ord") != F.col("ord")
+    allowed = F.coalesce(F.coalesce(*[F.when(form == w, F.col("pos").isin(*tags) & F.col("base").isin(*deps)) for w, (_, tags, deps) in NEGATORS.items()]), F.lit(False))
+    found = rows.where(form.isin(*NEGATORS)).join(members, ["doc_id", "ord"], "left_anti").join(place, ["doc_id", "ord"]).join(closed, ["doc_id", "region"], "left").withColumn("allowed", allowed).where("allowed OR region IS NOT NULL")
+    delimited = F.col("h_text").isin(*QUOTES)
+    other = F.col("allowed") & head & ~F.col("h_nucleus") & ~F.coalesce(F.col("h_base").isin(*AUXILIARY), F.lit(False)) & ~delimited
+    nucleus = F.when(delimited, None).when(F.col("allowed") & head & F.col("h_pos").isNull(), None).when(other, F.col("head_ord")).otherwise(F.col("owner"))
+    found = found.select("doc_id", "sentence_ord", "ord", "region", "closed", "allowed", nucleus.alias("nucleus"), (other & F.col("h_pos").isNotNull()).alias("constituent"))
+    region_of = place.select("doc_id", F.col("ord").alias("nucleus"), F.col("region").alias("n_region"))
+    found = found.join(region_of, ["doc_id", "nucleus"], "left")
+    same = F.col("nucleus").isNotNull() & F.col("region").eqNullSafe(F.col("n_region"))
+    found = cut(found.withColumn("nucleus", F.when(F.col("region").isNull() | same, F.col("nucleus"))).withColumn("asks", same & F.col("allowed") & (F.col("region").isNull() | F.col("closed"))))
+    own = rows.where("owner IS NOT NULL").select("doc_id", F.col("owner").alias("nucleus"), F.col("ord").alias("at"), F.lit(False).alias("constituent"))
+    heads = found.where("asks AND constituent").select("doc_id", F.col("nucleus").alias("ord"), F.lit(True).alias("wanted")).distinct()
+    trees = tokens.join(heads, ["doc_id", "ord"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    below = cut(subtrees(trees, "wanted").select("doc_id", F.col("ord").alias("nucleus"), F.col("descendant").alias("at"), F.lit(True).alias("constituent")))
+    inside = place.join(tokens.select("doc_id", "ord", "text"), ["doc_id", "ord"]).where(~F.col("text").isin(*QUOTES)).select("doc_id", F.col("ord").alias("at"), F.col("region").alias("t_region"))
+    met = found.where("asks").select("doc_id", "ord", "nucleus", "constituent", "region").join(own.unionByName(below), ["doc_id", "nucleus", "constituent"]).join(inside, ["doc_id", "at"]).where(F.col("region").eqNullSafe(F.col("t_region")))
+    runs = cut(met).withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("at"))).groupBy("doc_id", "ord", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    scope = runs.groupBy("doc_id", "ord").agg(F.sum("n").alias("scope_tokens"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("slices"))
+    return found.join(scope, ["doc_id", "ord"], "left").select("doc_id", "sentence_ord", "ord", "nucleus", (F.col("constituent") & F.col("nucleus").isNotNull()).alias("constituent"), "allowed", "region", "scope_tokens", "slices")
+
+
 def pending(tokens: DataFrame) -> DataFrame:
     """(doc_id, ord, rule, field): tokens whose missing annotation keeps a rule from deciding."""
     t = tokens.withColumn("form", F.lower("text"))

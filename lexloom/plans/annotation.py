@@ -150,11 +150,59 @@ def quoted_tokens(spark, sf_dir):
     return a.withColumn("text", F.when(F.col("text") == ".", F.element_at(marks, (F.col("ord") % 6 + 1).cast("int"))).otherwise(F.col("text"))).select("doc_id", "ord", "text")
 
 
-@R.query("quote_regions")
+_in = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+# The stack of open regions after each mark, one mark of every document in each round.
+REGIONS = """
+marks AS (SELECT doc_id, ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM qt WHERE text IN (%s)),
+stk(doc_id, k, ord, stack, was) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, -1::BIGINT, []::STRUCT(o BIGINT, c VARCHAR)[], []::STRUCT(o BIGINT, c VARCHAR)[] FROM marks
+  UNION ALL SELECT m.doc_id, m.k, m.ord, CASE WHEN len(stack) > 0 AND stack[-1].c = m.text THEN stack[:-2] WHEN m.text IN (%s) THEN list_append(stack, {o: m.ord, c: %s}) ELSE stack END, stack
+  FROM stk s JOIN marks m ON m.doc_id = s.doc_id AND m.k = s.k + 1),
+reg AS (
+  SELECT doc_id, was[-1].o AS open, ord AS close, len(was) > 1 AS nested FROM stk WHERE len(stack) < len(was)
+  UNION ALL SELECT doc_id, stack[i].o, NULL, i > 1 FROM (SELECT doc_id, arg_max(stack, k) AS stack FROM stk GROUP BY doc_id), range(1, len(stack) + 1) AS r(i)),
+plc AS (
+  SELECT t.doc_id, t.ord, t.text, CASE WHEN NOT coalesce(s.ord = t.ord AND len(s.stack) <> len(s.was), false) THEN s.stack[-1].o END AS region
+  FROM qt t ASOF LEFT JOIN stk s ON s.doc_id = t.doc_id AND t.ord >= s.ord)""" % (_in({*quotes.PAIRS, *quotes.PAIRS.values()}), _in(quotes.PAIRS), "CASE m.text " + " ".join(f"WHEN {_in([k])} THEN {_in([v])}" for k, v in quotes.PAIRS.items()) + " END")
+QUOTED = """qt AS (SELECT doc_id, ord, CASE WHEN text = '.' THEN ['“', '«', '”', '"', '»', '"'][ord % 6 + 1] ELSE text END AS text FROM an)"""
+
+
+@R.query("quote_regions", f"WITH RECURSIVE {ANN}, {QUOTED}, {REGIONS} SELECT * FROM reg")
 def quote_regions(spark, sf_dir):
     return quotes.quote_regions(quoted_tokens(spark, sf_dir))
 
 
-@R.query("innermost_region")
+@R.query("innermost_region", f"WITH RECURSIVE {ANN}, {QUOTED}, {REGIONS} SELECT doc_id, ord, region FROM plc")
 def innermost_region(spark, sf_dir):
     return quotes.innermost(quoted_tokens(spark, sf_dir))
+
+
+def quoted(spark, sf_dir):
+    """Annotated tokens whose full stops are quotation marks."""
+    marks = F.array(*[F.lit(x) for x in ("“", "«", "”", '"', "»", '"')])
+    return annotated(spark, sf_dir).withColumn("text", F.when(F.col("text") == ".", F.element_at(marks, (F.col("ord") % 6 + 1).cast("int"))).otherwise(F.col("text")))
+
+
+# The same rules over the quoted tokens: their texts take the place of the plain ones.
+SCOPES = RULES.replace("nu AS (", "an AS (SELECT a.* REPLACE (q.text AS text) FROM an1 a JOIN qt q USING (doc_id, ord)), nu AS (", 1).replace("an AS (SELECT doc_id, sentence_ord, ord, form", "an1 AS (SELECT doc_id, sentence_ord, ord, form", 1).replace(", an AS (SELECT a.*", f", {QUOTED.replace('FROM an', 'FROM an1')}, an AS (SELECT a.*", 1) + f""",
+{REGIONS},
+neg AS (SELECT f.*, p.region, r.close IS NOT NULL AS closed, ha.text AS h_text,
+    (text_ IN ('não', 'nunca') AND b IN ('advmod', 'neg', 'root') AND f.pos = 'ADV') OR (text_ = 'nem' AND b IN ('advmod', 'neg', 'root', 'cc') AND f.pos IN ('ADV', 'PART', 'CCONJ')) AS allowed
+  FROM (SELECT *, text AS text_ FROM fr WHERE text IN ('não', 'nunca', 'nem') AND free) f JOIN plc p USING (doc_id, ord) LEFT JOIN reg r ON r.doc_id = f.doc_id AND r.open = p.region JOIN an ha ON ha.doc_id = f.doc_id AND ha.ord = f.head_ord),
+nuc AS (SELECT *, allowed AND head_ord <> ord AND NOT h_nucleus AND lower(h_dep) NOT IN ('aux', 'cop') AND h_text NOT IN ({_in(annotate.QUOTES)}) AND h_pos IS NOT NULL AS con,
+    CASE WHEN h_text IN ({_in(annotate.QUOTES)}) OR (allowed AND head_ord <> ord AND h_pos IS NULL) THEN NULL
+      WHEN allowed AND head_ord <> ord AND NOT h_nucleus AND lower(h_dep) NOT IN ('aux', 'cop') THEN head_ord ELSE owner END AS n0 FROM neg WHERE allowed OR region IS NOT NULL),
+got AS (SELECT n.doc_id, n.sentence_ord, n.ord, n.region, n.allowed, CASE WHEN n.region IS NULL OR q.region = n.region THEN n0 END AS nucleus, con,
+    n0 IS NOT NULL AND q.region IS NOT DISTINCT FROM n.region AND n.allowed AND (n.region IS NULL OR n.closed) AS asks
+  FROM nuc n LEFT JOIN plc q ON q.doc_id = n.doc_id AND q.ord = n.n0),
+dn(doc_id, top, ord) AS (SELECT DISTINCT doc_id, nucleus, nucleus FROM got WHERE asks AND con UNION ALL SELECT d.doc_id, d.top, a.ord FROM dn d JOIN an a ON a.doc_id = d.doc_id AND a.head_ord = d.ord AND a.ord <> d.ord),
+tk AS (SELECT g.doc_id, g.ord, x.pl FROM got g JOIN (SELECT doc_id, owner AS n, ord AS pl, false AS con FROM ow WHERE owner IS NOT NULL UNION ALL SELECT doc_id, top, ord, true FROM dn) x ON x.doc_id = g.doc_id AND x.n = g.nucleus AND x.con = g.con
+  JOIN plc p ON p.doc_id = x.doc_id AND p.ord = x.pl WHERE g.asks AND p.region IS NOT DISTINCT FROM g.region AND p.text NOT IN ({_in(annotate.QUOTES)})),
+rn AS (SELECT doc_id, ord, min(pl) AS a, max(pl) AS z, count(*) AS n FROM (SELECT *, pl - row_number() OVER (PARTITION BY doc_id, ord ORDER BY pl) AS run FROM tk) GROUP BY doc_id, ord, run),
+sc AS (SELECT doc_id, ord, sum(n)::BIGINT AS scope_tokens, string_agg(a || '-' || z, ',' ORDER BY a) AS slices FROM rn GROUP BY doc_id, ord)"""
+
+
+@R.query("negation_scopes", f"WITH RECURSIVE {SCOPES} SELECT g.doc_id, sentence_ord, g.ord, nucleus, con AND nucleus IS NOT NULL AS constituent, allowed, region, scope_tokens, slices FROM got g LEFT JOIN sc USING (doc_id, ord)")
+def negation_scopes(spark, sf_dir):
+    found = rules.negation_scopes(quoted(spark, sf_dir))
+    return found.withColumn("slices", F.array_join(F.transform("slices", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string"))), ","))
