@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 from collections import Counter
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ from lexloom.llm.common import most_frequent, stage
 #: Pairs of ids, the most frequent ones, that every task looks up in memory: at most so many, 17 bytes each.
 FREQUENT = 1 << 18
 #: Characters of a text, or of several, that are handled at once; units that a worker remembers; pairs whose counts a task sums up.
-PIECE, REMEMBERED, SUMMED = 1 << 20, 1 << 17, 1 << 22
+PIECE, REMEMBERED, SUMMED = 1 << 20, 1 << 18, 1 << 22
+
+#: Bits of each of four numbers that are summed as one.
+_FIELD = 64
 
 # Visible ASCII, and letters of Latin-1 and the blocks after it: none is white space to any tokenizer.
 _VISIBLE = "[!-~À-ɏ]"
@@ -59,13 +63,19 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         special = {x.content for x in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = {i: t.encode() if t in special else byte_level(t) for t, i in self.a.get_vocab().items()}
+        self.a_bytes = np.empty(1 + max(self.a.get_vocab().values()), object)
+        for t, i in self.a.get_vocab().items():
+            self.a_bytes[i] = t.encode() if t in special else byte_level(t)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = np.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], object)
+        self.a_lengths, self.b_lengths = (np.array([len(x or b"") for x in t]) for t in (self.a_bytes, self.b_bytes))
+        # Ids as they stand in the digest: before another one, before the other tokenizer's, at a group's end.
+        self.open_ids, self.closed_a, self.closed_b = (np.array([b"%d%s" % (i, c) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for c in (b",", b"|", b";"))
         # Units are safe where no piece goes on with a space after something else.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.seen: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def units(self, text: str):
         """Lists of units, of a bounded number of characters where the text can be cut."""
@@ -79,59 +89,91 @@ class Aligner:
             at = cut.end() if cut else len(text)
 
     def learn(self, units) -> None:
-        """Aligns the units that are not known yet."""
-        new = [u for u in units if u not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {}
-            new = list(units)
-        for lo in range(0, len(new), 1024):
-            part = new[lo : lo + 1024]
-            for unit, a, b in zip(part, self.a.encode_batch([" " + u for u in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                self.seen[unit] = self.aligned(" " + unit, a.ids, b)
-
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links, the groups as bytes, pairs, how often each); None if either's bytes are not the text's."""
-        data, a_parts, b_parts = text.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        shown, pairs, links, groups = [], {}, 0, 0
-        i = j = i0 = j0 = 0
-        a_end = b_end = 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end:
-                a_end, i = a_end + len(a_parts[i]), i + 1
-            else:
-                b_end, j = b_end + len(b_parts[j]), j + 1
-            if a_end == b_end:
-                own_a, own_b = a[i0:i], b[j0:j]
-                groups += 1
-                links += len(own_a) * len(own_b)
-                shown.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                if len(own_a) == len(own_b) == 1:
-                    key = own_a[0] << 32 | own_b[0]
-                    pairs[key] = pairs.get(key, 0) + 1
+        """Aligns the units that are not known yet: joined, as they join again in any text, or one by one where bytes are lost."""
+        new = []
+        for u in units:
+            if u not in self.seen:
+                if u in self.before:
+                    self.seen[u] = self.before[u]
                 else:
-                    b_counts = Counter(own_b).items()
-                    for x, n in Counter(own_a).items():
-                        for y, m in b_counts:
-                            pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + n * m
-                i0, j0 = i, j
-        return len(a), len(b), groups, links, ";".join(shown).encode(), np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+                    new.append(u)
+        if not new:
+            return
+        found = self.aligned(new)
+        if found is None:
+            found = [(self.aligned([u]) or [None])[0] for u in new]
+        self.seen.update(zip(new, found, strict=True))
+
+    def forget(self) -> None:
+        """Keeps what was met since the last time, once that is many."""
+        if len(self.seen) > REMEMBERED:
+            self.before, self.seen = self.seen, {}
+
+    def aligned(self, units: list[str]) -> list[tuple] | None:
+        """For each of the units, which follow each other in a text, (tokens of A, of B, groups, links, the groups as bytes, linked pairs, how
+        often each, and the four numbers packed into one, for sums); pairs may come again. None if either tokenizer's bytes are not the text's."""
+        text = " ".join(units)
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text), np.int64)
+        data = (" " + text).encode()
+        if b"".join(self.a_bytes[a].tolist()) != data or b"".join(self.b_bytes[b].tolist()) != data:
+            return None
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        ends = np.cumsum([1 + len(u.encode()) for u in units])
+        a_marks, b_marks = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        a_marks[a_ends], b_marks[b_ends] = True, True
+        a_last, b_last = b_marks[a_ends], a_marks[b_ends]  # tokens that end a group
+        common = a_ends[a_last]
+        # Groups, tokens and links before each unit's end.
+        groups_to = np.searchsorted(common, ends, side="right")
+        if not (common[groups_to - 1] == ends).all():
+            return None
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        in_a, in_b = np.bincount(a_group, minlength=len(common)), np.bincount(b_group, minlength=len(common))
+        a_from, b_from = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        n_links = in_a * in_b
+        # The groups' own text, one token after the other.
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + b_from[a_group]] = np.where(a_last, self.closed_a[a], self.open_ids[a])
+        shown[np.arange(len(b)) + (a_from + in_a)[b_group]] = np.where(b_last, self.closed_b[b], self.open_ids[b])
+        # All links of groups of usual size; of others the distinct ids with their numbers.
+        large = n_links > 4096
+        times_b = np.where(large, 0, in_b)[a_group]
+        x = np.repeat(np.arange(len(a)), times_b)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(times_b) - times_b, times_b) + b_from[a_group[x]]
+        keys = a[x] << 32 | b[y]
+        ones = np.ones(len(keys), np.int64)
+        links_to = np.cumsum(np.where(large, 0, n_links))
+        a_to, b_to, all_links = np.cumsum(in_a), np.cumsum(in_b), np.cumsum(n_links)
+        a_cut, b_cut, link_cut, key_cut = (np.concatenate([[0], c[groups_to - 1]]) for c in (a_to, b_to, all_links, links_to))
+        numbers = zip(*(np.diff(c).tolist() for c in (a_cut, b_cut, np.concatenate([[0], groups_to]), link_cut)), strict=True)
+        token_cut, key_cut, shown = (a_cut + b_cut).tolist(), key_cut.tolist(), shown.tolist()
+        out = [
+            (*n, b"".join(shown[lo:hi])[:-1], keys[p:q], ones[p:q], n[0] | n[1] << _FIELD | n[2] << 2 * _FIELD | n[3] << 3 * _FIELD)
+            for n, lo, hi, p, q in zip(numbers, token_cut, token_cut[1:], key_cut, key_cut[1:], strict=False)
+        ]
+        for g in np.flatnonzero(large):
+            k = int(np.searchsorted(groups_to, g, side="right"))
+            ids, n = np.unique(a[a_from[g] : a_from[g] + in_a[g]], return_counts=True)
+            others, m = np.unique(b[b_from[g] : b_from[g] + in_b[g]], return_counts=True)
+            out[k] = (*out[k][:5], np.concatenate([out[k][5], (ids[:, None] << 32 | others).ravel()]), np.concatenate([out[k][6], (n[:, None] * m).ravel()]), out[k][7])
+        return out
 
     def text(self, text: str) -> tuple | None:
         """The same for a whole text, with the digest of its groups instead; None if it has no tokens."""
         if not text:
             return None
-        totals, digest, counts, first = np.zeros(4, np.int64), hashlib.sha256(), Counter(), True
+        total, digest, first = 0, hashlib.sha256(), True
         held_keys, held_times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for units in self.units(text):
             counts = Counter(units)
+            self.forget()
             self.learn(counts)
             known = [self.seen[u] for u in counts]
             if any(k is None for k in known):
                 return None
             times = np.fromiter(counts.values(), np.int64, len(counts))
-            totals += (np.array([k[:4] for k in known], np.int64) * times[:, None]).sum(axis=0)
+            total += sum(map(mul, counts.values(), [k[7] for k in known]))
             digest.update((b"" if first else b";") + b";".join([self.seen[u][4] for u in units]))
             first = False
             held_keys.append(np.concatenate([k[5] for k in known]))
@@ -139,7 +181,7 @@ class Aligner:
             if len(held_keys) > 8:
                 held_keys, held_times = ([x] for x in summed(np.concatenate(held_keys), np.concatenate(held_times)))
         keys, times = summed(np.concatenate(held_keys), np.concatenate(held_times))
-        return *totals.tolist(), digest.hexdigest(), keys, times
+        return *(total >> at & (1 << _FIELD) - 1 for at in range(0, 4 * _FIELD, _FIELD)), digest.hexdigest(), keys, times
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
