@@ -40,13 +40,14 @@ def quote_regions(tokens: DataFrame) -> DataFrame:
     return _folded(tokens).select("doc_id", F.explode(F.concat("s.done", still)).alias("r")).select("doc_id", "r.*")
 
 
-def innermost(tokens: DataFrame) -> DataFrame:
+def innermost(tokens: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(doc_id, ord, region): the start of the innermost region around a token; null outside all and for the marks that open or close one.
+    With ``of`` (doc_id, ord) only for those tokens.
 
     The region after each mark is carried along to the tokens behind it.
     """
     tops = _folded(tokens).select("doc_id", F.explode("s.tops").alias("x"), F.transform(F.concat("s.done.open", "s.done.close", "s.stack.ord"), lambda x: x).alias("ends")).select("doc_id", "x.*", F.array_contains("ends", F.col("x.ord")).alias("end"))
-    rows = tokens.select("doc_id", "ord", F.lit(1).alias("k"), F.lit(None).cast("struct<region:bigint>").alias("top"), F.lit(None).cast("boolean").alias("end"))
+    rows = (tokens if of is None else of).select("doc_id", "ord", F.lit(1).alias("k"), F.lit(None).cast("struct<region:bigint>").alias("top"), F.lit(None).cast("boolean").alias("end"))
     both = rows.unionByName(tops.select("doc_id", "ord", F.lit(0).alias("k"), F.struct("region").alias("top"), "end"))
     order = Window.partitionBy("doc_id").orderBy("ord", "k")
     at_mark = F.lag(F.struct("ord", "end", "k")).over(order)

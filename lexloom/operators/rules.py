@@ -6,6 +6,9 @@ counts polarities.
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,25 +53,72 @@ def enriched(tokens: DataFrame) -> DataFrame:
             return F.struct(
                 at(x["i"]).alias("ord"), at(x["head"]).alias("head_ord"), *[x[c].alias(c) for c in ("text", "lemma", "pos", "verbform", "tense", "mood")], F.lower(x["text"]).alias("form"), dep_base(x["dep"]).alias("base"),
                 F.get(n, x["i"]).alias("nucleus"), at(own).alias("owner"), F.when(x["head"] != x["i"], at(F.get(o, x["head"]))).alias("parent"),
-                F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), h["text"].alias("h_text"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"),
+                F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), h["text"].alias("h_text"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"), let(F.get(t, own), lambda y: F.when(y["head"] != y["i"], at(F.get(o, y["head"])))).alias("o_parent"),
             )
 
         return clause_arrays(t, lambda n, o: F.transform(t, lambda x: row(n, o, x)))
 
     flat = s.select("doc_id", "sentence_ord", "start", F.explode(let(F.col("t"), rows)).alias("y")).select("doc_id", "sentence_ord", "y.*")
     near = Window.partitionBy("doc_id", "sentence_ord").orderBy("ord")
-    flat = cut(flat.withColumn("next", F.lead("form").over(near)).withColumn("before", F.lag("form").over(near)).withColumn("before_row", F.lag(F.struct("ord", "pos", "base", "head_ord")).over(near)))
+    flat = cut(flat.withColumn("next", F.lead("form").over(near)).withColumn("before", F.lag("form").over(near)).withColumn("next_row", F.lead(F.struct("pos", "owner")).over(near)).withColumn("before_row", F.lag(F.struct("ord", "pos", "base", "head_ord")).over(near)))
     verbal = F.col("pos").isin(*VERBAL) & F.col("base").isin("xcomp", "ccomp")
     able = flat.where(verbal & (F.col("head_ord") != F.col("ord"))).groupBy("doc_id", F.col("head_ord").alias("ord")).agg(F.bool_or((F.col("base") == "xcomp") & (F.col("verbform") == "Inf")).alias("infinitive"))
     marked = flat.where(F.col("form").isin("que", "de") & F.col("base").isin("mark", "case") & F.col("h_pos").isin(*VERBAL) & F.col("h_base").isin("xcomp", "ccomp")).select("doc_id", F.col("h_head").alias("ord"), F.lit(True).alias("marked")).distinct()
     return flat.join(able, ["doc_id", "ord"], "left").join(marked, ["doc_id", "ord"], "left")
 
 
+def regions(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ord, region, closed) for tokens, or those in ``of``: the innermost quotation around each and whether it is closed (true outside all)."""
+    closed = quotes.quote_regions(rows).where("close IS NOT NULL").select("doc_id", F.col("open").alias("region"), F.lit(True).alias("closed"))
+    return quotes.innermost(rows, of).join(closed, ["doc_id", "region"], "left").select("doc_id", "ord", "region", (F.col("region").isNull() | F.coalesce("closed", F.lit(False))).alias("closed"))
+
+
+def _matched(candidates) -> list[list[int]]:
+    """Pairs of one sentence, linear in its candidates (second, ord, owner, parent of a coordinated owner or -1, region or -1), which come in order.
+
+    Each first takes the earliest later second that no first before it took, in the same region, whose owner is its own or is
+    coordinated with it.
+    """
+    of_owner, of_parent, taken, pairs = defaultdict(deque), defaultdict(deque), set(), []
+    for second, place, owner, parent, region in candidates:
+        if second:
+            of_owner[region, owner].append(place)
+            of_parent[region, parent].append(place)
+    for second, place, owner, parent, region in candidates:
+        if second:
+            continue
+        heads = []
+        for queue in (of_owner[region, owner], of_parent[region, owner], of_owner[region, parent]):
+            while queue and (queue[0] <= place + 1 or queue[0] in taken):
+                queue.popleft()  # firsts come in order, so it is of no use to later ones either
+            if queue:
+                heads.append(queue[0])
+        if heads:
+            taken.add(min(heads))
+            pairs.append([place, min(heads)])
+    return pairs
+
+
 def correlatives(rows: DataFrame) -> DataFrame:
-    """(doc_id, sentence_ord, first, second): "não só" with the first later "mas também" of its sentence."""
-    a = rows.where("form = 'não' AND next IN ('só', 'somente', 'apenas')").select("doc_id", "sentence_ord", F.col("ord").alias("first"))
-    b = rows.where("form = 'mas' AND next = 'também'").select("doc_id", "sentence_ord", F.col("ord").alias("second"))
-    return a.join(b, ["doc_id", "sentence_ord"]).where("second > first + 1").groupBy("doc_id", "sentence_ord", "first").agg(F.min("second").alias("second")).groupBy("doc_id", "sentence_ord", "second").agg(F.min("first").alias("first")).select("doc_id", "sentence_ord", "first", "second")
+    """(doc_id, sentence_ord, first, second): "não só" with a later "mas também" of its sentence, one to one.
+
+    The words have the parts of speech and dependencies of the construction, "mas também" one owner, and the owners of both halves are
+    equal or coordinated. Each half stands in its owner's region, both in the same one, which is closed.
+    """
+    a = (F.col("form") == "não") & F.col("next").isin("só", "somente", "apenas") & F.col("pos").isin("ADV", "PART") & F.col("base").isin("advmod", "neg")
+    b = (F.col("form") == "mas") & (F.col("next") == "também") & (F.col("pos") == "CCONJ") & (F.col("base") == "cc") & (F.col("next_row.owner") == F.col("owner"))
+    halves = cut(rows.where((a | b) & (F.col("next_row.pos") == "ADV") & F.col("owner").isNotNull()).select("doc_id", "sentence_ord", "ord", "owner", b.alias("is_second"), F.when(F.col("o_base") == "conj", F.col("o_parent")).alias("parent")))
+    place = cut(regions(rows, halves.select("doc_id", F.explode(F.array("ord", "owner")).alias("ord")).distinct()))
+    mine = halves.join(place, ["doc_id", "ord"]).join(place.select("doc_id", F.col("ord").alias("owner"), F.col("region").alias("o_region")), ["doc_id", "owner"]).where(F.col("region").eqNullSafe(F.col("o_region")) & F.col("closed"))
+    none = F.lit(-1)
+    row = F.array(F.col("ord"), F.col("is_second").cast("long"), F.col("owner"), F.coalesce("parent", none), F.coalesce("region", none))
+    sentence = mine.groupBy("doc_id", "sentence_ord").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.array(x[1], x[0], x[2], x[3], x[4])).alias("halves"))
+
+    @F.pandas_udf("array<array<bigint>>")
+    def matched(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _matched([x.tolist() for x in v]))
+
+    return sentence.select("doc_id", "sentence_ord", F.explode(matched("halves")).alias("x")).select("doc_id", "sentence_ord", F.col("x")[0].alias("first"), F.col("x")[1].alias("second"))
 
 
 def occurrences(tokens: DataFrame) -> DataFrame:
@@ -77,7 +127,11 @@ def occurrences(tokens: DataFrame) -> DataFrame:
     Members of a correlative are suppressed for negation and connectors.
     """
     rows = enriched(tokens)
-    pairs = correlatives(rows)
+    return found(rows, correlatives(rows))
+
+
+def found(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``occurrences`` from ``enriched`` rows and their ``correlatives``."""
     members = pairs.select("doc_id", F.explode(F.array("first", "second")).alias("ord")).withColumn("member", F.lit(True))
     rows = rows.join(members, ["doc_id", "ord"], "left").withColumn("free", F.col("member").isNull())
     form, pos, base, lemma = F.col("form"), F.col("pos"), F.col("base"), F.col("lemma")
@@ -102,8 +156,8 @@ def occurrences(tokens: DataFrame) -> DataFrame:
     by = F.col("before_row")
     therefore = (form == "isso") & (F.col("before") == "por") & (by["pos"] == "ADP") & (by["base"] == "case") & (by["head_ord"] == F.col("ord")) & pos.isin("PRON", "ADV") & base.isin("obl", "advmod") & (by["ord"] < F.col("owner"))
     hits.append(F.when(therefore, hit("therefore", "connectors", "consequence")))
-    found = rows.select("doc_id", "sentence_ord", "ord", F.col("owner").alias("nucleus"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
-    single = found.select("doc_id", "sentence_ord", "ord", "h.rule", "h.family", "h.category", "nucleus")
+    each = rows.select("doc_id", "sentence_ord", "ord", F.col("owner").alias("nucleus"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+    single = each.select("doc_id", "sentence_ord", "ord", "h.rule", "h.family", "h.category", "nucleus")
     owner = rows.select("doc_id", F.col("ord").alias("first"), F.col("owner").alias("nucleus"))
     both = pairs.join(owner, ["doc_id", "first"]).select("doc_id", "sentence_ord", F.col("first").alias("ord"), F.lit("correlative").alias("rule"), F.lit("negation").alias("family"), F.lit("correlative_addition").alias("category"), "nucleus")
     return single.unionByName(both)

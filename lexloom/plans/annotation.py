@@ -89,6 +89,8 @@ def subtree(spark, sf_dir):
 
 
 _case = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
+# Regions of tokens without quotation marks.
+PLAIN = "plc AS (SELECT doc_id, ord, text, NULL::BIGINT AS region FROM an), reg AS (SELECT doc_id, ord AS open, ord AS close FROM an WHERE false)"
 RULES = CLAUSES + f""",
 en AS (SELECT an.*, o.owner, n.nucleus, lead(an.text) OVER w AS next, lag(an.text) OVER w AS before, lag(an.ord) OVER w AS b_ord, lag(an.dep) OVER w AS b_dep, lag(an.head_ord) OVER w AS b_head,
   h.nucleus AS h_nucleus, ha.dep AS h_dep, ha.pos AS h_pos, ha.head_ord AS h_head, lower(oa.dep) AS o_base
@@ -96,8 +98,20 @@ en AS (SELECT an.*, o.owner, n.nucleus, lead(an.text) OVER w AS next, lag(an.tex
   WINDOW w AS (PARTITION BY an.doc_id, an.sentence_ord ORDER BY an.ord)),
 inf AS (SELECT DISTINCT doc_id, head_ord AS ord FROM en WHERE head_ord <> ord AND dep = 'xcomp' AND verbform = 'Inf'),
 mrk AS (SELECT DISTINCT doc_id, h_head AS ord FROM en WHERE text = 'que' AND dep = 'mark' AND h_pos IN ('VERB', 'AUX') AND h_dep IN ('xcomp', 'ccomp')),
-co0 AS (SELECT a.doc_id, a.sentence_ord, a.ord AS first, min(b.ord) AS second FROM en a JOIN en b ON a.doc_id = b.doc_id AND a.sentence_ord = b.sentence_ord WHERE a.text = 'não' AND a.next = 'só' AND b.text = 'mas' AND b.next = 'também' AND b.ord > a.ord + 1 GROUP BY ALL),
-co AS (SELECT doc_id, sentence_ord, second, min(first) AS first FROM co0 GROUP BY ALL),
+{PLAIN},
+ca AS (SELECT e.doc_id, e.sentence_ord, e.ord, e.text, e.owner, CASE WHEN lower(oa.dep) = 'conj' AND oa.head_ord <> oa.ord THEN po.owner END AS cp, p.region
+  FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(owner) OVER w AS next_owner FROM en WINDOW w AS (PARTITION BY doc_id, sentence_ord ORDER BY ord)) e
+  JOIN an oa ON oa.doc_id = e.doc_id AND oa.ord = e.owner JOIN ow po ON po.doc_id = oa.doc_id AND po.ord = oa.head_ord
+  JOIN plc p ON p.doc_id = e.doc_id AND p.ord = e.ord JOIN plc q ON q.doc_id = e.doc_id AND q.ord = e.owner LEFT JOIN reg r ON r.doc_id = e.doc_id AND r.open = p.region
+  WHERE p.region IS NOT DISTINCT FROM q.region AND (p.region IS NULL OR r.close IS NOT NULL) AND next_pos = 'ADV' AND (
+    (e.text = 'não' AND next = 'só' AND e.pos = 'ADV' AND lower(e.dep) = 'advmod') OR (e.text = 'mas' AND next = 'também' AND e.pos = 'CCONJ' AND lower(e.dep) = 'cc' AND next_owner = e.owner))),
+fi AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_ord ORDER BY ord) AS k FROM ca WHERE text = 'não'),
+se AS (SELECT f.doc_id, f.sentence_ord, f.k, f.ord AS first, coalesce(list(s.ord ORDER BY s.ord) FILTER (s.ord IS NOT NULL), []) AS l FROM fi f LEFT JOIN ca s ON s.text = 'mas' AND s.doc_id = f.doc_id AND s.sentence_ord = f.sentence_ord
+  AND s.ord > f.ord + 1 AND s.region IS NOT DISTINCT FROM f.region AND (s.owner = f.owner OR s.cp = f.owner OR f.cp = s.owner) GROUP BY ALL),
+gr(doc_id, sentence_ord, k, first, second, used) AS (SELECT DISTINCT doc_id, sentence_ord, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM fi
+  UNION ALL SELECT s.doc_id, s.sentence_ord, s.k, s.first, [x for x in s.l if NOT list_contains(g.used, x)][1], list_concat(g.used, [x for x in s.l if NOT list_contains(g.used, x)][:1])
+  FROM gr g JOIN se s ON s.doc_id = g.doc_id AND s.sentence_ord = g.sentence_ord AND s.k = g.k + 1),
+co AS (SELECT doc_id, sentence_ord, first, second FROM gr WHERE second IS NOT NULL),
 me AS (SELECT doc_id, first AS ord FROM co UNION SELECT doc_id, second FROM co),
 fr AS (SELECT *, (doc_id, ord) NOT IN (SELECT doc_id, ord FROM me) AS free, lower(dep) AS b FROM en),
 oc AS (
@@ -184,8 +198,8 @@ def quoted(spark, sf_dir):
 
 
 # The same rules over the quoted tokens: their texts take the place of the plain ones.
-SCOPES = RULES.replace("nu AS (", "an AS (SELECT a.* REPLACE (q.text AS text) FROM an1 a JOIN qt q USING (doc_id, ord)), nu AS (", 1).replace("an AS (SELECT doc_id, sentence_ord, ord, form", "an1 AS (SELECT doc_id, sentence_ord, ord, form", 1).replace(", an AS (SELECT a.*", f", {QUOTED.replace('FROM an', 'FROM an1')}, an AS (SELECT a.*", 1) + f""",
-{REGIONS},
+SCOPES = RULES.replace("nu AS (", "an AS (SELECT a.* REPLACE (q.text AS text) FROM an1 a JOIN qt q USING (doc_id, ord)), nu AS (", 1).replace("an AS (SELECT doc_id, sentence_ord, ord, form", "an1 AS (SELECT doc_id, sentence_ord, ord, form", 1).replace(", an AS (SELECT a.*", f", {QUOTED.replace('FROM an', 'FROM an1')}, an AS (SELECT a.*", 1).replace(PLAIN, REGIONS.lstrip(), 1)
+NEGATED = SCOPES + f""",
 neg AS (SELECT f.*, p.region, r.close IS NOT NULL AS closed, ha.text AS h_text,
     (text_ IN ('não', 'nunca') AND b IN ('advmod', 'neg', 'root') AND f.pos = 'ADV') OR (text_ = 'nem' AND b IN ('advmod', 'neg', 'root', 'cc') AND f.pos IN ('ADV', 'PART', 'CCONJ')) AS allowed
   FROM (SELECT *, text AS text_ FROM fr WHERE text IN ('não', 'nunca', 'nem') AND free) f JOIN plc p USING (doc_id, ord) LEFT JOIN reg r ON r.doc_id = f.doc_id AND r.open = p.region JOIN an ha ON ha.doc_id = f.doc_id AND ha.ord = f.head_ord),
@@ -202,7 +216,7 @@ rn AS (SELECT doc_id, ord, min(pl) AS a, max(pl) AS z, count(*) AS n FROM (SELEC
 sc AS (SELECT doc_id, ord, sum(n)::BIGINT AS scope_tokens, string_agg(a || '-' || z, ',' ORDER BY a) AS slices FROM rn GROUP BY doc_id, ord)"""
 
 
-@R.query("negation_scopes", f"WITH RECURSIVE {SCOPES} SELECT g.doc_id, sentence_ord, g.ord, nucleus, con AND nucleus IS NOT NULL AS constituent, allowed, region, scope_tokens, slices FROM got g LEFT JOIN sc USING (doc_id, ord)")
+@R.query("negation_scopes", f"WITH RECURSIVE {NEGATED} SELECT g.doc_id, sentence_ord, g.ord, nucleus, con AND nucleus IS NOT NULL AS constituent, allowed, region, scope_tokens, slices FROM got g LEFT JOIN sc USING (doc_id, ord)")
 def negation_scopes(spark, sf_dir):
     found = rules.negation_scopes(quoted(spark, sf_dir))
     return found.withColumn("slices", F.array_join(F.transform("slices", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string"))), ","))
