@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.arrays import let
@@ -183,6 +183,13 @@ def scopes(tokens: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(size, ["doc_id", "nucleus"]).select("doc_id", "ord", "rule", "scope_tokens", "fragments", "slices")
 
 
+def negated(allowed: Column) -> tuple[Column, Column]:
+    """What a negator of ``enriched`` modifies, and whether that is a constituent rather than a clause's nucleus. Null with a delimiter, or a word of no part of speech, as its head."""
+    head, delimited = F.col("head_ord") != F.col("ord"), F.col("h_text").isin(*QUOTES)
+    other = allowed & head & ~F.col("h_nucleus") & ~F.coalesce(F.col("h_base").isin(*AUXILIARY), F.lit(False)) & ~delimited
+    return F.when(delimited, None).when(allowed & head & F.col("h_pos").isNull(), None).when(other, F.col("head_ord")).otherwise(F.col("owner")), other
+
+
 def negation_scopes(tokens: DataFrame) -> DataFrame:
     """(doc_id, sentence_ord, ord, nucleus, constituent, allowed, region, scope_tokens, slices): what each negator modifies, and its scope.
 
@@ -198,12 +205,10 @@ def negation_scopes(tokens: DataFrame) -> DataFrame:
     members = pairs.select("doc_id", F.explode(F.array("first", "second")).alias("ord"))
     place = cut(quotes.innermost(tokens))
     closed = quotes.quote_regions(tokens).where("close IS NOT NULL").select("doc_id", F.col("open").alias("region"), F.lit(True).alias("closed"))
-    form, head = F.col("form"), F.col("head_ord") != F.col("ord")
+    form = F.col("form")
     allowed = F.coalesce(F.coalesce(*[F.when(form == w, F.col("pos").isin(*tags) & F.col("base").isin(*deps)) for w, (_, tags, deps) in NEGATORS.items()]), F.lit(False))
     found = rows.where(form.isin(*NEGATORS)).join(members, ["doc_id", "ord"], "left_anti").join(place, ["doc_id", "ord"]).join(closed, ["doc_id", "region"], "left").withColumn("allowed", allowed).where("allowed OR region IS NOT NULL")
-    delimited = F.col("h_text").isin(*QUOTES)
-    other = F.col("allowed") & head & ~F.col("h_nucleus") & ~F.coalesce(F.col("h_base").isin(*AUXILIARY), F.lit(False)) & ~delimited
-    nucleus = F.when(delimited, None).when(F.col("allowed") & head & F.col("h_pos").isNull(), None).when(other, F.col("head_ord")).otherwise(F.col("owner"))
+    nucleus, other = negated(F.col("allowed"))
     found = found.select("doc_id", "sentence_ord", "ord", "region", "closed", "allowed", nucleus.alias("nucleus"), (other & F.col("h_pos").isNotNull()).alias("constituent"))
     region_of = place.select("doc_id", F.col("ord").alias("nucleus"), F.col("region").alias("n_region"))
     found = found.join(region_of, ["doc_id", "nucleus"], "left")

@@ -24,8 +24,8 @@ PALETTE = (
 )
 
 
-def annotated(spark, sf_dir):
-    t = segment.tokens(crlf(spark, sf_dir))
+def annotated(spark, sf_dir, docs=None):
+    t = segment.tokens(crlf(spark, sf_dir) if docs is None else docs)
     start = F.min("ord").over(Window.partitionBy("doc_id", "sentence_ord"))
     t = t.withColumn("start", start).withColumn("h", ((F.col("ord") + F.col("doc_id") + F.floor(F.length("text") / 4)) % len(PALETTE)).cast("int"))
     column = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PALETTE]), F.col("h") + 1)

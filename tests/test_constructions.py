@@ -71,3 +71,18 @@ def test_modal_scopes(spark):
 def test_no_tokens(spark):
     none = spark.createDataFrame([], SHAPE)
     assert scopes.correlative_scopes(none).isEmpty() and scopes.modal_scopes(none).isEmpty()
+
+
+def test_evidence_fragments(spark):
+    from lexloom.operators import evidence
+
+    # Tokens of the copy: não só compra / mas também vende, with a CRLF inside of a fragment and one between the fragments.
+    text = "não\r\nsó compra\r\nontem mas  também vende"
+    rows = [word("não", "ADV", "advmod", 2), word("só", "ADV", "advmod", 2), word("compra", "VERB", "ROOT", 2), word("ontem", "ADV", "advmod", 2), word("mas", "CCONJ", "cc", 6), word("também", "ADV", "advmod", 6), word("vende", "VERB", "conj", 2)]
+    found, members = evidence.evidence_tokens(of(spark, rows))
+    original = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    got = evidence.fragments(members, original).join(found.select("doc_id", "place", "rule"), ["doc_id", "place"]).where("rule = 'correlative'").orderBy("fragment").collect()
+    copy = text.replace("\r\n", "\n")
+    assert [(r.first, r.last, r.text, r.o_text) for r in got] == [(0, 2, "não\nsó compra", "não\r\nsó compra"), (4, 6, "mas  também vende", "mas  também vende")]
+    for r in got:
+        assert copy[r.w_start : r.w_end] == r.text and text[r.o_start : r.o_end] == r.o_text
