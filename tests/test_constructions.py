@@ -86,3 +86,18 @@ def test_evidence_fragments(spark):
     assert [(r.first, r.last, r.text, r.o_text) for r in got] == [(0, 2, "não\nsó compra", "não\r\nsó compra"), (4, 6, "mas  também vende", "mas  também vende")]
     for r in got:
         assert copy[r.w_start : r.w_end] == r.text and text[r.o_start : r.o_end] == r.o_text
+
+
+def test_rule_states(spark):
+    from lexloom.operators import states
+
+    listed = spark.createDataFrame([("a", "time", 0), ("b", "time", 1), ("c", "negation", 2)], "rule string, family string, step int")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, rule string")
+    docs = spark.createDataFrame([(i,) for i in (1, 2, 3)], "doc_id long")
+    got = states.rule_states(docs, listed, pairs((1, "a"), (1, "a"), (1, "b"), (2, "a"), (9, "a"), (1, "z")), pairs((1, "b"), (2, "b"), (2, "c")), pairs((2, "c"), (3, "a"), (3, "b"), (3, "c")), pairs((2, "a"), (3, "a")))
+    assert {(r.doc_id, r.rule): (r.state, r.n, r.pending) for r in got.collect()} == {
+        (1, "a"): ("executed", 2, 0), (1, "b"): ("executed_with_pending", 1, 1), (1, "c"): ("executed", 0, 0), (2, "a"): ("failed", 0, 0), (2, "b"): ("blocked", 0, 1), (2, "c"): ("disabled", 0, 0),
+        (3, "a"): ("disabled", 0, 0), (3, "b"): ("disabled", 0, 0), (3, "c"): ("disabled", 0, 0),
+    }
+    assert {(r.doc_id, r.family): r.state for r in states.family_states(got).collect()} == {(1, "time"): "incomplete", (1, "negation"): "executed", (2, "time"): "incomplete", (2, "negation"): "disabled", (3, "time"): "disabled", (3, "negation"): "disabled"}
+    assert {r.doc_id: r.ready for r in states.readiness(got).collect()} == {1: False, 2: False, 3: False}
