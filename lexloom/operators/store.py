@@ -6,9 +6,12 @@ run is never seen. Uniqueness and references are anti- and semi-joins.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,28 +63,79 @@ def child_counts(parents: DataFrame, key: str, children: DataFrame, child_key: s
     return parents.select(key).join(n, key, "left").select(key, F.coalesce("children", F.lit(0)).alias("children"))
 
 
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows and the sum of their hashes, whatever their order; maps have no hash."""
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("d")).first()
+    return got.n, got.d
+
+
+def _path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def commit_run(spark: SparkSession, rows: DataFrame, root: str, run_id: str) -> bool:
-    """Writes the rows of a run and then its commit; False if the run is committed already."""
-    if run_id in {r.run_id for r in committed(spark, root).where(F.col("run_id") == run_id).collect()}:
+    """Writes the rows of a run in a folder of this attempt's own and then publishes its commit; False if the run is committed already.
+
+    The commit is a file that is renamed to the run's name and never overwrites, so of racing writers one wins whole and the others take their
+    folder away. This needs a file system whose rename is atomic; on others, one writer for each run. The commit keeps the rows' number and digest.
+    """
+    name = hashlib.sha256(run_id.encode()).hexdigest()
+    mark, fs = _path(spark, f"{root}/commits/{name}")
+    if fs.exists(mark):
         return False
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{root}/data/{run_id}")
-    spark.createDataFrame([(run_id,)], "run_id string").write.mode("append").parquet(f"{root}/commits")
+    attempt = uuid.uuid4().hex
+    folder, _ = _path(spark, f"{root}/data/{name}-{attempt}")
+    rows.withColumn("run_id", F.lit(run_id)).write.parquet(folder.toString())
+    n, digest = _digest(spark.read.parquet(folder.toString()))
+    draft, _ = _path(spark, f"{root}/attempts/{attempt}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"run_id": run_id, "folder": f"{name}-{attempt}", "n": n, "digest": digest}).encode()))
+    out.close()
+    fs.mkdirs(mark.getParent())
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(mark.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, mark, how)
+    except Py4JJavaError:
+        fs.delete(draft, False)
+        fs.delete(folder, True)
+        if fs.exists(mark):
+            return False  # another writer was first
+        raise
     return True
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "run_id string")
-    return spark.read.schema("run_id string").parquet(f"{root}/commits").distinct()
+    """(run_id, folder, n, digest) of the runs that are committed."""
+    shape = "run_id string, folder string, n long, digest string"
+    path, fs = _path(spark, f"{root}/commits")
+    return spark.read.schema(shape).json(path.toString()) if fs.exists(path) else spark.createDataFrame([], shape)
 
 
 def restore_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """The rows of a committed run; an uncommitted one is an error."""
-    if committed(spark, root).where(F.col("run_id") == run_id).isEmpty():
+    """The rows of a committed run, hashed again; an uncommitted one is a LookupError, other rows than were committed a ValueError."""
+    commit = committed(spark, root).where(F.col("run_id") == run_id).first()
+    if commit is None:
         raise LookupError(f"run {run_id} is not committed")
-    return spark.read.parquet(f"{root}/data/{run_id}")
+    rows = spark.read.parquet(f"{root}/data/{commit.folder}")
+    if _digest(rows) != (commit.n, commit.digest):
+        raise ValueError(f"the rows of run {run_id} are not those that were committed")
+    return rows
+
+
+def restore_blobs(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """``manifest`` (blob_id, size, ...) with content and fault: contents are hashed and measured again, and only right ones are given back.
+
+    ``fault`` is "missing", "damaged" (content does not give the id) or "size"; null where all is right. ``stored`` has (blob_id, content), an id once.
+    """
+    checked = stored.select("blob_id", "content", (F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("blob_id")).alias("right"), F.octet_length("content").cast("long").alias("measured"))
+    met = manifest.join(checked, "blob_id", "left")
+    fault = F.when(F.col("content").isNull(), "missing").when(~F.col("right"), "damaged").when(~F.col("size").eqNullSafe(F.col("measured")), "size")
+    return met.withColumn("fault", fault).withColumn("content", F.when(F.col("fault").isNull(), F.col("content"))).drop("right", "measured")
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

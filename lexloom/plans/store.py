@@ -86,6 +86,23 @@ def blob_faults(spark, sf_dir):
     return store.blob_faults(stored.withColumn("content", F.when(F.col("damaged_id").isNotNull(), F.concat("content", F.lit("x"))).otherwise(F.col("content")))).select("blob_id")
 
 
+@R.query(
+    "restore_blobs",
+    """WITH b AS (SELECT 'sha256:' || sha256(text) AS blob_id, any_value(strlen(text)) AS size, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1),
+f AS (SELECT *, CASE WHEN first % 7 = 0 THEN 'missing' WHEN first % 5 = 0 THEN 'damaged' END AS stored_fault FROM b)
+SELECT doc_id, f.blob_id, coalesce(stored_fault, CASE WHEN doc_id % 11 = 0 THEN 'size' END) AS fault, CASE WHEN coalesce(stored_fault, CASE WHEN doc_id % 11 = 0 THEN 'size' END) IS NULL THEN text END AS content
+FROM documents d JOIN f ON f.blob_id = 'sha256:' || sha256(d.text)""",
+)
+def restore_blobs(spark, sf_dir):
+    """Every document's text by its manifest; some blobs are taken away or damaged, and some sizes wrong, on purpose by the number of the first document."""
+    d = documents(spark, sf_dir).where("text IS NOT NULL").withColumn("blob_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
+    first = d.groupBy("blob_id").agg(F.min("doc_id").alias("first"))
+    stored = store.blobs(d, F.col("text")).join(first, "blob_id").where("first % 7 <> 0")
+    stored = stored.select("blob_id", F.when(F.col("first") % 5 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    size = F.octet_length("text").cast("long") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)
+    return store.restore_blobs(d.select("doc_id", "blob_id", size.alias("size")), stored).select("doc_id", "blob_id", "fault", "content")
+
+
 @R.query("cache_join", "SELECT o_orderkey, o_orderkey % 4 = 0 AS cached FROM orders")
 def cache_join(spark, sf_dir):
     plan = orders(spark, sf_dir).select("o_orderkey")
