@@ -38,7 +38,9 @@ _rows = ", ".join("(" + str(k) + ", " + ", ".join("NULL" if x is None else f"'{x
 ANN = TOKENS + f""", pal(h, form, lemma, pos, dep) AS (VALUES {_rows}),
 an0 AS (SELECT doc_id, sentence_ord::BIGINT AS sentence_ord, ord, min(ord) OVER (PARTITION BY doc_id, sentence_ord) AS start, (ord + doc_id + length(text) // 4) % {len(PALETTE)} AS h FROM tokens),
 an AS (SELECT doc_id, sentence_ord, ord, form AS text, lemma, pos, CASE WHEN ord = start THEN 'ROOT' ELSE dep END AS dep, CASE WHEN ord = start THEN ord ELSE start + (ord - start - 1) // 2 END AS head_ord, CASE WHEN pos IN ('VERB', 'AUX') AND lemma IS NOT NULL THEN CASE WHEN lemma = form THEN 'Inf' ELSE 'Fin' END END AS verbform FROM an0 JOIN pal USING (h))"""
-CLAUSES = ANN + """, nu AS (SELECT doc_id, ord, head_ord, sentence_ord, coalesce(pos IN ('VERB', 'AUX') AND lower(dep) NOT IN ('aux', 'cop'), false) OR (doc_id, ord) IN (SELECT doc_id, head_ord FROM an WHERE dep = 'cop') AS nucleus FROM an),
+# Quotation marks are no nuclei, also where a copula hangs from one.
+_MARKS = ", ".join("'" + q.replace("'", "''") + "'" for q in annotate.QUOTES)
+CLAUSES = ANN + f""", nu AS (SELECT doc_id, ord, head_ord, sentence_ord, (coalesce(pos IN ('VERB', 'AUX') AND lower(dep) NOT IN ('aux', 'cop'), false) OR (doc_id, ord) IN (SELECT doc_id, head_ord FROM an WHERE dep = 'cop')) AND text NOT IN ({_MARKS}) AS nucleus FROM an),
 climb(doc_id, ord, pl, found) AS (SELECT doc_id, ord, CASE WHEN nucleus THEN ord ELSE head_ord END, nucleus OR head_ord = ord FROM nu
   UNION ALL SELECT c.doc_id, c.ord, CASE WHEN n.nucleus THEN c.pl ELSE n.head_ord END, n.nucleus OR n.head_ord = n.ord FROM climb c JOIN nu n ON n.doc_id = c.doc_id AND n.ord = c.pl WHERE NOT c.found),
 ow AS (SELECT c.doc_id, c.ord, CASE WHEN n.nucleus THEN c.pl END AS owner FROM climb c JOIN nu n ON n.doc_id = c.doc_id AND n.ord = c.pl WHERE c.found)"""
