@@ -20,7 +20,7 @@ def evidence_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     place, pairs = cut(rules.regions(rows)), cut(rules.correlatives(rows))
     found = cut(rules.ordered(rules.found(rows, pairs)))
     nucleus = F.when(F.col("rule").startswith("negation_"), rules.negated(F.lit(True))[0]).otherwise(F.col("nucleus"))
-    asked = found.select("doc_id", "place", "ord", "rule", "nucleus").join(rows.select("doc_id", "ord", "head_ord", "owner", "h_text", "h_nucleus", "h_base", "h_pos", "lemma"), ["doc_id", "ord"]).withColumn("nucleus", nucleus)
+    asked = found.select("doc_id", "place", "ord", "rule", "nucleus").join(rows.select("doc_id", "ord", "head_ord", "owner", "h_text", "h_nucleus", "h_base", "h_pos", "lemma", "legacy"), ["doc_id", "ord"]).withColumn("nucleus", nucleus)
     asked = cut(asked.join(place, ["doc_id", "ord"]))
     near = place.select("doc_id", F.col("ord").alias("nucleus"), F.col("region").alias("n_region"))
     nuclei = asked.join(near, ["doc_id", "nucleus"]).where(F.col("region").isNull() | F.col("region").eqNullSafe(F.col("n_region")) | ~F.col("rule").startswith("negation_")).select("doc_id", "place", F.col("nucleus").alias("at"))

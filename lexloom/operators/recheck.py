@@ -103,6 +103,25 @@ def check_rules(stored: DataFrame, tokens: DataFrame) -> DataFrame:
     return diff.withColumn("side", F.when(F.col("side") == "a", "stored").otherwise("recomputed"))
 
 
+def check_versions(records: DataFrame) -> DataFrame:
+    """(doc_id, version): records (doc_id, version) of a catalogue that is not known, or of none; nothing can be computed again for them."""
+    known = F.coalesce(F.col("version").isin(*rules.VERSIONS), F.lit(False))
+    return records.where(~known).select("doc_id", "version")
+
+
+def check_negations(stored: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Stored rows of ``rules.negation_scopes`` that the catalogue does not find again ("stored"), or finds only now ("recomputed"), with multiplicity.
+
+    Each document is read by the catalogue of its ``version`` in ``tokens``; documents of unknown versions are left out on both sides
+    (``check_versions`` names them).
+    """
+    known = tokens.where(F.col("version").isin(*rules.VERSIONS))
+    again = rules.negation_scopes(known)
+    mine = stored.join(known.select("doc_id").distinct(), "doc_id", "left_semi").select(*again.columns)
+    diff = store.differences(cut(mine), cut(again))
+    return diff.withColumn("side", F.when(F.col("side") == "a", "stored").otherwise("recomputed"))
+
+
 def check_context(stored: DataFrame, sentences: DataFrame, before: int = 1, after: int = 1, crossing: bool = False) -> DataFrame:
     """(doc_id, ord, rule): stored context units that differ from those computed again."""
     again = context.context_units(sentences, before, after, crossing)

@@ -19,6 +19,8 @@ from lexloom.operators.annotate import AUXILIARY, QUOTES, VERBAL, clause_arrays,
 from lexloom.session import cut
 
 CATALOGUE_VERSION = "1.1.0"
+# Records of the first version keep what it decided: marks may be nuclei and heads, and scopes outside quotations end at none.
+VERSIONS = ("1.0.0", CATALOGUE_VERSION)
 FAMILIES = ("clauses", "negation", "time", "modality", "connectors")
 # The lexicons of the rules.
 NEGATORS = {"não": ("simple", ("ADV", "PART"), ("advmod", "neg", "root")), "nunca": ("temporal", ("ADV",), ("advmod", "neg", "root")), "nem": ("additive", ("ADV", "PART", "CCONJ"), ("advmod", "neg", "root", "cc"))}
@@ -38,25 +40,27 @@ def _pick(value, mapping):
 def enriched(tokens: DataFrame) -> DataFrame:
     """Tokens with clause owner and parent, form, base dependency, neighbours, and what the rules ask of head, owner and dependents.
 
-    ``tokens`` has verbform (and may have tense and mood). Head and owner are looked up in the sentence's array; only verbal
+    ``tokens`` has verbform (and may have tense and mood, and version, of which a document has one: each record is read by the rules of its
+    own; without it by the present ones). Head and owner are looked up in the sentence's array; only verbal
     complements and their markers are grouped by the token they hang from. Written once, as every rule reads it.
     """
     t = tokens
     for c in ("tense", "mood"):
         t = t if c in t.columns else t.withColumn(c, F.lit(None).cast("string"))
-    s = sentence_arrays(t, "text", "lemma", "pos", "dep", "verbform", "tense", "mood")
+    t = t.withColumn("legacy", F.coalesce(F.col("version") == VERSIONS[0], F.lit(False)) if "version" in t.columns else F.lit(False))
+    s = sentence_arrays(t, "text", "lemma", "pos", "dep", "verbform", "tense", "mood", "legacy")
     at = lambda i: (i + F.col("start")).cast("long")
 
     def rows(t):
         def row(n, o, x):
             h, own = F.get(t, x["head"]), F.get(o, x["i"])
             return F.struct(
-                at(x["i"]).alias("ord"), at(x["head"]).alias("head_ord"), *[x[c].alias(c) for c in ("text", "lemma", "pos", "verbform", "tense", "mood")], F.lower(x["text"]).alias("form"), dep_base(x["dep"]).alias("base"),
+                at(x["i"]).alias("ord"), at(x["head"]).alias("head_ord"), *[x[c].alias(c) for c in ("text", "lemma", "pos", "verbform", "tense", "mood", "legacy")], F.lower(x["text"]).alias("form"), dep_base(x["dep"]).alias("base"),
                 F.get(n, x["i"]).alias("nucleus"), at(own).alias("owner"), F.when(x["head"] != x["i"], at(F.get(o, x["head"]))).alias("parent"),
                 F.get(n, x["head"]).alias("h_nucleus"), dep_base(h["dep"]).alias("h_base"), h["pos"].alias("h_pos"), h["text"].alias("h_text"), at(h["head"]).alias("h_head"), dep_base(F.get(t, own)["dep"]).alias("o_base"), let(F.get(t, own), lambda y: F.when(y["head"] != y["i"], at(F.get(o, y["head"])))).alias("o_parent"),
             )
 
-        return clause_arrays(t, lambda n, o: F.transform(t, lambda x: row(n, o, x)))
+        return clause_arrays(t, lambda n, o: F.transform(t, lambda x: row(n, o, x)), legacy=True)
 
     flat = s.select("doc_id", "sentence_ord", "start", F.explode(let(F.col("t"), rows)).alias("y")).select("doc_id", "sentence_ord", "y.*")
     near = Window.partitionBy("doc_id", "sentence_ord").orderBy("ord")
@@ -107,9 +111,9 @@ def correlatives(rows: DataFrame) -> DataFrame:
     """
     a = (F.col("form") == "não") & F.col("next").isin("só", "somente", "apenas") & F.col("pos").isin("ADV", "PART") & F.col("base").isin("advmod", "neg")
     b = (F.col("form") == "mas") & (F.col("next") == "também") & (F.col("pos") == "CCONJ") & (F.col("base") == "cc") & (F.col("next_row.owner") == F.col("owner"))
-    halves = cut(rows.where((a | b) & (F.col("next_row.pos") == "ADV") & F.col("owner").isNotNull()).select("doc_id", "sentence_ord", "ord", "owner", b.alias("is_second"), F.when(F.col("o_base") == "conj", F.col("o_parent")).alias("parent")))
+    halves = cut(rows.where((a | b) & (F.col("next_row.pos") == "ADV") & F.col("owner").isNotNull()).select("doc_id", "sentence_ord", "ord", "owner", "legacy", b.alias("is_second"), F.when(F.col("o_base") == "conj", F.col("o_parent")).alias("parent")))
     place = cut(regions(rows, halves.select("doc_id", F.explode(F.array("ord", "owner")).alias("ord")).distinct()))
-    mine = halves.join(place, ["doc_id", "ord"]).join(place.select("doc_id", F.col("ord").alias("owner"), F.col("region").alias("o_region")), ["doc_id", "owner"]).where(F.col("region").eqNullSafe(F.col("o_region")) & F.col("closed"))
+    mine = halves.join(place, ["doc_id", "ord"]).join(place.select("doc_id", F.col("ord").alias("owner"), F.col("region").alias("o_region")), ["doc_id", "owner"]).where((F.col("region").eqNullSafe(F.col("o_region")) & F.col("closed")) | (F.col("legacy") & F.col("region").isNull()))
     none = F.lit(-1)
     row = F.array(F.col("ord"), F.col("is_second").cast("long"), F.col("owner"), F.coalesce("parent", none), F.coalesce("region", none))
     sentence = mine.groupBy("doc_id", "sentence_ord").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.array(x[1], x[0], x[2], x[3], x[4])).alias("halves"))
@@ -185,7 +189,7 @@ def scopes(tokens: DataFrame, found: DataFrame) -> DataFrame:
 
 def negated(allowed: Column) -> tuple[Column, Column]:
     """What a negator of ``enriched`` modifies, and whether that is a constituent rather than a clause's nucleus. Null with a delimiter, or a word of no part of speech, as its head."""
-    head, delimited = F.col("head_ord") != F.col("ord"), F.col("h_text").isin(*QUOTES)
+    head, delimited = F.col("head_ord") != F.col("ord"), F.col("h_text").isin(*QUOTES) & ~F.col("legacy")
     other = allowed & head & ~F.col("h_nucleus") & ~F.coalesce(F.col("h_base").isin(*AUXILIARY), F.lit(False)) & ~delimited
     return F.when(delimited, None).when(allowed & head & F.col("h_pos").isNull(), None).when(other, F.col("head_ord")).otherwise(F.col("owner")), other
 
@@ -198,6 +202,9 @@ def negation_scopes(tokens: DataFrame) -> DataFrame:
     scope where the nucleus lies in another region or the marker's region stays open. In a quotation a word that is no negator by its
     annotations is mentioned, not allowed, and has neither nucleus nor scope. Without part of speech of the head, or with a delimiter as head, there is
     no nucleus. Members of a correlative are left out. ``slices`` are the runs [first, last] of consecutive tokens; null where there is no scope.
+
+    In records of version 1.0.0 (column ``version``) marks may be nuclei and heads, scopes of markers outside quotations hold all tokens, and
+    inside one the region's, with marks that open or close nothing.
     """
     tokens = cut(tokens)  # read by the clauses, the trees and the regions
     rows = cut(enriched(tokens))
@@ -209,17 +216,18 @@ def negation_scopes(tokens: DataFrame) -> DataFrame:
     allowed = F.coalesce(F.coalesce(*[F.when(form == w, F.col("pos").isin(*tags) & F.col("base").isin(*deps)) for w, (_, tags, deps) in NEGATORS.items()]), F.lit(False))
     found = rows.where(form.isin(*NEGATORS)).join(members, ["doc_id", "ord"], "left_anti").join(place, ["doc_id", "ord"]).join(closed, ["doc_id", "region"], "left").withColumn("allowed", allowed).where("allowed OR region IS NOT NULL")
     nucleus, other = negated(F.col("allowed"))
-    found = found.select("doc_id", "sentence_ord", "ord", "region", "closed", "allowed", nucleus.alias("nucleus"), (other & F.col("h_pos").isNotNull()).alias("constituent"))
+    found = found.select("doc_id", "sentence_ord", "ord", "region", "closed", "allowed", "legacy", nucleus.alias("nucleus"), (other & F.col("h_pos").isNotNull()).alias("constituent"))
     region_of = place.select("doc_id", F.col("ord").alias("nucleus"), F.col("region").alias("n_region"))
     found = found.join(region_of, ["doc_id", "nucleus"], "left")
     same = F.col("nucleus").isNotNull() & F.col("region").eqNullSafe(F.col("n_region"))
-    found = cut(found.withColumn("nucleus", F.when(F.col("region").isNull() | same, F.col("nucleus"))).withColumn("asks", same & F.col("allowed") & (F.col("region").isNull() | F.col("closed"))))
+    found = cut(found.withColumn("nucleus", F.when(F.col("region").isNull() | same, F.col("nucleus"))).withColumn("asks", F.col("nucleus").isNotNull() & (same | (F.col("legacy") & F.col("region").isNull())) & F.col("allowed") & (F.col("region").isNull() | F.col("closed"))))
     own = rows.where("owner IS NOT NULL").select("doc_id", F.col("owner").alias("nucleus"), F.col("ord").alias("at"), F.lit(False).alias("constituent"))
     heads = found.where("asks AND constituent").select("doc_id", F.col("nucleus").alias("ord"), F.lit(True).alias("wanted")).distinct()
     trees = tokens.join(heads, ["doc_id", "ord"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     below = cut(subtrees(trees, "wanted").select("doc_id", F.col("ord").alias("nucleus"), F.col("descendant").alias("at"), F.lit(True).alias("constituent")))
-    inside = place.join(tokens.select("doc_id", "ord", "text"), ["doc_id", "ord"]).where(~F.col("text").isin(*QUOTES)).select("doc_id", F.col("ord").alias("at"), F.col("region").alias("t_region"))
-    met = found.where("asks").select("doc_id", "ord", "nucleus", "constituent", "region").join(own.unionByName(below), ["doc_id", "nucleus", "constituent"]).join(inside, ["doc_id", "at"]).where(F.col("region").eqNullSafe(F.col("t_region")))
+    inside = place.join(tokens.select("doc_id", "ord", "text"), ["doc_id", "ord"]).select("doc_id", F.col("ord").alias("at"), F.col("region").alias("t_region"), F.col("text").isin(*QUOTES).alias("mark"))
+    free = F.when(F.col("legacy"), F.col("region").isNull() | F.col("region").eqNullSafe(F.col("t_region"))).otherwise(~F.col("mark") & F.col("region").eqNullSafe(F.col("t_region")))
+    met = found.where("asks").select("doc_id", "ord", "nucleus", "constituent", "region", "legacy").join(own.unionByName(below), ["doc_id", "nucleus", "constituent"]).join(inside, ["doc_id", "at"]).where(free)
     runs = cut(met).withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy("at"))).groupBy("doc_id", "ord", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     scope = runs.groupBy("doc_id", "ord").agg(F.sum("n").alias("scope_tokens"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("slices"))
     return found.join(scope, ["doc_id", "ord"], "left").select("doc_id", "sentence_ord", "ord", "nucleus", (F.col("constituent") & F.col("nucleus").isNotNull()).alias("constituent"), "allowed", "region", "scope_tokens", "slices")
