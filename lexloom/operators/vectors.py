@@ -214,6 +214,24 @@ def component_closure(parts: DataFrame, rounds: int = 16) -> DataFrame:
     return everything.unionByName(own).distinct()
 
 
+def lookup(wanted: DataFrame, representations: DataFrame, fragments: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(representation_id, fault, artifacts): each wanted representation (representation_id) with its own artifact and those of its fragments.
+
+    ``representations`` and ``fragments`` are (representation_id, artifact_id), ``artifacts`` (artifact_id, ...), an id once. ``artifacts`` are the rows
+    found, each once, by id. ``fault`` is "missing" for an unknown representation, "incomplete" if an artifact is not there; else null.
+    """
+    asked = wanted.select("representation_id").distinct()
+    known = representations.join(asked, "representation_id", "left_semi").select("representation_id", "artifact_id")
+    parts = fragments.join(known.select("representation_id").distinct(), "representation_id", "left_semi").select("representation_id", "artifact_id")
+    uses = known.unionByName(parts).distinct()
+    row = F.struct("artifact_id", *[c for c in artifacts.columns if c != "artifact_id"])
+    met = uses.join(artifacts.select("artifact_id", row.alias("row")), "artifact_id", "left")
+    lacks = F.bool_or(F.col("artifact_id").isNotNull() & F.col("row").isNull())
+    found = met.groupBy("representation_id").agg(lacks.alias("lacks"), F.array_sort(F.collect_list("row")).alias("artifacts"))
+    fault = F.when(F.col("artifacts").isNull(), "missing").when(F.col("lacks"), "incomplete")
+    return asked.join(found, "representation_id", "left").select("representation_id", fault.alias("fault"), "artifacts")
+
+
 def orphan_artifacts(used: DataFrame, present: DataFrame) -> DataFrame:
     """(artifact_id, side) of artifacts that are present but unused, or used but absent."""
     a, b = used.select("artifact_id").distinct(), present.select("artifact_id").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
 from lexloom.functions import vectors as vf
-from lexloom.operators import evaluate, links, segment, vectors
+from lexloom.operators import descriptors, evaluate, links, segment, vectors
 from lexloom.plans.registry import Registry, table
 from lexloom.plans.segmentation import PLAIN
 from lexloom.session import cut
@@ -187,3 +187,43 @@ def local_time(spark, sf_dir):
 @R.query("unit_id", "SELECT doc_id, 'run' || doc_id || ':token:' || n_chars AS id FROM documents")
 def unit_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.unit_id(F.concat(F.lit("run"), F.col("doc_id").cast("string")), "token", F.col("n_chars")).alias("id"))
+
+
+@R.query(
+    "rep_lookup",
+    """WITH w AS (SELECT DISTINCT doc_id AS representation_id FROM labels UNION SELECT -1 - doc_id FROM labels),
+u AS (SELECT doc_id AS representation_id, doc_id AS artifact_id FROM documents UNION SELECT doc_id, unnest([2 * doc_id, 2 * doc_id + 1]) FROM documents),
+f AS (SELECT representation_id, bool_or(vec_id IS NULL) AS lacks, coalesce(string_agg(vec_id || ':' || label, ',' ORDER BY vec_id), '') AS artifacts FROM u LEFT JOIN embeddings ON vec_id = artifact_id GROUP BY 1)
+SELECT w.representation_id, CASE WHEN f.representation_id IS NULL THEN 'missing' WHEN lacks THEN 'incomplete' END AS fault, coalesce(artifacts, '') AS artifacts FROM w LEFT JOIN f USING (representation_id)""",
+)
+def rep_lookup(spark, sf_dir):
+    """Documents are representations with an artifact of their own number and two fragments' artifacts; labelled ones are looked up, and some that do not exist."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("representation_id"), F.col("doc_id").alias("artifact_id"))
+    pieces = d.select("representation_id", F.explode(F.array(2 * F.col("artifact_id"), 2 * F.col("artifact_id") + 1)).alias("artifact_id"))
+    wanted = table(spark, sf_dir, "labels").select(F.explode(F.array("doc_id", -1 - F.col("doc_id"))).alias("representation_id"))
+    found = vectors.lookup(wanted, d, pieces, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("artifact_id"), "label"))
+    shown = F.transform("artifacts", lambda x: F.concat(x["artifact_id"].cast("string"), F.lit(":"), x["label"].cast("string")))
+    return found.select("representation_id", "fault", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("artifacts"))
+
+
+# Of a part's two descriptors the second one lacks the kind, has another brand, a new empty object, or an object for its size, by the part's number.
+@R.query(
+    "descriptor_paths",
+    """SELECT * FROM (
+SELECT p_partkey AS id, 'model.name' AS path, true AS in_a, true AS in_b, '"' || p_name || '"' AS a, '"' || p_name || '"' AS b, true AS equal FROM part
+UNION ALL SELECT p_partkey, 'model.files.brand', true, true, '"' || p_brand || '"', CASE WHEN p_partkey % 5 = 0 THEN '"other"' ELSE '"' || p_brand || '"' END, p_partkey % 5 <> 0 FROM part
+UNION ALL SELECT p_partkey, 'model.files.kind', true, p_partkey % 3 <> 0, '"' || p_type || '"', CASE WHEN p_partkey % 3 <> 0 THEN '"' || p_type || '"' END, CASE WHEN p_partkey % 3 <> 0 THEN true END FROM part
+UNION ALL SELECT p_partkey, 'extra', false, true, NULL, '{}', NULL FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT p_partkey, 'size', true, true, p_size::VARCHAR, CASE WHEN p_partkey % 4 = 0 THEN '{"n":' || p_size || '}' ELSE p_size::VARCHAR END, p_partkey % 4 <> 0 FROM part
+UNION ALL SELECT p_partkey, 'size.n', false, true, NULL, p_size::VARCHAR, NULL FROM part WHERE p_partkey % 4 = 0)""",
+)
+def descriptor_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    member = lambda name, c: F.concat(F.lit(f'"{name}":'), c)
+    body = lambda *members: F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    size = F.col("p_size").cast("string")
+    a = body(member("size", size), member("model", body(member("name", text(F.col("p_name"))), member("files", body(member("kind", text(F.col("p_type"))), member("brand", text(F.col("p_brand"))))))))
+    files = body(member("brand", text(F.when(k % 5 == 0, "other").otherwise(F.col("p_brand")))), F.when(k % 3 != 0, member("kind", text(F.col("p_type")))))
+    b = body(member("model", body(member("files", files), member("name", text(F.col("p_name"))))), F.when(k % 7 == 0, F.lit('"extra":{}')), member("size", F.when(k % 4 == 0, body(member("n", size))).otherwise(size)))
+    return descriptors.compare(table(spark, sf_dir, "part").select(k.alias("id"), a.alias("a"), b.alias("b"))).withColumn("path", F.array_join("path", "."))
