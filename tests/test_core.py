@@ -251,3 +251,17 @@ def test_entry_imports_without_a_session():
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr[-500:]
     assert min(map(int, said.stdout.split()[-2:])) > 100
+
+
+def test_texts_are_taken_apart_once_and_sorted_once(spark):
+    docs = frame(spark, "Dr. Bo, etc. Ele viu: etc. E 3.5!) «Sim»\n\n...\") Fim etc", "", " ", "\n\n")
+    for got, sorts in ((segment.tokens(docs), 1), (segment.units(docs), 1)):
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("regexp_extract_all") == 1  # neither asked for before the texts are dealt nor twice
+        assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == sorts
+    u = segment.units(docs)
+    assert segment.tokens(docs).exceptAll(u.where("NOT space").select("doc_id", "ord", "text", "w_start", "w_end", "paragraph_ord", "sentence_ord")).count() == 0
+    assert segment.sentences(docs).exceptAll(segment.sentences_of(u)).count() == 0
+    assert [r.text for r in segment.sentences(docs).orderBy("doc_id", "ord").collect()] == ["Dr. Bo, etc.", "Ele viu: etc.", "E 3.5!)", "«Sim»", "...\") Fim etc"]
+    both = context.logical_ids(segment.sentences(docs), segment.paragraphs(docs), docs)
+    assert both.exceptAll(context.logical_ids(segment.sentences(docs), None, docs)).count() == 0
