@@ -101,3 +101,14 @@ def test_rule_states(spark):
     }
     assert {(r.doc_id, r.family): r.state for r in states.family_states(got).collect()} == {(1, "time"): "incomplete", (1, "negation"): "executed", (2, "time"): "incomplete", (2, "negation"): "disabled", (3, "time"): "disabled", (3, "negation"): "disabled"}
     assert {r.doc_id: r.ready for r in states.readiness(got).collect()} == {1: False, 2: False, 3: False}
+
+
+def test_rows_of_rules_are_neither_joined_nor_shuffled_again(spark):
+    rows = [(1, 0, 0, "Tem", "ter", "VERB", "ROOT", 0, "Fin"), (1, 0, 1, "que", "que", "SCONJ", "mark", 2, None), (1, 0, 2, "sair", "sair", "VERB", "xcomp", 0, "Inf"), (1, 1, 3, "Consegue", "conseguir", "VERB", "ROOT", 3, "Fin"), (1, 1, 4, "sair", "sair", "VERB", "xcomp", 3, "Inf")]
+    tokens = spark.createDataFrame(rows, "doc_id long, sentence_ord long, ord long, text string, lemma string, pos string, dep string, head_ord long, verbform string")
+    e = rules.enriched(tokens)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r.ord: r for r in e.collect()}
+    assert got[0].marked and got[3].infinitive and got[0].next == "que" and got[0].before is None and got[2].next_row is None and got[3].before_row is None
+    assert got[1].before_row.asDict() == {"ord": 0, "pos": "VERB", "base": "root", "head_ord": 0} and got[1].next_row.asDict() == {"pos": "VERB", "owner": 2}
