@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
-from lexloom.operators import annotate, segment
+from lexloom.operators import annotate, context, references, segment
 from lexloom.plans import annotation
 
 PIECES = (*"  .!?\"'”“)(»«a3É_", " ", " ", " ", "\n", "\r\n\r\n", "\n \n", "...", "?!", "etc", "etc.", "ETC.", "Dr", "1.5", "Fim", "x@y.z", "😀")
@@ -45,3 +45,14 @@ def test_no_token_is_sorted(spark, docs, tmp_path, name):
     sorts = [line for line in plan.splitlines() if "Sort [" in line and "Sort [doc_id" not in line]
     assert not sorts and "Window" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
     assert plan.count("regexp_extract_all") == 1 and plan.count("Exchange") == 1
+
+
+def test_links_and_references_need_no_row_for_each_token(spark, docs):
+    lists = annotation.annotated_lists(spark, None, docs)
+    rows = annotate.token_rows(lists).cache()
+    links = rows.select("doc_id", F.lit("token").alias("kind"), (F.col("ord") - 3).alias("target"), "ord").unionByName(rows.select("doc_id", F.lit("token").alias("kind"), (F.col("ord") + 2).alias("target"), "ord"))
+    same(references.resolve_tokens(links, lists.select("doc_id", "sentence_ord", "start", F.size("r").alias("n"))), references.resolve(links, token=rows.select("doc_id", F.col("ord").alias("id"), "sentence_ord")))
+    windows = context.context_units(segment.sentences(docs))
+    layer = rows.where("lemma IS NOT NULL").select("doc_id", "sentence_ord", F.col("ord").alias("id"))
+    listed = lists.select("doc_id", "sentence_ord", F.transform(F.filter("r", lambda x: x["lemma"].isNotNull()), lambda x: x["ord"]).alias("morphology"))
+    same(references.annotation_refs(windows, listed), references.annotation_refs(windows, morphology=layer))
