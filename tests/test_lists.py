@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
-from lexloom.operators import annotate, context, references, segment
+from lexloom.operators import annotate, context, references, rules, segment
 from lexloom.plans import annotation
 
 PIECES = (*"  .!?\"'”“)(»«a3É_", " ", " ", " ", "\n", "\r\n\r\n", "\n \n", "...", "?!", "etc", "etc.", "ETC.", "Dr", "1.5", "Fim", "x@y.z", "😀")
@@ -56,3 +56,9 @@ def test_links_and_references_need_no_row_for_each_token(spark, docs):
     layer = rows.where("lemma IS NOT NULL").select("doc_id", "sentence_ord", F.col("ord").alias("id"))
     listed = lists.select("doc_id", "sentence_ord", F.transform(F.filter("r", lambda x: x["lemma"].isNotNull()), lambda x: x["ord"]).alias("morphology"))
     same(references.annotation_refs(windows, listed), references.annotation_refs(windows, morphology=layer))
+
+
+def test_rules_take_lists_and_rows(spark, docs):
+    lists = annotation.annotated_lists(spark, None, docs.where("doc_id % 3 = 0"))
+    assert "ObjectHashAggregate" not in rules.enriched(lists)._jdf.queryExecution().executedPlan().toString()
+    same(rules.occurrences(lists), rules.occurrences(annotate.token_rows(lists).cache()))
