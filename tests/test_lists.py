@@ -31,6 +31,20 @@ def test_lists_hold_the_units(docs):
     same(segment.paragraphs(docs), segment.paragraphs_of(u))
 
 
+def test_segmentation_is_checked_by_lists(spark, docs):
+    u, lists = segment.units(docs).drop("term", "inner"), segment.unit_lists(docs)
+    same(lists.select("doc_id", F.explode("u").alias("x")).select("doc_id", "x.*"), u)
+    assert segment.check_segmentation(docs).isEmpty() and segment.check_segmentation(docs, lists).isEmpty() and segment.check_segmentation(docs, u).isEmpty()
+    plan = segment.check_segmentation(docs, segment.unit_lists(docs, ordered=True))._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line and "Sort [doc_id" not in line]
+    assert not sorts and "Window" not in plan and "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 3  # both sides' texts, and what was found
+    at = lambda c, value: F.when(F.col("pos") == 4, value).otherwise(F.col(c))
+    for column, value, rules in (("ord", F.lit(99), {"dense"}), ("w_end", F.col("w_start"), {"tiling"}), ("text", F.lit("#"), {"rebuilt"}), ("sentence_ord", F.lit(0), set())):
+        rows = u.where("doc_id = 3").withColumn(column, at(column, value).cast(dict(u.dtypes)[column]))
+        one = docs.where("doc_id = 3")
+        assert rules <= {r.rule for r in segment.check_segmentation(one, rows).collect()}
+
+
 def test_operators_take_lists_and_rows(spark, docs):
     lists = annotation.annotated_lists(spark, None, docs)
     rows = annotate.token_rows(lists).cache()
