@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
-from lexloom.operators import annotate, context, references, rules, segment
+from lexloom.operators import annotate, context, recheck, references, rules, segment
 from lexloom.plans import annotation
+from lexloom.plans import references as references_plan
 
 PIECES = (*"  .!?\"'”“)(»«a3É_", " ", " ", " ", "\n", "\r\n\r\n", "\n \n", "...", "?!", "etc", "etc.", "ETC.", "Dr", "1.5", "Fim", "x@y.z", "😀")
 
@@ -45,6 +46,22 @@ def test_segmentation_is_checked_by_lists(spark, docs):
         assert rules <= {r.rule for r in segment.check_segmentation(one, rows).collect()}
 
 
+@pytest.mark.parametrize("name", ["check_entities", "syntax_coverage"])
+def test_entities_need_no_row_for_each_token(spark, docs, tmp_path, name):
+    docs.where(F.col("doc_id") < 40).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Sort [") == plan.count("Sort [doc_id") and plan.count("Exchange") == plan.count("Scan parquet") == plan.count("regexp_extract_all")
+
+
+def test_entities_are_checked_by_lists(spark, docs):
+    units = segment.unit_lists(docs, ordered=True)
+    e = references_plan.entities(units).select("doc_id", F.transform("e", lambda x: x.withField("token_ords", F.when(x["ord"] == 1, F.array(F.lit(777).cast("long"))).otherwise(x["token_ords"])).withField("text", F.when(x["ord"] == 2, "?").otherwise(x["text"]))).alias("e"))
+    rows = recheck.check_entities(e.select("doc_id", F.explode("e").alias("x")).select("doc_id", "x.*"), recheck.spaced(segment.units(docs)), ("NAME",))
+    got = recheck.check_entities(e, units, ("NAME",))
+    same(got, rows)
+    assert {r.rule for r in got.collect()} == {"unknown_token", "text"}
+
+
 def test_operators_take_lists_and_rows(spark, docs):
     lists = annotation.annotated_lists(spark, None, docs)
     rows = annotate.token_rows(lists).cache()
