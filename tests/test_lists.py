@@ -1,12 +1,13 @@
 """Sentences with lists of their tokens: the same rows as from tokens, and no token is sorted, grouped or shuffled."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
-from lexloom.operators import annotate, context, recheck, references, rules, segment
+from lexloom.operators import annotate, context, recheck, references, rules, segment, store
 from lexloom.plans import annotation
 from lexloom.plans import references as references_plan
 
@@ -93,3 +94,17 @@ def test_rules_take_lists_and_rows(spark, docs):
     lists = annotation.annotated_lists(spark, None, docs.where("doc_id % 3 = 0"))
     assert "ObjectHashAggregate" not in rules.enriched(lists)._jdf.queryExecution().executedPlan().toString()
     same(rules.occurrences(lists), rules.occurrences(annotate.token_rows(lists).cache()))
+
+
+def test_rules_over_documents_group_no_tokens(spark, docs, tmp_path):
+    docs.where(F.col("doc_id") < 12).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = plans.QUERIES["rule_states"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "head_ord" in plan and not re.search(r"collect_list\(struct\(ord, ord#\d+L?, head_ord", plan)
+
+
+def test_differences_shuffle_each_side_once(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "y"), (None, None)], "i long, t string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "z"), (None, None)], "i long, t string")
+    got = store.differences(a, b)
+    assert sorted(map(str, got.collect())) == sorted(map(str, a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b"))).collect()))
+    assert store.differences(a, b)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and store.differences(a, a).isEmpty()
