@@ -15,6 +15,8 @@ from lexloom.session import cut
 PASSAGE = r"[^.!?\n]+[.!?]*|[.!?\n]+"
 # Limits of a link.
 LINKS, FIELD, ALTERNATIVES = 24, 4096, 8
+# Rows of a frame that goes back from Python.
+OUT = 4096
 STATUSES = ("supports", "contradicts", "related")
 
 
@@ -48,6 +50,22 @@ def placed_paragraphs(reports: DataFrame) -> DataFrame:
     return trimmed.select("doc_id", F.concat(F.lit("P"), number.cast("string")).alias("paragraph"), "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
+def _chunked(batches: Iterator[pd.DataFrame], tokenize: Callable[[str], list[tuple[int, int]]], room: int, head: int) -> Iterator[pd.DataFrame]:
+    """The pieces of origins (doc_id, origin, shift, text): many short paragraphs share a frame, and long reports do not pile up."""
+    columns = ["doc_id", "query", "origin", "start", "end", "text", "tokens"]
+    for pdf in batches:
+        rows = []
+        for doc, origin, shift, text in zip(pdf.doc_id, pdf.origin, pdf["shift"], pdf.text, strict=True):
+            chunks = plan_chunks(text, tokenize, room, [])
+            names = [origin] if len(chunks) == 1 else [f"{origin}.{k}" for k in range(1, len(chunks) + 1)]
+            rows += [(doc, name, origin, shift + a, shift + b, text[a:b], head + len(tokenize(text[a:b]))) for name, (a, b) in zip(names, chunks, strict=True)]
+            if len(rows) >= OUT:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+
 def query_set(reports: DataFrame, limit: int, margin: int = 0, tokenize: Callable[[str], list[tuple[int, int]]] = code_points, prefix: str = "query: ", specials: int = 2) -> DataFrame:
     """(doc_id, query, origin, start, end, text, tokens): every paragraph and the whole report, each in pieces that fit a model's input.
 
@@ -62,14 +80,7 @@ def query_set(reports: DataFrame, limit: int, margin: int = 0, tokenize: Callabl
     if room < 1:
         raise ValueError("limit and margin leave no room")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, origin, shift, text in zip(pdf.doc_id, pdf.origin, pdf["shift"], pdf.text, strict=True):
-                chunks = plan_chunks(text, tokenize, room, [])
-                names = [origin] if len(chunks) == 1 else [f"{origin}.{k}" for k in range(1, len(chunks) + 1)]
-                rows = [(doc, name, origin, shift + a, shift + b, text[a:b], head + len(tokenize(text[a:b]))) for name, (a, b) in zip(names, chunks, strict=True)]
-                yield pd.DataFrame(rows, columns=["doc_id", "query", "origin", "start", "end", "text", "tokens"])
-
+    run = lambda batches: _chunked(batches, tokenize, room, head)
     return origins.where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, query string, origin string, start long, end long, text string, tokens long")
 
 

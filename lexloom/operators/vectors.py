@@ -74,7 +74,7 @@ def cache_key(config: Column, text: Column, tokens: Column) -> Column:
 
 def code_points(text: str) -> list[tuple[int, int]]:
     """The test tokenizer: one token for each code point."""
-    return [(i, i + 1) for i in range(len(text))]
+    return list(zip(range(len(text)), range(1, len(text) + 1), strict=True))
 
 
 def plan_chunks(text: str, tokenize: Callable[[str], list[tuple[int, int]]], limit: int, stops: list[int]) -> list[tuple[int, int]]:
@@ -85,7 +85,7 @@ def plan_chunks(text: str, tokenize: Callable[[str], list[tuple[int, int]]], lim
     if not text.strip():
         return []
     spans = tokenize(text)
-    stops, starts = sorted(stops), [a for a, _ in spans]
+    stops, starts = sorted(stops), [a for a, _ in spans] if stops else []  # looked up only for a stop
     chunks, at, first = [], 0, 0
     while first < len(spans):
         last = min(first + limit, len(spans))

@@ -117,6 +117,15 @@ def test_chunks_cover_the_text():
     assert "".join(long[a:b] for a, b in vectors.plan_chunks(long, vectors.code_points, 100, list(range(8, len(long), 8)))) == long
 
 
+def test_pieces_of_many_paragraphs_share_a_frame():
+    import pandas as pd
+
+    origins = pd.DataFrame([(1, f"P{i}", 10 * i, "ab cd ef") for i in range(3000)] + [(1, "report", 0, "x" * 30000)], columns=["doc_id", "origin", "shift", "text"])
+    frames = list(links._chunked(iter([origins]), vectors.code_points, 5, 2))
+    assert len(frames) == 2 and sum(map(len, frames)) == 3000 * 2 + 6000
+    assert list(frames[0].iloc[3]) == [1, "P1.2", "P1", 15, 18, " ef", 5]
+
+
 def test_query_set(spark):
     texts = ["Um dois.\r\n\r\n  tres\rquatro\r\rcinco 😀 " + "a" * 40, " \n ", "", None, "um\r\ndois\n \t\nfim\n"]
     got = links.query_set(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 29, tokenize=vectors.code_points).collect()
