@@ -13,8 +13,7 @@ R = Registry()
 
 @R.query("sentence_start_mark", f"WITH {SENTENCES} SELECT t.doc_id, t.ord, s.doc_id IS NOT NULL AS starts FROM tokens t LEFT JOIN sentences s ON s.doc_id = t.doc_id AND s.w_start = t.w_start")
 def sentence_start_mark(spark, sf_dir):
-    docs = crlf(spark, sf_dir)
-    return segment.sentence_starts(segment.tokens(docs), segment.sentences(docs))
+    return segment.sentence_starts(segment.sentence_lists(crlf(spark, sf_dir)))
 
 
 @R.query("paragraph_clip", f"WITH {SENTENCES} SELECT doc_id, ord::BIGINT AS ord, greatest(w_start, 100)::BIGINT AS start, least(w_end, 2000)::BIGINT AS \"end\" FROM paragraphs WHERE least(w_end, 2000) > greatest(w_start, 100)")

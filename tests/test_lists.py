@@ -54,6 +54,13 @@ def test_entities_need_no_row_for_each_token(spark, docs, tmp_path, name):
     assert "Window" not in plan and "Aggregate" not in plan and plan.count("Sort [") == plan.count("Sort [doc_id") and plan.count("Exchange") == plan.count("Scan parquet") == plan.count("regexp_extract_all")
 
 
+def test_sentence_starts_need_no_join(spark, docs):
+    got = segment.sentence_starts(segment.sentence_lists(docs))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("regexp_extract_all") == 1
+    same(got, segment.sentence_starts(segment.tokens(docs), segment.sentences(docs)))
+
+
 def test_entities_are_checked_by_lists(spark, docs):
     units = segment.unit_lists(docs, ordered=True)
     e = references_plan.entities(units).select("doc_id", F.transform("e", lambda x: x.withField("token_ords", F.when(x["ord"] == 1, F.array(F.lit(777).cast("long"))).otherwise(x["token_ords"])).withField("text", F.when(x["ord"] == 2, "?").otherwise(x["text"]))).alias("e"))
