@@ -45,7 +45,7 @@ def test_scopes_are_runs():
     assert members._scopes(owner, head, region, kind, asks) == [[2, -1, 0, 1], [2, -1, 1, 2], [3, 3, 0, 0, 3, 4], [0, -1], [1, -1, 2, 2]]
 
 
-@pytest.mark.parametrize("name", ["correlative_scopes", "negation_scopes", "modal_scopes", "versioned_scopes", "rule_links", "rule_links_enriched"])
+@pytest.mark.parametrize("name", ["correlative_scopes", "negation_scopes", "modal_scopes", "versioned_scopes", "rule_links", "rule_links_enriched", "link_enrich"])
 def test_nothing_is_written_but_texts(spark, docs, tmp_path, name):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
