@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
-from lexloom.operators import annotate, members, quotes, rules
+from lexloom.operators import annotate, evidence, members, quotes, rules
 from lexloom.plans import annotation
 
 TEXTS = ["Um dois. Três quatro? Cinco. Seis. Sete.", "a b c d e f. g h. i. j k l m n o p q r s t u v w x y z. " * 3, "", None, "x " * 70]
@@ -50,3 +50,9 @@ def test_nothing_is_written_but_texts(spark, docs, tmp_path, name):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Join", "Window", "Sort", "Aggregate", "ExistingRDD")) and plan.count("Exchange") == plan.count("regexp_extract_all") == 1
+
+
+def test_evidence_needs_no_row_for_each_token(spark, docs):
+    for rows in evidence.evidence_tokens(annotation.annotated_documents(spark, None, docs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Window", "Sort", "Aggregate")) and plan.count("Exchange") == 1
