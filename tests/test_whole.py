@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import plans
+from lexloom.functions.arrays import groups, let, spread
 
 TEXTS = ["Um dois. Três quatro? Cinco. Seis. Sete.", "a b c d e f. g h. i. j k l m n o p q r s t u v w x y z. " * 3, "", None, "x " * 70]
 
@@ -24,3 +25,25 @@ def test_pendings_of_every_token_are_inherited(spark, folder):
 def test_scopes_of_every_document(spark, folder):
     scopes = lambda name: {(r.doc_id, r.ord) for r in plans.QUERIES[name](spark, folder).select("doc_id", "ord").collect()}
     assert scopes("versioned_scopes") == scopes("negation_scopes") and any(d % 13 == 0 for d, _ in scopes("versioned_scopes"))
+
+
+@pytest.mark.parametrize("name", ["rule_occurrences", "occurrence_order", "contiguous_fragments"])
+def test_occurrences_need_texts_alone(spark, folder, name):
+    plan = plans.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "Sort", "Aggregate", "ExistingRDD")) and plan.count("Exchange") == plan.count("regexp_extract_all") == 1
+
+
+def test_a_local_name_copies_nothing(spark):
+    named = spark.range(3).select(let(F.sequence(F.lit(0), "id"), lambda x: F.size(x) + F.element_at(x, -1)).alias("v"))
+    assert "transform(" not in named._jdf.queryExecution().optimizedPlan().toString() and [r.v for r in named.collect()] == [1, 3, 5]
+
+
+def test_links_are_not_compared_with_each_other(spark, folder):
+    """Rows are told apart by comparing each with all others, so only those of one occurrence are."""
+    plan = plans.QUERIES["rule_links_enriched"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and plan.count("array_distinct(") <= plans.QUERIES["rule_links"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(")
+
+
+def test_groups_of_places(spark):
+    row = spark.createDataFrame([([2, 2, 3, 6],), ([],)], "k array<bigint>").select(groups(F.col("k")).alias("g")).select("g", spread(F.col("g")).alias("s")).collect()
+    assert [tuple(x) for x in row[0].g] == [(2, 0, 2), (3, 2, 1), (6, 3, 1)] and row[0].s == [0, 1, None, None, 2] and row[1].s == []
