@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lexloom import plans
 from lexloom.functions.arrays import groups, let, spread
+from lexloom.operators import annotate, linkage, recheck, rules
+from lexloom.plans import annotation
 
 TEXTS = ["Um dois. Três quatro? Cinco. Seis. Sete.", "a b c d e f. g h. i. j k l m n o p q r s t u v w x y z. " * 3, "", None, "x " * 70]
 
@@ -27,7 +29,7 @@ def test_scopes_of_every_document(spark, folder):
     assert scopes("versioned_scopes") == scopes("negation_scopes") and any(d % 13 == 0 for d, _ in scopes("versioned_scopes"))
 
 
-@pytest.mark.parametrize("name", ["rule_occurrences", "occurrence_order", "contiguous_fragments"])
+@pytest.mark.parametrize("name", ["rule_occurrences", "occurrence_order", "contiguous_fragments", "rule_links_in_context", "check_versioned_scopes", "structural_pending", "rule_notes"])
 def test_occurrences_need_texts_alone(spark, folder, name):
     plan = plans.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Join", "Window", "Sort", "Aggregate", "ExistingRDD")) and plan.count("Exchange") == plan.count("regexp_extract_all") == 1
@@ -47,3 +49,17 @@ def test_links_are_not_compared_with_each_other(spark, folder):
 def test_groups_of_places(spark):
     row = spark.createDataFrame([([2, 2, 3, 6],), ([],)], "k array<bigint>").select(groups(F.col("k")).alias("g")).select("g", spread(F.col("g")).alias("s")).collect()
     assert [tuple(x) for x in row[0].g] == [(2, 0, 2), (3, 2, 1), (6, 3, 1)] and row[0].s == [0, 1, None, None, 2] and row[1].s == []
+
+
+def same(a, b):
+    b = b.select(*a.columns)
+    assert a.count() > 9 and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_pendings_and_versions_equal_those_of_rows(spark, folder):
+    version = F.when(F.col("doc_id") % 7 == 0, "9").when(F.col("doc_id") % 2 == 0, rules.VERSIONS[0]).otherwise(rules.VERSIONS[1])
+    d = annotation.quoted_documents(spark, folder, version=version)
+    rows = annotate.token_rows(annotation.annotated_lists(spark, folder, quoted=True)).withColumn("version", version)
+    e = rules.enriched(rows.drop("version"))
+    same(linkage.structural_pendings(annotation.quoted_documents(spark, folder)), linkage.structural_pending(e, rules.regions(e)))
+    same(recheck.check_present_negations(d), recheck.check_negations(rules.negation_scopes(rows.drop("version")), rows))
