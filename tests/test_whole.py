@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexloom import plans
 from lexloom.functions.arrays import groups, let, spread
-from lexloom.operators import annotate, linkage, recheck, rules
+from lexloom.operators import annotate, evidence, linkage, recheck, rules, spans
 from lexloom.plans import annotation
 
 TEXTS = ["Um dois. Três quatro? Cinco. Seis. Sete.", "a b c d e f. g h. i. j k l m n o p q r s t u v w x y z. " * 3, "", None, "x " * 70]
@@ -63,3 +63,23 @@ def test_pendings_and_versions_equal_those_of_rows(spark, folder):
     e = rules.enriched(rows.drop("version"))
     same(linkage.structural_pendings(annotation.quoted_documents(spark, folder)), linkage.structural_pending(e, rules.regions(e)))
     same(recheck.check_present_negations(d), recheck.check_negations(rules.negation_scopes(rows.drop("version")), rows))
+
+
+def test_fragments_of_lists_equal_those_of_rows(spark):
+    odd = [" a b.\r\n\r\nC d\n\r\ne f. ", "x\r\r\ny z\n", "\r\n\t\r\nu v. w etc. x y\u00a0z 1.5 ", "", "é\u0085 😀 b\r\nc "]
+    original = spark.createDataFrame([(i, odd[i % 5] * (i % 7)) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    copy = spans.prepare_crlf(original).select("doc_id", "text")
+    _, members = evidence.evidence_tokens(annotation.annotated_documents(spark, None, copy))
+    got = evidence.fragments_of(annotation.annotated_documents(spark, None, copy.join(original.withColumnRenamed("text", "original"), "doc_id")))
+    same(got, evidence.fragments(members, original))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Aggregate"))
+
+
+def test_rules_are_checked_with_multiplicity(spark, folder):
+    d = annotation.annotated_documents(spark, folder)
+    stored = rules.occurrence_lists(d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.slice("l", 1, 2), "l")).when(F.col("doc_id") % 3 == 1, F.slice("l", 3, 9)).otherwise(F.reverse("l")).alias("l")).where("doc_id <> 11")
+    rows = stored.select("doc_id", F.explode("l").alias("x")).select("doc_id", "x.*")
+    same(recheck.check_rules(stored, d), recheck.check_rules(rows, d))
+    plan = plans.QUERIES["check_rules"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == plan.count("Sort [doc_id") and plan.count("Exchange") == plan.count("regexp_extract_all")
