@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexloom import plans
 from lexloom.functions.arrays import groups, let, spread
-from lexloom.operators import annotate, evidence, linkage, recheck, rules, spans
+from lexloom.operators import annotate, evidence, linkage, recheck, rules, segment, spans
 from lexloom.plans import annotation
 
 TEXTS = ["Um dois. Três quatro? Cinco. Seis. Sete.", "a b c d e f. g h. i. j k l m n o p q r s t u v w x y z. " * 3, "", None, "x " * 70]
@@ -83,3 +83,18 @@ def test_rules_are_checked_with_multiplicity(spark, folder):
     same(recheck.check_rules(stored, d), recheck.check_rules(rows, d))
     plan = plans.QUERIES["check_rules"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Sort [") == plan.count("Sort [doc_id") and plan.count("Exchange") == plan.count("regexp_extract_all")
+
+
+def test_listed_spans_equal_those_of_rows(spark):
+    docs = spark.createDataFrame([(0, "a\r\nb \r\n\r\nc"), (1, "\r\n"), (2, "x" * 9), (3, "\r\r\n\né")], "doc_id long, text string")
+    ends = [(s, e) for s in range(14) for e in range(s, s + 3)]
+    spans_ = docs.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("span"), F.lit(s).cast("long").alias("o_start"), F.lit(e).cast("long").alias("o_end")) for k, (s, e) in enumerate(ends) if e == s + 1])).alias("x"))
+    got = spans.map_listed_inverse(spans_.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list("x")).alias("spans")))
+    same(got, spans.map_spans_inverse(spans_.select("doc_id", "x.*"), spans.span_map(docs)))
+
+
+@pytest.mark.parametrize("name", ["tile_union", "map_spans_inverse"])
+def test_tiles_and_spans_need_texts_alone(spark, folder, name):
+    plan = plans.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "Sort", "Aggregate")) and plan.count("Exchange") == plan.count("regexp_extract_all") == 1
+    assert segment.tiled(segment.unit_lists(spark.createDataFrame([(1, " a\n b "), (2, ""), (3, None)], "doc_id long, text string"))).collect() == [(1, 6, " a\n b ")]
